@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from siftlake.llm.exact_dedup import SQL_OP6, op6_exact_dedup
+from siftlake.llm.packing import op7_best_fit_packing
 
 
 def queries():
     return {
         "op6_exact_dedup": op6_exact_dedup,
+        "op7_best_fit_packing": op7_best_fit_packing,
     }
 
 
