@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from siftlake.llm.exact_dedup import SQL_OP6, op6_exact_dedup
 from siftlake.llm.packing import op7_best_fit_packing
+from siftlake.llm.token_output import op8_token_output
 
 
 def queries():
     return {
         "op6_exact_dedup": op6_exact_dedup,
         "op7_best_fit_packing": op7_best_fit_packing,
+        "op8_token_output": op8_token_output,
     }
 
 
