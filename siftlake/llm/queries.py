@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from siftlake.llm.exact_dedup import SQL_OP6, op6_exact_dedup
 from siftlake.llm.packing import op7_best_fit_packing
+from siftlake.llm.simhash import op10_simhash_near_dedup
 from siftlake.llm.token_output import op8_token_output
 
 
@@ -12,6 +13,7 @@ def queries():
         "op6_exact_dedup": op6_exact_dedup,
         "op7_best_fit_packing": op7_best_fit_packing,
         "op8_token_output": op8_token_output,
+        "op10_simhash_near_dedup": op10_simhash_near_dedup,
     }
 
 
