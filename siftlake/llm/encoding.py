@@ -10,7 +10,7 @@ import numpy as np
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Entries in each of the two generations that an encoder keeps, and the longest piece that it keeps.
-MEMO, LONGEST = 450_000, 48
+MEMO, LONGEST = 600_000, 48
 #: New pieces that go to the library in one string.
 TOGETHER = 1000
 #: A single space between two other characters: no match of the byte-level pattern crosses the place before it.

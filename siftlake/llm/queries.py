@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 from siftlake.llm.exact_dedup import SQL_OP6, op6_exact_dedup
+from siftlake.llm.langid import op3_language_id
 from siftlake.llm.packing import op7_best_fit_packing
+from siftlake.llm.quality import op9_quality_rules
 from siftlake.llm.simhash import op10_simhash_near_dedup
 from siftlake.llm.token_output import op8_token_output
 
 
 def queries():
     return {
+        "op3_language_id": op3_language_id,
         "op6_exact_dedup": op6_exact_dedup,
         "op7_best_fit_packing": op7_best_fit_packing,
         "op8_token_output": op8_token_output,
+        "op9_quality_rules": op9_quality_rules,
         "op10_simhash_near_dedup": op10_simhash_near_dedup,
     }
 
