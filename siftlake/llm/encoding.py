@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import os
-import re
+from itertools import repeat
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -13,24 +15,45 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 MEMO, LONGEST = 600_000, 48
 #: New pieces that go to the library in one string.
 TOGETHER = 1000
-#: A single space between two other characters: no match of the byte-level pattern crosses the place before it.
-BORDER = re.compile(r"(?<=\S) (?=\S)")
-#: White space besides the single spaces and line ends that most texts have; line ends next to a space count as well.
-ODD_SPACE = ("  ", "\n ", " \n", *map(chr, (9, 11, 12, 13, 28, 29, 30, 31, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+#: White space besides single spaces and line ends between other characters. Texts that have it go to the library whole.
+ODD_SPACE = r"^ | $|  |\n | \n|[\t\x0b\x0c\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
-def pieces_of(text: str) -> list[str]:
-    """The text cut at borders."""
-    if text[:1] == " " or text[-1:] == " " or any(map(text.__contains__, ODD_SPACE)):
-        return BORDER.split(text)
-    return text.split(" ")
+class Memo:
+    """Ids of strings: places in one growing array."""
+
+    def __init__(self):
+        self.place: dict[str, int] = {}  # first id's index << 20 | how many
+        self.ids, self.used = np.empty(1 << 20, np.uint32), 0
+
+    def add(self, keys: list[str], ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
+        self.ids[self.used : self.used + len(ids)] = ids
+        places = (self.used + np.cumsum(counts) - counts) << 20 | counts
+        self.used += len(ids)
+        self.place.update(zip(keys, places.tolist(), strict=True))
+        return places
+
+    def find(self, keys: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.place.get, keys, repeat(-1)), np.int64, len(keys))
+
+
+def gather(source: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids at the places, one after the other, and how many each has."""
+    counts = places & 0xFFFFF
+    ends = np.cumsum(counts)
+    index = np.repeat((places >> 20) - (ends - counts), counts)
+    index += np.arange(len(index))
+    return source[index], counts
 
 
 class Encoder:
-    """Ids of whole texts as bytes (little-endian unsigned 32-bit), equal to Tokenizer.encode(text, add_special_tokens=False).
+    """Ids of whole texts, equal to Tokenizer.encode(text, add_special_tokens=False) of the library.
 
-    Strings of special tokens in a text are ordinary text. A text is cut at borders that the tokenizer's pattern never
-    crosses; equal pieces are encoded once and remembered, new ones go to the library together in one string.
+    Strings of special tokens in a text are ordinary text. A text is cut before each space, which no match of the
+    tokenizer's pattern crosses where single spaces stand between other characters; equal pieces are encoded once and
+    remembered, and new ones go to the library many at a time.
     """
 
     def __init__(self, path: str):
@@ -42,55 +65,82 @@ class Encoder:
         self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)
         for token, i in vocabulary.items():
             self.spaced[i] = token.startswith("Ġ")
-        self.later: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.first: dict[str, bytes] = {}
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, pieces: list[str]) -> None:
-        """Pieces that follow a space."""
-        odd = [p for p in pieces if " " in p]
-        self.later.update(zip(odd, self._whole([f" {p}" for p in odd]), strict=True))
-        plain = [p for p in pieces if " " not in p]
-        groups = [plain[at : at + TOGETHER] for at in range(0, len(plain), TOGETHER)]
+        self.memo, self.older = Memo(), Memo()
+
+    def whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        counts = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter((i for ids in found for i in ids), np.uint32, int(counts.sum())), counts
+
+    def learn(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces that follow a space: in one string of many, an id that begins with a space begins the next piece."""
+        groups = [pieces[at : at + TOGETHER] for at in range(0, len(pieces), TOGETHER)]
+        ids, counts = [np.empty(0, np.uint32)], [np.empty(0, np.int64)]
         for part, e in zip(groups, self.tokenizer.encode_batch_fast([" " + " ".join(g) for g in groups], add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, "<u4")
-            begins = np.flatnonzero(self.spaced[ids])
-            if len(begins) != len(part) or begins[0]:
-                self.later.update(zip(part, self._whole([f" {p}" for p in part]), strict=True))
-                continue
-            data, edges = ids.tobytes(), [*(begins * 4).tolist(), len(ids) * 4]
-            self.later.update((p, data[a:b]) for p, a, b in zip(part, edges, edges[1:], strict=False))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.later) > MEMO:
-            self.older, self.later = self.later, {}
-        if len(self.first) > MEMO // 8:
-            self.first = {}
-        cut = list(map(pieces_of, texts))
-        seen = set()
-        for pieces in cut:
-            seen.update(pieces[1:])
-        seen.difference_update(self.later)
-        older = self.older
-        self.later.update((p, older[p]) for p in seen if p in older)
-        new = [p for p in seen if p not in older]
-        if new:
-            self._learn(new)
-        heads = list({p[0] for p in cut} - self.first.keys())
-        self.first.update(zip(heads, self._whole(heads), strict=True))
-        later, out = self.later.__getitem__, []
-        for pieces in cut:
-            head = self.first[pieces[0]]
-            pieces[0] = ""
-            out.append(head + b"".join(map(later, pieces[1:])))
-        for store, keys in ((self.later, new), (self.first, heads)):
-            for p in keys:
-                if len(p) > LONGEST:
-                    del store[p]
-        return out
+            own = np.array(e.ids, np.uint32)
+            begins = np.flatnonzero(self.spaced[own])
+            if len(begins) == len(part) and begins[0] == 0:
+                n = np.diff(np.append(begins, len(own)))
+            else:
+                own, n = self.whole([f" {p}" for p in part])
+            ids.append(own)
+            counts.append(n)
+        return np.concatenate(ids), np.concatenate(counts)
+
+    def places(self, keys: list[str], learn) -> np.ndarray:
+        found = self.memo.find(keys)
+        lost = np.flatnonzero(found < 0)
+        if len(lost):
+            missing = [keys[i] for i in lost]
+            old = self.older.find(missing)
+            known = np.flatnonzero(old >= 0)
+            if len(known):
+                found[lost[known]] = self.memo.add([missing[i] for i in known], *gather(self.older.ids, old[known]))
+            new = np.flatnonzero(old < 0)
+            if len(new):
+                found[lost[new]] = self.memo.add([missing[i] for i in new], *learn([missing[i] for i in new]))
+        return found
+
+    def plain(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.memo.place) > MEMO:
+            self.older, self.memo = self.memo, Memo()
+        cut = pc.split_pattern(texts, " ")
+        edges = cut.offsets.to_numpy().astype(np.int64)
+        pieces = cut.flatten().dictionary_encode()
+        edges -= edges[0]
+        distinct = pieces.dictionary.to_pylist()
+        places = self.places(distinct, self.learn)[pieces.indices.to_numpy()]
+        heads = pieces.take(edges[:-1]).to_pylist()
+        # A text's first piece follows no space; its key begins with one, which no other key does.
+        places[edges[:-1]] = self.places([f" {h}" for h in heads], lambda keys: self.whole([k[1:] for k in keys])) if len(heads) else 0
+        ids, counts = gather(self.memo.ids, places)
+        ends = np.concatenate([[0], np.cumsum(counts)])[edges]
+        long = [p for p in distinct if len(p) > LONGEST] + [f" {h}" for h in heads if len(h) > LONGEST]
+        for p in long:
+            self.memo.place.pop(p, None)
+        return ids, ends
+
+    def encode(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, where each text's begin and end); end_id, where given, follows each text's own."""
+        texts = pc.fill_null(texts, "").cast(pa.large_string())
+        odd = pc.match_substring_regex(texts, ODD_SPACE).to_numpy(zero_copy_only=False)
+        ids, edges = self.plain(texts.filter(pa.array(~odd)) if odd.any() else texts)
+        if odd.any():
+            more, counts = self.whole(texts.filter(pa.array(odd)).to_pylist())
+            size = np.empty(len(odd), np.int64)
+            size[~odd], size[odd] = np.diff(edges), counts
+            from_odd = np.repeat(odd, size)
+            both = np.empty(len(from_odd), np.uint32)
+            both[~from_odd], both[from_odd] = ids, more
+            ids, edges = both, np.concatenate([[0], np.cumsum(size)])
+        if end_id is None:
+            return ids, edges
+        spread = edges + np.arange(len(edges))
+        out = np.empty(len(ids) + len(edges) - 1, np.uint32)
+        is_end = np.zeros(len(out), bool)
+        is_end[spread[1:] - 1] = True
+        out[is_end], out[~is_end] = end_id, ids
+        return out, spread
 
 
 _ENCODERS: dict[str, Encoder] = {}

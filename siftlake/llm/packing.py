@@ -15,39 +15,38 @@ from siftlake.llm.common import documents, text_slices, two_columns, written
 
 LIMIT, END_ID = 1024, 2
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+#: Bytes of text that are encoded together.
+SLICE = 8 << 20
 #: Rows of one length that are numbered in one task, about.
 RANKED_TOGETHER = 20_000
 ITERATIONS = 400
 
 
-def piece_edges(n: int, limit: int) -> np.ndarray:
-    """Where the pieces of a document of n ids begin, and n: only longer documents are cut, the first piece may be shorter."""
-    first = n % limit or limit
-    return np.array([0, *range(first, n + 1, limit)]) if n > limit else np.array([0, n])
-
-
 def token_pieces(docs: DataFrame, path: str | None = None, limit: int = LIMIT, end_id: int = END_ID, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece of at most `limit` ids: doc_id, piece, start, length, ids_crc32, and the ids where asked for.
 
-    A document is its ids and end_id; a null or empty text has end_id alone. Repeated rows give repeated pieces.
+    A document is its ids and end_id. Only longer ones are cut, and the first piece may be the shorter one. A null or empty text has end_id alone. Repeated rows give repeated pieces.
     """
     path = path or encoding.default_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = encoding.encoder(path)
-        end = np.array([end_id], "<u4").tobytes()
-        for b in text_slices(batches):
-            rows = []
-            for doc, ids in zip(b.column("doc_id").to_pylist(), code.encode(b.column("text").to_pylist()), strict=True):
-                ids += end
-                edges = piece_edges(len(ids) // 4, limit).tolist()
-                for i, (x, y) in enumerate(zip(edges, edges[1:], strict=False)):
-                    part = ids[4 * x : 4 * y]
-                    rows.append((doc, i, x, y - x, zlib.crc32(part), *([np.frombuffer(part, "<u4").tolist()] if with_ids else [])))
-            columns = list(zip(*rows, strict=True))
-            types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
-            names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: len(columns)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=False)], names=names)
+        for b in text_slices(batches, SLICE):
+            ids, edges = code.encode(b.column("text"), end_id)
+            raw, sizes = memoryview(ids.astype("<u4").tobytes()), np.diff(edges)
+            # Pieces of each document, where each begins in it, and where it begins among all ids.
+            n = -(-sizes // limit)
+            doc = np.repeat(np.arange(len(sizes)), n)
+            piece = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
+            first = np.where(sizes > limit, (sizes - 1) % limit + 1, sizes)[doc]
+            start = np.where(piece == 0, 0, first + (piece - 1) * limit)
+            length = np.where(piece == 0, first, limit)
+            at = edges[doc] + start
+            sums = [zlib.crc32(raw[4 * x : 4 * y]) for x, y in zip(at.tolist(), (at + length).tolist(), strict=True)]
+            columns = [b.column("doc_id").take(pa.array(doc)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(sums, pa.int64())]
+            if with_ids:
+                columns.append(pa.ListArray.from_arrays(pa.array(np.append(at, len(ids)), pa.int32()), pa.array(ids.astype(np.int64))))
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: len(columns)])
 
     return two_columns(docs, id_col, text_col).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PIECES + ", ids array<long>" * with_ids)
 
