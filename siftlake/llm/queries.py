@@ -6,6 +6,7 @@ from siftlake.llm.bpe import op4_bpe_encode_decode
 from siftlake.llm.exact_dedup import SQL_OP6, op6_exact_dedup
 from siftlake.llm.langid import op3_language_id
 from siftlake.llm.licenses import op2_license_scan
+from siftlake.llm.lm import op1_lm_scoring
 from siftlake.llm.packing import op7_best_fit_packing
 from siftlake.llm.quality import op9_quality_rules
 from siftlake.llm.simhash import op10_simhash_near_dedup
@@ -14,6 +15,7 @@ from siftlake.llm.token_output import op8_token_output
 
 def queries():
     return {
+        "op1_lm_scoring": op1_lm_scoring,
         "op2_license_scan": op2_license_scan,
         "op3_language_id": op3_language_id,
         "op4_bpe_encode_decode": op4_bpe_encode_decode,
