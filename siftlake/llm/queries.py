@@ -11,6 +11,7 @@ from siftlake.llm.packing import op7_best_fit_packing
 from siftlake.llm.quality import op9_quality_rules
 from siftlake.llm.simhash import op10_simhash_near_dedup
 from siftlake.llm.token_output import op8_token_output
+from siftlake.llm.toxicity import op5_toxicity
 
 
 def queries():
@@ -19,6 +20,7 @@ def queries():
         "op2_license_scan": op2_license_scan,
         "op3_language_id": op3_language_id,
         "op4_bpe_encode_decode": op4_bpe_encode_decode,
+        "op5_toxicity": op5_toxicity,
         "op6_exact_dedup": op6_exact_dedup,
         "op7_best_fit_packing": op7_best_fit_packing,
         "op8_token_output": op8_token_output,
