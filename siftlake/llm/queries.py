@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from siftlake.llm.bpe import op4_bpe_encode_decode
 from siftlake.llm.exact_dedup import SQL_OP6, op6_exact_dedup
 from siftlake.llm.langid import op3_language_id
@@ -26,8 +27,10 @@ def queries():
         "op8_token_output": op8_token_output,
         "op9_quality_rules": op9_quality_rules,
         "op10_simhash_near_dedup": op10_simhash_near_dedup,
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql():
-    return {"op6_exact_dedup": SQL_OP6}
+    found = {"op6_exact_dedup": SQL_OP6}
+    return found | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
