@@ -34,6 +34,13 @@ def remainder(n: int, id_col: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % n
 
 
+def about(rows: DataFrame, most: int, total: int, *keys: str) -> DataFrame:
+    """About `most` of `total` rows, the same ones each time: those whose keys' hash is small. No rows meet in one task for it."""
+    if total <= most:
+        return rows
+    return rows.filter(F.pmod(F.xxhash64(*keys), F.lit(1 << 32)) < int((1 << 32) * most / total))
+
+
 def scratch_folder(spark: SparkSession) -> str:
     """A folder of this run below spark.checkpoint.dir, which all executors share; one of its own only where that is unset."""
     app = spark.sparkContext.applicationId

@@ -13,19 +13,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftlake.llm.common import Scratch, documents, remainder, text_slices, two_columns, written
+from siftlake.llm.common import Scratch, about, documents, remainder, text_slices, two_columns, written
 
 #: Folds of the split by crc32(doc_id); documents of fold HELD_OUT are never learned from.
 FOLDS, HELD_OUT = 10, 0
 #: Words with a class of their own; bins of the other words, by their last two bytes; numbers in a class's vector.
 OWN, BINS, DIM = 1200, 320, 32
-#: Words whose counts every task holds; the counts of all others come by a join.
+#: Words whose counts every task holds, at most; the counts of all others come by a join.
 HEAD = 100_000
 #: What a seen word of a bin gives up for unseen ones.
 DISCOUNT = 0.5
 #: Noise classes drawn for each batch, places in a batch, step size, and the step size of the pass over everything.
 NOISE, BATCH, STEP, LATER_STEP = 64, 8192, 0.1, 0.03
-#: Documents and words that the starting point is fitted to, at most, and how often. The pass after it covers all.
+#: Documents (about) and words that the starting point is fitted to, at most, and how often. The pass after it covers all.
 FIRST_DOCUMENTS, FIRST_WORDS, EPOCHS = 2000, 1_000_000, 3
 #: Words in a task's counter before it is sent, and models that are averaged together.
 COUNTER, TOGETHER = 300_000, 32
@@ -202,7 +202,14 @@ def count_words(rows: DataFrame) -> DataFrame:
 
 def vocabulary_of(counts: DataFrame, n_docs: int) -> Vocabulary:
     n_words, n_types = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    head = [(bytes(r[0]), r[1]) for r in counts.orderBy(F.desc("c"), "token").limit(HEAD).collect()]
+    # The most frequent words are those above a count; it comes from a histogram of logarithms, so nothing is sorted.
+    step = F.floor(8 * F.log2("c"))
+    least, held = None, 0
+    for b, n in sorted(counts.groupBy(step).count().collect(), reverse=True):
+        if held + n > HEAD:
+            break
+        least, held = b, held + n
+    head = [] if least is None else sorted(((bytes(r[0]), r[1]) for r in counts.filter(step >= least).collect()), key=lambda x: (-x[1], x[0]))
     bins = counts.groupBy((F.crc32(F.expr("substring(token, -2, 2)")) % BINS + 1 + OWN).alias("b")).agg(F.sum("c"), F.count("*")).collect()
     return Vocabulary(head, {r[0]: (r[1], r[2]) for r in bins}, n_docs, n_words, n_types)
 
@@ -214,7 +221,7 @@ def train(rows: DataFrame, vocabulary: Vocabulary) -> Bilinear:
     if not vocabulary.total:
         return model
     some, held = [], 0
-    for r in rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIRST_DOCUMENTS).select("text").toLocalIterator():
+    for r in about(rows, FIRST_DOCUMENTS, vocabulary.n_docs, "doc_id").select("text").toLocalIterator():
         if held < FIRST_WORDS:
             some.append(r[0])
             held += len(r[0]) // 6
@@ -230,7 +237,7 @@ def train(rows: DataFrame, vocabulary: Vocabulary) -> Bilinear:
         own.squares = {k: x.copy() for k, x in start.squares.items()}
         task, n = TaskContext.get().partitionId(), 0
         own_rng = np.random.default_rng(task)
-        for b in text_slices(batches):
+        for b in text_slices(batches, 2 << 20):
             kinds, sizes = text_classes(b.column("text").to_pylist(), known)
             own.train(kinds, sizes, own_rng, LATER_STEP)
             n += len(kinds)
@@ -271,7 +278,7 @@ def score_documents(docs: DataFrame, counts: DataFrame, vocabulary: Vocabulary,
         one, two, z = _TABLES[token]
         n_classes = len(z)
         row = TaskContext.get().partitionId() << 34
-        for b in text_slices(batches):
+        for b in text_slices(batches, 2 << 20):
             words = [words_of(t) for t in b.column("text").to_pylist()]
             sizes = np.array([len(x) for x in words], np.int64)
             flat = [w for x in words for w in x]
