@@ -10,10 +10,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftlake.llm.common import Scratch, documents, text_slices, two_columns, written
+from siftlake.llm.common import Scratch, about, documents, text_slices, two_columns, written
 
 SHINGLE, SEED, BITS = 3, 42, 2
-#: Distinct fingerprints that the tree of shards is built from, at most; every fingerprint goes through the tree.
+#: Distinct fingerprints that the tree of shards is built from, about, if there are more; every fingerprint goes through the tree.
 SAMPLE = 100_000
 #: A shard is split while it is expected to hold more fingerprints and this many of the sample.
 SHARD, FEWEST = 8192, 32
@@ -227,7 +227,7 @@ def near_duplicates(prints: DataFrame, radius: int = BITS) -> DataFrame:
     """
     distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "distinct")
     total = distinct.count()
-    sample = np.array([r[0] for r in distinct.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()], np.int64).view(np.uint64)
+    sample = np.sort(np.array([r[0] for r in about(distinct.select("fp"), SAMPLE, total, "fp").collect()], np.int64).view(np.uint64))
     nodes = build_tree(sample, total, radius)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
