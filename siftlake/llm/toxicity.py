@@ -11,11 +11,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftlake.llm.common import documents, remainder, text_slices, two_columns, written
+from siftlake.llm.common import about, documents, remainder, text_slices, two_columns, written
 
 #: Folds of the split by crc32(doc_id); labels of fold HELD_OUT are never learned from.
 FOLDS, HELD_OUT = 4, 2
-#: Labelled rows that voters, label model and classifier are fitted to, at most: those with the smallest hash of their id.
+#: Labelled rows that voters, label model and classifier are fitted to, about, if there are more: those whose id has
+#: a small hash.
 LABELLED = 20_000
 #: Terms that become voters, at most; labelled toxic texts that a term must stand in; the least logarithm of
 #: its odds ratio, and how many standard errors that must be.
@@ -137,10 +138,11 @@ class Model:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = LABELLED) -> DataFrame:
-    """text and toxic of at most `most` labelled rows outside the held-out fold, a written table. Where labels of one id
+    """text and toxic of about `most` labelled rows outside the held-out fold, a written table. Where labels of one id
     differ it counts as toxic; the sample's ids are what is broadcast, so no text moves."""
     known = labels.select("doc_id", "toxic").filter("doc_id is not null and toxic is not null").filter(remainder(FOLDS) != HELD_OUT)
-    some = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    each = written(known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "toxic-labels")
+    some = about(each, most, each.count(), "doc_id")
     return written(two_columns(docs).join(F.broadcast(some), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic")), "toxic-sample")
 
 
