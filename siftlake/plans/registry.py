@@ -2,14 +2,39 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries():
-    return {}
+from pyspark.sql import DataFrame, SparkSession
 
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
 
-def oracle_sql():
-    return {}
 
+def query(sql: str | None = None):
+    """Registers a function of (spark, folder of tables) under its name; sql gives the same rows in DuckDB."""
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _load() -> None:
+    from siftlake.plans import catalog, dlq, ingest, metrics, rows, scalars, search  # noqa: F401
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _load()
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    _load()
+    return dict(_SQL)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return queries()["hybrid_rrf"](spark, sf_dir)
