@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -85,8 +86,10 @@ def partitions_for(n_bytes: int | None, per_task: int = TASK_BYTES, least: int =
     return max(least, -(-int(n_bytes or 0) // per_task))
 
 
-def text_slices(batches: Iterable[pa.RecordBatch], limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Cuts batches into slices of about `limit` bytes of text; a longer text stands alone and whole."""
+def text_slices(batches: Iterable[pa.RecordBatch], limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Cuts batches into slices of about `limit` bytes of text; a longer text stands alone and whole.
+
+    Afterwards freed memory goes back to the system, since a worker lives on and another task's worker may need it."""
     for b in batches:
         if not b.num_rows:
             continue
@@ -96,6 +99,27 @@ def text_slices(batches: Iterable[pa.RecordBatch], limit: int = 4 << 20) -> Iter
             end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + limit, "right")))
             yield b.slice(at, end - at)
             at = end
+        del b, size
+    give_back()
+
+
+def give_back() -> None:
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def kept_where(docs: DataFrame, test: Callable[[pa.Array], np.ndarray], text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all columns, whose text passes a test of a slice's column of texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = pa.RecordBatch.from_arrays([b.column(text_col)], names=["text"])
+            ok = [test(s.column(0)) for s in text_slices([texts])]
+            yield b.filter(pa.array(np.concatenate(ok))) if ok else b
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

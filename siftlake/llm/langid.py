@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftlake.llm.common import documents, remainder, text_slices
+from siftlake.llm.common import documents, kept_where, remainder, text_slices
 
 #: Characters in an n-gram, cells that n-grams are hashed to, and the count added to every cell.
 GRAMS, CELLS, SMOOTHING = (1, 2, 3), 1 << 15, 0.5
@@ -131,17 +131,11 @@ def keep_known(docs: DataFrame, model: Model | None = None, least: float = LEAST
     """docs without the texts that have no letter or no likely language; all columns stay."""
     shared = docs.sparkSession.sparkContext.broadcast(model or learned(docs))
 
-    @F.pandas_udf("boolean")
-    def known(text):
-        import pandas as pd
+    def known(texts: pa.Array) -> np.ndarray:
+        found, score = shared.value.predict([t or "" for t in texts.to_pylist()])
+        return np.array([x != UNKNOWN for x in found], bool) & (score >= least)
 
-        out = []
-        for s in text_slices([pa.RecordBatch.from_arrays([pa.array(text, pa.string(), from_pandas=True)], names=["text"])]):
-            found, score = shared.value.predict([t or "" for t in s.column(0).to_pylist()])
-            out += [x != UNKNOWN and y >= least for x, y in zip(found, score.tolist(), strict=True)]
-        return pd.Series(out, dtype=bool)
-
-    return docs.filter(known(F.coalesce(F.col("text"), F.lit(""))))
+    return kept_where(docs, known)
 
 
 def op3_language_id(spark, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftlake.llm.common import documents, text_slices, two_columns, utf8
+from siftlake.llm.common import documents, kept_where, text_slices, two_columns, utf8
 
 #: Words in the windows of the base rule, and the share of words in repeated windows, of 100, beyond which a text fails.
 WINDOW, BASE_SHARE, LEAST_WORDS = 5, 20, 10
@@ -161,15 +161,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def keep_good(docs: DataFrame, **limits) -> DataFrame:
     """docs without the rows that the rules turn down; all columns stay."""
 
-    @F.pandas_udf("boolean")
-    def good(text):
-        import pandas as pd
-
-        column = pa.array(text, pa.string(), from_pandas=True)
-        out = [verdicts(measure(s.column(0)), **limits)[1] for s in text_slices([pa.RecordBatch.from_arrays([column], names=["text"])])]
-        return pd.Series(np.concatenate(out) if out else np.empty(0, bool))
-
-    return docs.filter(good(F.coalesce(F.col("text"), F.lit(""))))
+    return kept_where(docs, lambda texts: verdicts(measure(texts), **limits)[1])
 
 
 def op9_quality_rules(spark, sf_dir: str) -> DataFrame:
