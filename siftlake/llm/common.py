@@ -113,13 +113,16 @@ def give_back() -> None:
 def kept_where(docs: DataFrame, test: Callable[[pa.Array], np.ndarray], text_col: str = "text") -> DataFrame:
     """The rows of docs, with all columns, whose text passes a test of a slice's column of texts."""
 
+    at = docs.columns.index(text_col)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = pa.RecordBatch.from_arrays([b.column(text_col)], names=["text"])
+            texts = pa.RecordBatch.from_arrays([b.column(at)], names=["text"])
             ok = [test(s.column(0)) for s in text_slices([texts])]
             yield b.filter(pa.array(np.concatenate(ok))) if ok else b
 
-    return docs.mapInArrow(run, docs.schema)
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # names may have dots
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
