@@ -104,6 +104,7 @@ def text_slices(batches: Iterable[pa.RecordBatch], limit: int = 1 << 20) -> Iter
 
 
 def give_back() -> None:
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
     except (OSError, AttributeError):  # another C library

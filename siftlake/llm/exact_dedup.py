@@ -62,10 +62,10 @@ def keep_first(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("i"), sha.alias("h"))
     on = lambda other: F.col("i").eqNullSafe(other["doc_id"]) & (F.col("h") == other["sha256"])
     if repeated.isEmpty():
-        return rows.join(drop, on(drop), "left_anti").select("row.*")
+        return rows.join(drop.hint("merge"), on(drop), "left_anti").select("row.*")
     odd = written(drop.unionByName(repeated), "dedup-odd")
     held = rows.join(repeated, on(repeated), "left_semi").groupBy("i", "h").agg(F.first("row").alias("row"))
-    return rows.join(odd, on(odd), "left_anti").select("row.*").unionByName(held.select("row.*"))
+    return rows.join(odd.hint("merge"), on(odd), "left_anti").select("row.*").unionByName(held.select("row.*"))
 
 
 def op6_exact_dedup(spark, sf_dir: str) -> DataFrame:

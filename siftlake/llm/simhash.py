@@ -265,7 +265,7 @@ def keep_one(docs: DataFrame, **how) -> DataFrame:
     """docs with one document of each group: the one with the smallest id. All columns stay; rows that share an id share its fate."""
     found = written(simhash_dedup(docs, **how), "groups")
     gone = found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone"]), "left_anti")
+    return docs.join(gone.hint("merge"), docs["doc_id"].eqNullSafe(gone["gone"]), "left_anti")
 
 
 def op10_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
