@@ -62,9 +62,8 @@ def murmur3(keys: list[bytes], seed: int = 0) -> np.ndarray:
 @F.pandas_udf(LongType())
 def term_id(terms: pd.Series) -> pd.Series:
     """The absolute 32-bit hash of a term; null stays null."""
-    known = terms.dropna()
-    found = np.abs(murmur3([t.encode() for t in known]).astype(np.int64))
-    return pd.Series(found, index=known.index, dtype="Int64").reindex(terms.index)
+    found = iter(np.abs(murmur3([t.encode() for t in terms.dropna()]).astype(np.int64)).tolist())
+    return pd.Series([next(found) if ok else None for ok in terms.notna()], dtype="Int64")
 
 
 @F.pandas_udf(StringType())

@@ -111,3 +111,25 @@ def newer_versions(patches: DataFrame, current: str) -> DataFrame:
 def schema_changes(have: list[str], want: list[str]) -> tuple[list[str], list[str]]:
     """(columns to add, columns to drop)."""
     return [c for c in want if c not in have], [c for c in have if c not in want]
+
+
+def rotated(sites: DataFrame, keys: DataFrame) -> DataFrame:
+    """Sites with the new keys' hashes, for keys (site_id, key)."""
+    return sites.join(keys, "site_id", "left").withColumn("api_key", F.coalesce(F.sha2(F.col("key"), 256), F.col("api_key"))).drop("key")
+
+
+def node_ratio(nodes: DataFrame) -> DataFrame:
+    """node_id and the share of its space that is taken."""
+    return nodes.select("node_id", (F.greatest("used_bytes", "assigned_bytes") / F.col("max_bytes")).alias("share"))
+
+
+def create_tables(spark, schemas: dict, database: str | None = None) -> None:
+    """Empty Parquet tables where there are none yet; columns that a table lacks are reported, not added."""
+    for name, schema in schemas.items():
+        full = f"{database}.{name}" if database else name
+        if not spark.catalog.tableExists(full):
+            spark.createDataFrame([], schema).write.saveAsTable(full, format="parquet")
+            continue
+        add, _ = schema_changes(spark.table(full).columns, schema.names)
+        if add:
+            raise ValueError(f"{full} lacks {', '.join(add)}")

@@ -128,3 +128,8 @@ def version_sort(spark, sf_dir):
 @query("SELECT o_custkey AS site_id, max(o_orderdate) AS latest, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS o_orderkey FROM orders GROUP BY 1")
 def latest_row(spark, sf_dir):
     return table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("site_id")).agg(F.max("o_orderdate").alias("latest"), F.max_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("o_orderkey"))
+
+
+@query(f"WITH {NODES_SQL} SELECT node_id, round(greatest(used_bytes, assigned_bytes) / max_bytes::DOUBLE, 6) AS share FROM nodes")
+def node_ratio(spark, sf_dir):
+    return catalog.node_ratio(nodes(spark, sf_dir)).withColumn("share", F.round("share", 6))

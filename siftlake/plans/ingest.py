@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siftlake.functions import codecs, text
-from siftlake.operators import chunking, lists, store
+from siftlake.operators import chunking, embedding, lists, store
 from siftlake.plans.inputs import table
 from siftlake.plans.registry import query
+from siftlake.sources import queue
 
 SITE = "cast(substr(source, 4) as bigint)"
 PATTERN = text.SENTENCE
@@ -172,3 +173,32 @@ def metadata_merge(spark, sf_dir):
     found = lists.merged_metadata(item, F.create_map(F.lit("language"), F.col("lang")), extra)
     pairs = F.map_from_entries(F.array_sort(F.map_entries(found)))
     return docs.select("doc_id", F.to_json(pairs).cast("string").alias("metadata"))
+
+
+@query("SELECT event_id, event_id::INT AS id, CASE WHEN event_id % 3 = 0 THEN '' ELSE event_type END AS text FROM events WHERE event_id % 7 > 0")
+def store_request_parse(spark, sf_dir):
+    """Each event as a request's body of one document; every seventh can't be read or is empty."""
+    one = F.to_json(F.array(F.struct(F.col("event_id").cast("int").alias("id"), F.when(F.col("event_id") % 3 == 0, "").otherwise(F.col("event_type")).alias("text"), F.lit(1).alias("unknown"))))
+    body = F.when(F.col("event_id") % 14 == 0, "[]").when(F.col("event_id") % 7 == 0, "{broken").otherwise(one)
+    good, _ = queue.store_requests(table(spark, sf_dir, "events").select("event_id", body.alias("body")))
+    return good.select("event_id", "id", "text")
+
+
+@query("SELECT event_id, true AS same FROM events")
+def payload_binary_roundtrip(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select(
+        "event_id", F.col("user_id").cast("int").alias("site_id"), F.col("event_id").cast("int").alias("id"), F.col("props").alias("text"), F.create_map(F.lit("k"), F.col("event_type")).alias("extra"),
+        F.col("event_id").alias("timestamp_millis"), F.lit(1).alias("retry_count"), F.lit(3).alias("max_retries"), F.lit("FAILED").alias("status"), F.lit("é").alias("error_message"), F.lit(-5).cast("long").alias("last_retry_timestamp"), F.lit("auto").alias("language"),
+    )
+    back = rows.withColumn("back", queue.from_bytes(queue.to_bytes()))
+    text = lambda c: F.to_json(c).cast("string")
+    names = list(queue.FIELDS)
+    return back.select("event_id", (text(F.struct(*names)) == text(F.struct(*[F.col(f"back.{n}").alias(n) for n in names]))).alias("same"))
+
+
+@query("SELECT doc_id, 64 AS width, text = '' AS empty FROM documents")
+def hashing_embedding(spark, sf_dir):
+    """Whole texts' vectors by the stand-in model: their width, and whether they are of length 0."""
+    rows = embedding.embed(table(spark, sf_dir, "documents", "doc_id", "text"), "mpnet", "store")
+    size = F.aggregate("dense", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+    return rows.select("doc_id", F.size("dense").alias("width"), (size < 0.5).alias("empty"))

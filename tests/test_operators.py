@@ -51,6 +51,11 @@ def test_murmur3_known_values():
     assert codecs.murmur3(keys).view(np.uint32).tolist() == [0, 0xBA6BD213, 0xC0363E43, 0x2E4FF723]
 
 
+def test_term_ids(spark):
+    rows = spark.createDataFrame([("test",), (None,), ("",)], "t string")
+    assert [r.i for r in rows.select(codecs.term_id("t").alias("i")).collect()] == [abs(np.array([0xBA6BD213], np.uint32).view(np.int32)[0].item()), None, 0]
+
+
 def test_wire_formats(spark):
     rows = spark.createDataFrame([([1.5, -2.0],), (None,)], "v array<float>")
     got = rows.select(codecs.encode_vector("v").alias("e"), codecs.vector_bytes("v").alias("b")).collect()
