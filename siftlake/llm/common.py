@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -48,7 +49,7 @@ def scratch_folder(spark: SparkSession) -> str:
     if app not in _FOLDERS:
         base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
         if not base:
-            if not spark.sparkContext.master.startswith("local"):
+            if not re.match(r"local(\[|$)", spark.sparkContext.master):
                 raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             base = f"file://{tempfile.gettempdir()}/siftlake-shared"
         _FOLDERS[app] = f"{base.rstrip('/')}/siftlake-{uuid.uuid4().hex}"

@@ -128,11 +128,15 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 
 def keep_known(docs: DataFrame, model: Model | None = None, least: float = LEAST_SCORE) -> DataFrame:
-    """docs without the texts that have no letter or no likely language; all columns stay."""
+    """docs without the texts that have no letter or no likely language; all columns stay. Where no language could be
+    learned, only texts without a letter go."""
     shared = docs.sparkSession.sparkContext.broadcast(model or learned(docs))
 
     def known(texts: pa.Array) -> np.ndarray:
-        found, score = shared.value.predict([t or "" for t in texts.to_pylist()])
+        own = [t or "" for t in texts.to_pylist()]
+        if not shared.value.languages:
+            return cells_of(own)[2]
+        found, score = shared.value.predict(own)
         return np.array([x != UNKNOWN for x in found], bool) & (score >= least)
 
     return kept_where(docs, known)

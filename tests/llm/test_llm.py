@@ -234,6 +234,11 @@ def test_languages_are_learned_from_the_rest_alone(spark):
     assert langid.Model([], np.zeros((0, langid.CELLS)), np.zeros(0)).predict(["x"])[0] == ["und"]
 
 
+def test_nothing_learned_keeps_texts_with_letters(spark):
+    docs = spark.createDataFrame([(1, "words", None), (2, "12", None), (3, None, None)], "doc_id long, text string, lang string")
+    assert [r.doc_id for r in langid.keep_known(docs).collect()] == [1]
+
+
 # op4, op7, op8
 
 
