@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Entries in each of the two generations that an encoder keeps, and the longest piece that it keeps.
-MEMO, LONGEST = 300_000, 48
+MEMO, LONGEST = 500_000, 48
 #: New pieces that go to the library in one string.
 TOGETHER = 1000
 #: White space besides single spaces and line ends between other characters. Texts that have it go to the library whole.
