@@ -10,6 +10,8 @@ from siftlake.functions.values import free_bytes
 
 #: What an index may take, in bytes.
 LEAST_BYTES, MOST_BYTES = 1, 1_000_000_000
+#: Steps of size, a sixteenth of a power of two each, up to 64 bits.
+STEPS = 1024
 
 
 def valid_key(now: Column) -> Column:
@@ -61,15 +63,28 @@ def validation_outcome(attempts: DataFrame, key: list[str], most: int) -> DataFr
 
 def best_fit(requests: DataFrame, nodes: DataFrame) -> DataFrame:
     """Each request (request_id, node_type, bytes) by itself: the active node of its type with the least free space that
-    suffices; none if there is no such node or the size is out of range."""
-    open_ = nodes.filter("status = 'active'").select("node_type", "node_id", free_bytes(F.col("max_bytes"), F.col("used_bytes"), F.col("assigned_bytes")).alias("free"))
-    # A type's nodes as one sorted array: a request looks there, so no pairs of requests and nodes are made.
-    sorted_ = open_.groupBy("node_type").agg(F.sort_array(F.collect_list(F.struct("free", "node_id"))).alias("_nodes"))
-    need = F.col("bytes")
-    fits = F.filter("_nodes", lambda x: x["free"] >= need)
-    ok = need.between(LEAST_BYTES, MOST_BYTES)
-    found = requests.join(F.broadcast(sorted_), "node_type", "left")
-    return found.select("request_id", "node_type", "bytes", F.when(ok, F.try_element_at(fits, F.lit(1))["node_id"]).alias("node_id")).withColumn("status", F.when(F.col("node_id").isNull(), "rejected").otherwise("assigned"))
+    suffices, the smaller id of equal ones; none if there is no such node or the size is out of range.
+
+    An as-of join without pairs: sizes and free spaces of a type fall into steps of a sixteenth of a power of two. Within
+    a step the node comes by a window over the different sizes; where the step has none left, it is the smallest of the
+    steps above, a table of at most STEPS rows a type.
+    """
+    step = lambda c: F.least(F.floor(F.log2(c.cast("double") + 1) * 16), F.lit(STEPS - 1)).cast("int")
+    free = free_bytes(F.col("max_bytes"), F.col("used_bytes"), F.col("assigned_bytes"))
+    open_ = nodes.filter("status = 'active'").select("node_type", free.alias("_v"), "node_id").filter("_v >= 0")
+    open_ = open_.groupBy("node_type", "_v").agg(F.min("node_id").alias("node_id")).withColumn("_step", step(F.col("_v")))
+    asked = requests.filter(F.col("bytes").between(LEAST_BYTES, MOST_BYTES)).select("node_type", F.col("bytes").alias("_v")).distinct().withColumn("_step", step(F.col("_v")))
+    both = open_.select("node_type", "_step", "_v", "node_id", F.lit(0).alias("_asks")).unionByName(asked.select("node_type", "_step", "_v", F.lit(None).cast("long").alias("node_id"), F.lit(1).alias("_asks")))
+    near = F.last("node_id", ignorenulls=True).over(Window.partitionBy("node_type", "_step").orderBy(F.desc("_v"), "_asks"))
+    found = both.withColumn("_near", near).filter("_asks = 1").select("node_type", "_step", "_v", "_near")
+    steps = open_.groupBy("node_type", "_step").agg(F.min(F.struct("_v", "node_id")).alias("_m"))
+    every = asked.select("node_type", "_step").distinct().join(steps, ["node_type", "_step"], "left")
+    every = every.unionByName(steps.join(every, ["node_type", "_step"], "left_anti"))
+    higher = F.min("_m").over(Window.partitionBy("node_type").orderBy("_step").rowsBetween(1, Window.unboundedFollowing))
+    above = every.select("node_type", "_step", higher["node_id"].alias("_above"))
+    chosen = found.join(above, ["node_type", "_step"], "left").select("node_type", F.col("_v").alias("bytes"), F.coalesce("_near", "_above").alias("node_id"))
+    out = requests.join(chosen, ["node_type", "bytes"], "left").select("request_id", "node_type", "bytes", "node_id")
+    return out.withColumn("status", F.when(F.col("node_id").isNull(), "rejected").otherwise("assigned"))
 
 
 def assign_in_order(requests: DataFrame, nodes: DataFrame) -> DataFrame:

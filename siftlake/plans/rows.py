@@ -30,7 +30,7 @@ def msgid_refs(spark, sf_dir):
 @query("SELECT r_name AS slug, coalesce(string_agg(n_name, ',' ORDER BY n_nationkey), '') AS children FROM region LEFT JOIN nation ON n_regionkey = r_regionkey GROUP BY 1")
 def menu_tree(spark, sf_dir):
     regions = table(spark, sf_dir, "region").select(F.col("r_name").alias("slug"), F.lit(None).cast("string").alias("parent"), F.col("r_regionkey").alias("ord"), F.col("r_regionkey").alias("k"))
-    nations = table(spark, sf_dir, "nation").join(F.broadcast(regions.select("k", F.col("slug").alias("parent"))), F.col("n_regionkey") == F.col("k")).select(F.col("n_name").alias("slug"), "parent", F.col("n_nationkey").alias("ord"))
+    nations = table(spark, sf_dir, "nation").join(regions.select("k", F.col("slug").alias("parent")), F.col("n_regionkey") == F.col("k")).select(F.col("n_name").alias("slug"), "parent", F.col("n_nationkey").alias("ord"))
     tree = lists.children(regions.drop("k").unionByName(nations)).join(regions.select("slug"), "slug", "left_semi")
     return tree.select("slug", F.array_join("children", ",").alias("children"))
 
