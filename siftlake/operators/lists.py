@@ -79,3 +79,15 @@ def subword_merge(tokens: Column, weights: Column) -> Column:
         return F.when(goes_on(acc, x["t"]), joined).otherwise(F.concat(acc, F.array(word(clean(x["t"]), x["w"]))))
 
     return F.aggregate(pairs, F.expr("cast(array() as array<struct<word:string,weight:double>>)"), add)
+
+
+def removed_first(values: Column, value: Column) -> Column:
+    """An array without the first element that equals value."""
+    at = F.array_position(values, value).cast("int")
+    return F.when(at > 0, F.concat(F.slice(values, F.lit(1), at - 1), F.slice(values, at + 1, F.size(values)))).otherwise(values)
+
+
+def named(code: Column, names: dict[str, str]) -> Column:
+    """A code's name from a table of names, or the code."""
+    table = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])
+    return F.coalesce(F.try_element_at(table, code), code)

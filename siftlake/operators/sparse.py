@@ -59,3 +59,9 @@ def bm25_weights(counts: DataFrame, tenant: str, doc: str, most: int = FEATURES)
     rank = F.row_number().over(Window.partitionBy(tenant, doc).orderBy(F.desc(F.round("w", 9)), "term"))
     kept = joined.select(tenant, doc, "term", w.alias("w")).withColumn("_n", rank).filter(F.col("_n") <= most)
     return kept.select(tenant, doc, "term", (F.col("w") / F.sum("w").over(Window.partitionBy(tenant, doc))).alias("weight"))
+
+
+def sorted_vector(weights: Column) -> Column:
+    """A map of term ids to weights as parallel arrays, ids ascending."""
+    entries = F.array_sort(F.map_entries(weights))
+    return F.struct(F.transform(entries, lambda e: e["key"]).alias("indices"), F.transform(entries, lambda e: e["value"]).alias("values"))

@@ -76,3 +76,21 @@ def list_summary(spark, sf_dir):
 
     rows = matching(table(spark, sf_dir, "customer"), c_mktsegment="BUILDING", c_nationkey=3)
     return rows.agg(F.count("*").alias("n"), F.min("c_custkey").alias("first"), F.max("c_custkey").alias("last"), (F.count("*") == 0).alias("is_empty"))
+
+
+@query("SELECT user_id, to_json(list(b ORDER BY b)) AS indices, to_json(list(n ORDER BY b)) AS counts FROM (SELECT user_id, event_id % 10 AS b, count(*) AS n FROM events GROUP BY 1, 2) GROUP BY 1")
+def sparse_index_sort(spark, sf_dir):
+    counted = table(spark, sf_dir, "events").groupBy("user_id", (F.col("event_id") % 10).alias("b")).agg(F.count("*").alias("n"))
+    vectors = counted.groupBy("user_id").agg(sparse.sorted_vector(F.map_from_entries(F.collect_list(F.struct("b", "n")))).alias("v"))
+    return vectors.select("user_id", F.to_json("v.indices").cast("string").alias("indices"), F.to_json("v.values").cast("string").alias("counts"))
+
+
+@query("SELECT o_custkey, to_json(list_filter(list(o_orderkey ORDER BY o_orderkey), lambda x: x <> min(o_orderkey))) AS left_over FROM orders GROUP BY 1")
+def offset_remove(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.sort_array(F.collect_list("o_orderkey")).alias("o"), F.min("o_orderkey").alias("m"))
+    return rows.select("o_custkey", F.to_json(lists.removed_first(F.col("o"), F.col("m"))).cast("string").alias("left_over"))
+
+
+@query("SELECT doc_id, CASE lang WHEN 'en' THEN 'English' WHEN 'de' THEN 'German' ELSE lang END AS language FROM documents")
+def language_names(spark, sf_dir):
+    return table(spark, sf_dir, "documents", "doc_id", "lang").select("doc_id", lists.named(F.col("lang"), {"en": "English", "de": "German"}).alias("language"))
