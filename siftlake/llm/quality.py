@@ -27,13 +27,13 @@ def suffix_array(symbols: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
     """
     n = len(symbols)
     counts = np.bincount(symbols, minlength=1)
-    rank = (np.cumsum(counts) - counts)[symbols]
+    rank = (np.cumsum(counts) - counts)[symbols].astype(np.int32 if n < 1 << 31 else np.int64)
     levels = [rank]
     active, h = np.flatnonzero(counts[symbols] > 1), 1
     while len(active):
         after = active + h
-        second = np.where(after < n, rank[np.minimum(after, n - 1)] + 1, 0)
-        key = rank[active] << 32 | second
+        second = np.where(after < n, rank[np.minimum(after, n - 1)].astype(np.int64) + 1, 0)
+        key = rank[active].astype(np.int64) << 32 | second
         order = np.argsort(key)
         key, active = key[order], active[order]
         fresh = np.concatenate([[True], key[1:] != key[:-1]])
@@ -41,7 +41,7 @@ def suffix_array(symbols: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
         place = np.arange(len(key))
         within = np.maximum.accumulate(np.where(fresh, place, 0)) - np.maximum.accumulate(np.where(group, place, 0))
         rank = rank.copy()
-        rank[active] += within
+        rank[active] += within.astype(rank.dtype)
         levels.append(rank)
         several = ~fresh
         several[:-1] |= ~fresh[1:]

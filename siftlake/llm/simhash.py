@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from siftlake.llm.common import Scratch, about, documents, text_slices, two_columns, written
 
 SHINGLE, SEED, BITS = 3, 42, 2
+#: Hashes whose bits are summed at once.
+TOGETHER = 1 << 17
 #: Distinct fingerprints that the tree of shards is built from, about, if there are more; every fingerprint goes through the tree.
 SAMPLE = 100_000
 #: A shard is split while it is expected to hold more fingerprints and this many of the sample.
@@ -26,29 +28,37 @@ KEYS = 8_000_000
 
 
 def fingerprints(texts: list[str], shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
-    """64 majority bits of the XXH64 of all word shingles, repeats included; fewer words are one shingle, none give zero."""
-    out = np.zeros(len(texts), np.uint64)
-    digest, hashes, edges, rows = xxhash.xxh64_intdigest, [], [0], []
+    """64 majority bits of the XXH64 of all word shingles, repeats included; fewer words are one shingle, none give zero.
+
+    Bits are summed TOGETHER hashes at a time, so a very long text takes no more memory than that and its words.
+    """
+    ones, total = np.zeros((len(texts), 64), np.int64), np.zeros(len(texts), np.int64)
+    digest, hashes, marks = xxhash.xxh64_intdigest, [], []
+
+    def flush() -> None:
+        if hashes:
+            bits = np.unpackbits(np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            rows, begins = (np.array(x) for x in zip(*marks, strict=True))
+            np.add.at(ones, rows, np.add.reduceat(bits, begins, axis=0, dtype=np.int32))
+            np.add.at(total, rows, np.diff(np.append(begins, len(hashes))))
+            hashes.clear()
+            marks.clear()
+
     for i, text in enumerate(texts):
         words = text.encode("utf-8", "surrogatepass").lower().split()
         if not words:
             continue
         line = b" ".join(words)
-        if len(words) <= shingle:
-            hashes.append(digest(line, seed))
-        else:
-            ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-            begins = np.concatenate([[0], ends[:-1] + 1])[: len(words) - shingle + 1]
-            hashes += [digest(line[a:b], seed) for a, b in zip(begins.tolist(), ends[shingle - 1 :].tolist(), strict=True)]
-        rows.append(i)
-        edges.append(len(hashes))
-    if not rows:
-        return out
-    bits = np.unpackbits(np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    counts = np.add.reduceat(bits, edges[:-1], axis=0, dtype=np.int32)
-    over = 2 * counts > np.diff(edges)[:, None]
-    out[rows] = np.packbits(over, axis=1, bitorder="little").view("<u8").ravel()
-    return out
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+        begins = np.concatenate([[0], ends[:-1] + 1])[: max(1, len(words) - shingle + 1)]
+        ends = ends[min(shingle, len(words)) - 1 :]
+        for at in range(0, len(begins), TOGETHER):
+            marks.append((i, len(hashes)))
+            hashes += [digest(line[a:b], seed) for a, b in zip(begins[at : at + TOGETHER].tolist(), ends[at : at + TOGETHER].tolist(), strict=True)]
+            if len(hashes) >= TOGETHER:
+                flush()
+    flush()
+    return np.packbits(2 * ones > total[:, None], axis=1, bitorder="little").view("<u8").ravel() if texts else np.empty(0, np.uint64)
 
 
 def fingerprint_table(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
