@@ -203,6 +203,13 @@ def test_licenses_of_the_corpus(spark, sf):
         assert set(filter(None, got[4].split(","))) <= set(got[5].split(",")) and 0 <= got[6] <= 1
 
 
+def test_license_query(spark, sf):
+    got = {r.doc_id: r for r in queries.op2_license_scan(spark, sf).collect()}
+    for r in texts_of(spark, sf):
+        g = got[r.doc_id]
+        assert (g.n_words, g.n_base, g.first_word, g.last_word, g.base_labels) == brute_phrases(r.text)
+
+
 @pytest.mark.parametrize("line,permissive,labels", [
     ("MIT", True, "mit,spdx"), ("MIT OR GPL-2.0-only", True, "gpl,mit,spdx"), ("MIT AND GPL-2.0-only", False, "gpl,mit,spdx"),
     ("GPL-2.0-only WITH Classpath-exception-2.0 OR (Apache-2.0 AND BSD-3-Clause)", True, "apache,bsd,gpl,spdx"),
@@ -559,6 +566,26 @@ def test_connected_chain(spark):
     assert simhash.connected(edges.filter("a < 0")).count() == 0
 
 
+def test_scratch_is_below_the_shared_folder(spark, tmp_path, monkeypatch):
+    from siftlake.llm import common
+
+    monkeypatch.setattr(common, "_FOLDERS", {})
+    monkeypatch.setattr(type(spark.sparkContext), "getCheckpointDir", lambda self: f"file://{tmp_path}/shared")
+    kept = common.Scratch(spark.range(3), "x")
+    assert kept.path.startswith(f"file://{tmp_path}/shared/siftlake-") and kept.df.count() == 3
+    kept.drop()
+    assert not list(tmp_path.glob("shared/*/*"))
+
+
+def test_about_is_bounded_and_repeatable(spark):
+    from siftlake.llm.common import about
+
+    rows = spark.range(20_000).withColumnRenamed("id", "doc_id")
+    one = {r.doc_id for r in about(rows, 1000, 20_000, "doc_id").collect()}
+    assert 800 < len(one) < 1200 and one == {r.doc_id for r in about(rows.repartition(7), 1000, 20_000, "doc_id").collect()}
+    assert about(rows, 30_000, 20_000, "doc_id").count() == 20_000
+
+
 def test_slices_lose_nothing():
     texts = ["x" * n for n in (0, 5, 3000, 1, 0, 70)] + [None]
     batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
