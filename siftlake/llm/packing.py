@@ -18,7 +18,7 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Bytes of text that are encoded together.
 SLICE = 6 << 20
 #: Rows of one length that are numbered in one task, about.
-RANKED_TOGETHER = 20_000
+RANKED_TOGETHER = 4000
 ITERATIONS = 400
 
 
