@@ -163,7 +163,7 @@ def pack(pieces: DataFrame, limit: int = LIMIT) -> DataFrame:
     dealt = pieces.withColumn("_part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(parts)))
     sizes = dealt.groupBy("length", "_part").count()
     before = sizes.select("length", "_part", (F.sum("count").over(Window.partitionBy("length").orderBy("_part")) - F.col("count")).alias("_before"))
-    ranked = dealt.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_part").orderBy("doc_id", "piece", "ids_crc32"))).join(written(before, "pack-before"), ["length", "_part"])
+    ranked = dealt.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_part").orderBy("doc_id", "piece", "ids_crc32"))).join(written(before, "pack-before").hint("merge"), ["length", "_part"])
     ranked = ranked.withColumn("_rank", F.col("_rank") + F.col("_before") - 1).select(*pieces.columns, "_rank")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
