@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from siftlake.session import shipped
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
 
@@ -14,7 +16,7 @@ def query(sql: str | None = None):
     """Registers a function of (spark, folder of tables) under its name; sql gives the same rows in DuckDB."""
 
     def add(f):
-        _QUERIES[f.__name__] = f
+        _QUERIES[f.__name__] = shipped(f)
         if sql:
             _SQL[f.__name__] = sql
         return f

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import functools
 import os
+import site
+import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+_SHIPPED: set[str] = set()
+
 
 def local_session(app: str = "siftlake", cpus: int | None = None, shuffle: int = 8) -> SparkSession:
     """A local session for tests and the benchmark; a cluster brings its own."""
@@ -22,3 +29,33 @@ def local_session(app: str = "siftlake", cpus: int | None = None, shuffle: int =
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the workers, once a session, unless they find it themselves: installed, or in local mode on
+    PYTHONPATH or in the working folder."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    _SHIPPED.add(context.applicationId)
+    package = Path(__file__).resolve().parent
+    known = [Path(p).resolve() for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
+    local = context.master.startswith("local") and package.parent in [*known, Path.cwd()]
+    if local or str(package.parent) in [*site.getsitepackages(), site.getusersitepackages()]:
+        return
+    archive = Path(tempfile.mkdtemp(prefix="siftlake-")) / "siftlake.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for f in sorted(package.rglob("*.py")):
+            out.write(f, f.relative_to(package.parent))
+    context.addPyFile(str(archive))
+
+
+def shipped(f):
+    """A function of a session and more, before which the workers get this package."""
+
+    @functools.wraps(f)
+    def run(spark: SparkSession, *rest):
+        ship(spark)
+        return f(spark, *rest)
+
+    return run
