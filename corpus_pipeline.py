@@ -10,28 +10,34 @@ from pyspark.sql import DataFrame, SparkSession
 
 from siftlake.llm import exact_dedup, langid, packing, quality, simhash
 from siftlake.llm.common import written
+from siftlake.session import shipped
 
 
+@shipped
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts without a letter and those that no learned language is likely for."""
     return langid.keep_known(docs)
 
 
+@shipped
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts of fewer than ten words and texts that repeat themselves."""
     return quality.keep_good(docs)
 
 
+@shipped
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts that are equal but for white space, the one with the smallest id stays."""
     return exact_dedup.keep_first(docs)
 
 
+@shipped
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents whose fingerprints are linked, the one with the smallest id stays; parameters as in op10."""
     return simhash.keep_one(docs)
 
 
+@shipped
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents that are left, with their place in sequences of 1024 tokens."""
     return packing.best_fit_packing(docs)

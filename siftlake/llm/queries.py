@@ -13,10 +13,11 @@ from siftlake.llm.quality import op9_quality_rules
 from siftlake.llm.simhash import op10_simhash_near_dedup
 from siftlake.llm.token_output import op8_token_output
 from siftlake.llm.toxicity import op5_toxicity
+from siftlake.session import shipped
 
 
 def queries():
-    return {
+    found = {
         "op1_lm_scoring": op1_lm_scoring,
         "op2_license_scan": op2_license_scan,
         "op3_language_id": op3_language_id,
@@ -29,6 +30,7 @@ def queries():
         "op10_simhash_near_dedup": op10_simhash_near_dedup,
         "pipeline": corpus_pipeline.run,
     }
+    return {name: shipped(f) for name, f in found.items()}
 
 
 def oracle_sql():
