@@ -56,9 +56,11 @@ class Encoder:
     remembered, and new ones go to the library many at a time.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, memo: int | None = None):
         from tokenizers import Tokenizer
 
+        self.most = memo or MEMO
+
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
@@ -102,7 +104,7 @@ class Encoder:
         return found
 
     def plain(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.memo.place) > MEMO:
+        if len(self.memo.place) > self.most:
             self.older, self.memo = self.memo, Memo()
         cut = pc.split_pattern(texts, " ")
         edges = cut.offsets.to_numpy().astype(np.int64)
@@ -143,14 +145,14 @@ class Encoder:
         return out, spread
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """One encoder for each Python worker."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+def encoder(path: str, memo: int | None = None) -> Encoder:
+    """One encoder for each Python worker; memo: entries of a generation."""
+    if (path, memo) not in _ENCODERS:
+        _ENCODERS[path, memo] = Encoder(path, memo)
+    return _ENCODERS[path, memo]
 
 
 def default_path() -> str:
