@@ -33,7 +33,7 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 @shipped
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents whose fingerprints are linked, the one with the smallest id stays; parameters as in op10."""
+    """Of documents linked by a Jaccard similarity of 0.8 of their five-word shingles, the one with the smallest id stays."""
     return simhash.keep_one(docs)
 
 

@@ -25,6 +25,13 @@ DIRECT = 192
 USEFUL = 0.85
 #: Keys that are sorted at once where fingerprints lie too close for a split.
 KEYS = 8_000_000
+#: Words of a shingle where near copies are confirmed.
+WORDS = 5
+#: Texts, about, in which frequent shingles are looked for, and how many of these must have one.
+LOOKED_AT, FREQUENT = 20_000, 3
+#: Texts with one shingle that are all paired at once; more may give so many pairs a text in the first round, then twice as many.
+PAIRED, EACH = 32, 2
+FOUND = "a long, b long, shingle long, size int, place int, next int, open boolean"
 
 
 def fingerprints(texts: list[str], shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
@@ -253,6 +260,11 @@ def near_duplicates(prints: DataFrame, radius: int = BITS) -> DataFrame:
         return pa.table({"a": x[some], "b": x[label[some]]})
 
     edges = distinct.select("fp").mapInArrow(deal, "shard int, fp long").groupBy("shard").applyInArrow(within, "a long, b long")
+    return labelled(prints, distinct, edges)
+
+
+def labelled(prints: DataFrame, distinct: DataFrame, edges: DataFrame) -> DataFrame:
+    """doc_id, fp and component_id of all rows of prints. distinct: fp, first (the smallest doc_id) and n; edges (a, b) link values of fp."""
     roots = written(connected(edges), "roots")
     linked = distinct.join(roots, distinct["fp"] == roots["u"], "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root"))
     linked = Scratch(linked, "linked")
@@ -271,9 +283,185 @@ def simhash_dedup(docs: DataFrame, shingle: int = SHINGLE, radius: int = BITS, s
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def hashes(text: str, shingle: int = WORDS, seed: int = SEED) -> np.ndarray:
+    """The hashes of a text's word shingles, repeats included; fewer words are one shingle, none give none."""
+    words = text.encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.empty(0, np.uint64)
+    digest, line = xxhash.xxh64_intdigest, b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    begins = np.concatenate([[0], ends[:-1] + 1])[: max(1, len(words) - shingle + 1)].tolist()
+    return np.array([digest(line[a:b], seed) for a, b in zip(begins, ends[min(shingle, len(words)) - 1 :].tolist(), strict=True)], np.uint64)
+
+
+def majority(x: np.ndarray) -> int:
+    """The fingerprint of a text with these hashes, as `fingerprints` has it."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(x), TOGETHER):
+        ones += np.unpackbits(x[at : at + TOGETHER].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(x), bitorder="little").view("<i8")[0])
+
+
+def rarest(x: np.ndarray, frequent: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """The first shingles of a text, in one order for all texts (frequent ones last), of which two texts of Jaccard
+    similarity 0.8 share one at least: such texts have four fifths of either's shingles in common."""
+    rank = np.zeros(len(x), np.int64)
+    if len(frequent):
+        at = np.minimum(np.searchsorted(frequent, x), len(frequent) - 1)
+        rank = np.where(frequent[at] == x, times[at], 0)
+    return x[np.lexsort((x, rank))[: len(x) - (4 * len(x) + 4) // 5 + 1]]
+
+
+def alike(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether the Jaccard similarity of two sets is 0.8 at least, in whole numbers."""
+    return 9 * len(np.intersect1d(x, y, assume_unique=True)) >= 4 * (len(x) + len(y))
+
+
+def candidates(batches: Iterator[pa.RecordBatch], each: int, paired: int = PAIRED) -> Iterator[pa.RecordBatch]:
+    """Pairs that share a shingle, from rows (shingle, size, node, place, root, next) in that order; as FOUND.
+
+    Pairs already linked (equal roots), and those that by size and place can't reach 0.8, are left out. Where more than
+    `paired` texts share a shingle, they are paired with later ones from number `next` on until there are `each` pairs a
+    text; the rows then come back as open, unless those from there on are linked already.
+    """
+    names = ["shingle", "size", "node", "place", "root", "next"]
+    held = [np.empty(0, np.int64)] * 6
+
+    def out(pairs: list[np.ndarray], open_: list[np.ndarray]) -> pa.RecordBatch:
+        a, b = (np.concatenate([p[i] for p in pairs] or [held[0][:0]]) for i in (0, 1))
+        both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
+        rest = np.concatenate(open_ or [np.empty((0, 5), np.int64)])
+        n, m = len(both), len(rest)
+        zero = np.zeros(n, np.int64)
+        columns = [np.concatenate([both[:, 0], rest[:, 2]]), np.concatenate([both[:, 1], rest[:, 2]]), *(np.concatenate([zero, rest[:, k]]) for k in (0, 1, 3, 4))]
+        kinds = (np.int64, np.int64, np.int64, np.int32, np.int32, np.int32)
+        return pa.RecordBatch.from_arrays([*(pa.array(c.astype(k)) for c, k in zip(columns, kinds, strict=True)), pa.array(np.arange(n + m) >= n)], names=["a", "b", "shingle", "size", "place", "next", "open"])
+
+    def matched(rows: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        _, size, node, place, root, _ = rows
+        common = np.minimum(size[i] - place[i], size[j] - place[j])  # at most, from this shingle on
+        ok = (root[i] != root[j]) & (5 * size[i] >= 4 * size[j]) & (9 * common >= 4 * (size[i] + size[j]))
+        return node[i[ok]], node[j[ok]]
+
+    def done(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        new = np.ones(len(rows[0]), bool)
+        new[1:] = (rows[0][1:] != rows[0][:-1]) | (rows[2][1:] != rows[2][:-1])
+        rows = [c[new] for c in rows]
+        begins = np.flatnonzero(np.concatenate([[True], rows[0][1:] != rows[0][:-1]]))
+        sizes = np.diff(np.append(begins, len(rows[0])))
+        pairs, open_ = [], []
+        few = np.repeat(sizes <= paired, sizes)
+        for d in range(1, paired):
+            i = np.flatnonzero((rows[0][d:] == rows[0][:-d]) & few[d:])
+            if not len(i):
+                break
+            pairs.append(matched(rows, i, i + d))
+        for at, n in zip(begins[sizes > paired].tolist(), sizes[sizes > paired].tolist(), strict=True):
+            k, made = int(rows[5][at]), 0
+            ends = np.searchsorted(rows[1][at : at + n], 5 * rows[1][at : at + n] // 4, "right")
+            while k < n - 1 and made < each * n:
+                j = np.arange(at + k + 1, at + ends[k])
+                pairs.append(matched(rows, np.full(len(j), at + k), j))
+                made += len(pairs[-1][0])
+                k += 1
+                if made > 1_000_000 or len(pairs) > 10_000:
+                    yield out(pairs, [])
+                    pairs = []
+            if k < n - 1 and (rows[4][at + k : at + n] != rows[4][at + k]).any():
+                open_.append(np.stack([*(c[at : at + n] for c in rows[:4]), np.full(n, k)], 1))
+        yield out(pairs, open_)
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        rows = [np.concatenate([h, b.column(c).to_numpy().astype(np.int64)]) for h, c in zip(held, names, strict=True)]
+        last = int(np.searchsorted(rows[0], rows[0][-1]))
+        held = [c[last:] for c in rows]
+        if last:
+            yield from done([c[:last] for c in rows])
+    if len(held[0]):
+        yield from done(held)
+
+
+def confirmed(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes whose texts' shingles have a Jaccard similarity of 0.8 at least. texts: node, text."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in text_slices(batches):
+            found = [np.unique(hashes(t)).tobytes() for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(found, pa.binary())], names=["node", "hashes"])
+
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ok = [alike(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) for x, y in zip(b.column("x"), b.column("y"), strict=True)]
+            yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    pairs = Scratch(pairs.distinct(), "pairs")
+    wanted = Scratch(pairs.df.select(F.col("a").alias("node")).unionByName(pairs.df.select(F.col("b").alias("node"))).distinct(), "wanted")
+    known = Scratch(texts.join(wanted.df, "node", "left_semi").dropDuplicates(["node"]).mapInArrow(sets, "node long, hashes binary"), "sets")
+    left, right = known.df.toDF("a", "x").hint("merge"), known.df.toDF("b", "y").hint("merge")
+    links = written(pairs.df.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(test, "a long, b long"), "links")
+    for old in (pairs, wanted, known):
+        old.drop()
+    return links
+
+
+def near_copies(docs: DataFrame, radius: int = BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id and component_id of every row: texts are linked when the Jaccard similarity of their five-word shingles is 0.8 at least.
+
+    Fingerprints of five words within `radius` are candidates first, so that crowds of very near copies are known before
+    pairs are made. The bits of a link can't be bounded, so the others come from shingles: of the texts' rarest fifth two
+    linked ones share one (`rarest`), whatever the order is. Every candidate is confirmed by all shingles. Rounds go on until no pair
+    is left that could link two components.
+    """
+    texts = two_columns(docs, id_col, text_col).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("node"), "text")
+
+    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in text_slices(batches):
+            for t in b.column("text").to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(hashes(t)).view(np.int64))], names=["shingle"])
+
+    looked = about(texts, LOOKED_AT, texts.count(), "node").select("text").mapInArrow(sample, "shingle long")
+    often = looked.groupBy("shingle").agg(F.count("*").alias("n")).filter(F.col("n") >= FREQUENT).toArrow()
+    frequent, times = often.column("shingle").to_numpy().view(np.uint64), often.column("n").to_numpy()
+    order = np.argsort(frequent)
+    shared = texts.sparkSession.sparkContext.broadcast((frequent[order], times[order]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in text_slices(batches):
+            own = [hashes(t) for t in b.column("text").to_pylist()]
+            sets = [np.unique(x) for x in own]
+            first = [rarest(x, *shared.value).view(np.int64) for x in sets]
+            columns = [b.column("doc_id"), b.column("node"), pa.array([majority(x) for x in own], pa.int64()), pa.array([len(x) for x in sets], pa.int32()), pa.array(first, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "node", "fp", "size", "first"])
+
+    prints = written(texts.mapInArrow(run, "doc_id long, node long, fp long, size int, first array<long>"), "prints")
+    texts = texts.select("node", "text")
+    close = near_duplicates(prints.select(F.col("node").alias("doc_id"), "fp"), radius)
+    links = confirmed(texts, close.filter("doc_id <> component_id").select(F.col("component_id").alias("a"), F.col("doc_id").alias("b")))
+    rows, each = None, EACH
+    while True:
+        roots = written(connected(links), "roots").select(F.col("u").alias("node"), "root")
+        if rows is None:
+            known = prints.select("node", "size", "first").join(roots, "node", "left")
+            known = known.select("node", "size", F.coalesce("root", "node").alias("root"), F.posexplode("first").alias("place", "shingle"), F.lit(0).alias("next"))
+        else:
+            known = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        dealt = known.repartition("shingle").sortWithinPartitions("shingle", "size", "node").select("shingle", "size", "node", "place", "root", "next")
+        found = written(dealt.mapInArrow(lambda batches, each=each, paired=PAIRED: candidates(batches, each, paired), FOUND), "candidates")
+        links = links.unionByName(confirmed(texts, found.filter("not open").select("a", "b")))
+        rows = found.filter("open").select("shingle", "size", F.col("a").alias("node"), "place", "next")
+        if rows.isEmpty():
+            break
+        each *= 2
+    prints = prints.select("doc_id", F.col("node").alias("fp"))
+    distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "distinct")
+    return labelled(prints, distinct, links).select("doc_id", "component_id")
+
+
 def keep_one(docs: DataFrame, **how) -> DataFrame:
-    """docs with one document of each group: the one with the smallest id. All columns stay; rows that share an id share its fate."""
-    found = written(simhash_dedup(docs, **how), "groups")
+    """docs with one document of each group of near copies: the one with the smallest id. All columns stay; rows that share an id share its fate."""
+    found = written(near_copies(docs, **how), "groups")
     gone = found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("gone")).distinct()
     return docs.join(gone.hint("merge"), docs["doc_id"].eqNullSafe(gone["gone"]), "left_anti")
 

@@ -559,6 +559,32 @@ def test_crowded_group(monkeypatch):
         assert (simhash.components(len(x), *simhash.crowded(x, 2)) == want).all()
 
 
+def brute_shingles(text):
+    w = text.encode().lower().split()
+    return {b" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+@pytest.mark.parametrize("paired", [32, 2])
+def test_near_copies_equal_brute_force(spark, sf, monkeypatch, paired):
+    monkeypatch.setattr(simhash, "PAIRED", paired)
+    rng = np.random.default_rng(5)
+    rows = {r.doc_id: r.text or "" for r in texts_of(spark, sf)}
+    base = [f"w{k}" for k in rng.integers(0, 5000, 120)]
+    for i in range(60):  # a crowd whose members are like some others only
+        words = list(base)
+        for k in rng.integers(0, 120, 1 + i % 7):
+            words[k] = f"x{rng.integers(0, 5000)}"
+        rows[10_000 + i] = " ".join(words[i % 20 :])
+    sets = {i: brute_shingles(t) for i, t in rows.items()}
+    ids = sorted(rows)
+    pairs = [(x, y) for x, y in itertools.combinations(range(len(ids)), 2) if 5 * len(sets[ids[x]] & sets[ids[y]]) >= 4 * len(sets[ids[x]] | sets[ids[y]]) > 0]
+    label = simhash.components(len(ids), *(np.array([p[k] for p in pairs]) for k in (0, 1)))
+    docs = spark.createDataFrame([(i, t) for i, t in rows.items()], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(docs).collect()}
+    assert got == {i: ids[label[k]] for k, i in enumerate(ids)}
+    assert got[177] == 1 and got[145] == 6  # 7 and 11 bits apart
+
+
 def test_connected_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "a long, b long")
     got = {r.u: r.root for r in simhash.connected(edges).collect()}
