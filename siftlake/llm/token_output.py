@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import struct
 import uuid
 import zlib
@@ -20,27 +21,30 @@ from siftlake.llm.common import TASK_BYTES, documents, partitions_for, scratch_f
 END_ID = 2
 #: Ids in a block, about; a longer document is a block of its own.
 BLOCK_IDS = 4_000_000
-#: Rounds of replacement, pairs replaced in each, and how often a pair must stand in the block to be replaced.
-ROUNDS, PAIRS, LEAST = 2, 7000, 32
+#: Pairs replaced in a round, and how often a pair must stand in the block to be replaced.
+PAIRS, LEAST = 7000, 32
 #: Fixed value: the first bytes of a block.
 MAGIC = b"RPR1"
 HEADER = struct.Struct("<4sBxxxIIIq")
 FILE_SCHEMA = "part int, block int, first_doc long, n_docs int, n_ids long, data binary"
 
 
-def repair(ids: np.ndarray, last: np.ndarray, rounds: int = ROUNDS, pairs: int = PAIRS, least: int = LEAST) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+def repair(ids: np.ndarray, last: np.ndarray, rounds: int | None = None, pairs: int = PAIRS, least: int = LEAST) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
     """Re-Pair in rounds: (first nonterminal, rules, symbols, places where a document ends).
 
     In each round the most frequent pairs become nonterminals at once and their places are replaced from the left, where
-    two places overlap the first one. No pair crosses a document's end. Ends when no pair stands `least` times.
+    two places overlap the first one. No pair crosses a document's end. Ends when no pair stands `least` times, or after
+    `rounds` if given.
     """
     base = int(ids.max()) + 1 if len(ids) else 0
-    small = base + rounds * pairs <= 1 << 16
-    kind, bits = (np.uint32, 16) if small else (np.uint64, 32)
-    symbols, ends, rules = ids.astype(kind), last.copy(), []
-    for _ in range(rounds):
+    kind, bits = np.uint32, 16
+    symbols, ends, rules, n = ids.astype(kind), last.copy(), [], base
+    for _ in itertools.count() if rounds is None else range(rounds):
         if len(symbols) < 2:
             break
+        if n + pairs > 1 << 16 and bits == 16:
+            kind, bits = np.uint64, 32
+            symbols = symbols.astype(kind)
         key = symbols[:-1] << kind(bits) | symbols[1:]
         free = ~ends[:-1]
         ordered = np.sort(key[free])
@@ -52,17 +56,21 @@ def repair(ids: np.ndarray, last: np.ndarray, rounds: int = ROUNDS, pairs: int =
         if len(often) > pairs:
             times = np.searchsorted(ordered, often, "right") - np.searchsorted(ordered, often, "left")
             often = np.sort(often[np.argpartition(-times, pairs)[:pairs]])
-        # A table by hash has the number of the pair at each place; of pairs that share a cell, one stays for this round.
-        cell = lambda k: (k * kind(0x9E3779B1)).astype(np.uint32) >> np.uint32(12)
+        # A table by hash has the number of the pair at each place; where pairs share a cell, the others are searched for.
+        factor, shift = (0x9E3779B1, 12) if bits == 16 else (0x9E3779B97F4A7C15, 44)
+        cell = lambda k: (k * kind(factor)) >> kind(shift)
         table = np.full(1 << 20, -1, np.int16 if pairs < 1 << 15 else np.int32)
-        table[cell(often)] = np.arange(len(often))
-        often = often[table[cell(often)] == np.arange(len(often))]
-        table[:] = -1
-        table[cell(often)] = np.arange(len(often))
-        found = table[cell(key)]
+        cells = cell(often)
+        table[cells] = np.arange(len(often))
+        shared = np.zeros(1 << 20, bool)
+        shared[cells[table[cells] != np.arange(len(often))]] = True
+        places = cell(key)
+        found = table[places]
         at = np.flatnonzero((found >= 0) & free).astype(np.int32)
-        found = found[at]
-        hit = often[found] == key[at]
+        found, value = found[at], key[at]
+        other = np.flatnonzero((often[found] != value) & shared[places[at]])
+        found[other] = np.minimum(np.searchsorted(often, value[other]), len(often) - 1)
+        hit = often[found] == value
         at, found = at[hit], found[hit].astype(kind)
         # In a run of neighbouring places every second one is taken.
         order = np.arange(len(at), dtype=np.int32)
@@ -70,9 +78,9 @@ def repair(ids: np.ndarray, last: np.ndarray, rounds: int = ROUNDS, pairs: int =
         starts[1:] = at[1:] - at[:-1] > 1
         take = (order - np.maximum.accumulate(np.where(starts, order, np.int32(0)))) & 1 == 0
         at, found = at[take], found[take]
-        n = base + sum(map(len, rules))
         rules.append(np.stack([often >> kind(bits), often & kind((1 << bits) - 1)], 1).astype(np.int64))
         symbols[at] = kind(n) + found
+        n += len(often)
         ends[at] = ends[at + 1]
         keep = np.ones(len(symbols), bool)
         keep[at + 1] = False
@@ -140,8 +148,11 @@ class Block:
                 for n in np.unique(own):
                     some = own == n
                     source = x[some]
-                    for k in range(n):
-                        flat[to[some] + k] = source if n == 1 else flat[self.begins[source - self.base] + k]
+                    if n == 1:
+                        flat[to[some]] = source
+                    else:
+                        k = np.arange(n)
+                        flat[to[some][:, None] + k] = flat[self.begins[source - self.base][:, None] + k]
         return flat
 
     def decode(self, first: int = 0, end: int | None = None) -> np.ndarray:

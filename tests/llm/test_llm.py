@@ -407,6 +407,17 @@ def test_repair_compresses():
     assert len(rules) and len(symbols) < len(ids) / 4
 
 
+@pytest.mark.parametrize("base", [0, 60_000, 70_000])
+def test_repair_goes_on_until_no_pair_is_frequent(base):
+    rng = np.random.default_rng(3)
+    ids = np.concatenate([np.tile(np.arange(16), 20_000), rng.integers(0, 2000, 100_000)]).astype(np.uint32) + np.uint32(base)
+    first, rules, symbols, _ = token_output.repair(ids, np.zeros(len(ids), bool))
+    _, times = np.unique(symbols[:-1].astype(np.uint64) << np.uint64(32) | symbols[1:], return_counts=True)
+    assert times.max() < token_output.LEAST and token_output.expansion_lengths(first, rules).max() > 1000
+    data = token_output.write_block(np.arange(1), np.ones(1, bool), ids, np.array([0, len(ids)]))
+    assert (token_output.Block(data).decode() == ids).all()
+
+
 # op5
 
 
