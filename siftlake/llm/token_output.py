@@ -21,8 +21,13 @@ from siftlake.llm.common import TASK_BYTES, documents, partitions_for, scratch_f
 END_ID = 2
 #: Ids in a block, about; a longer document is a block of its own.
 BLOCK_IDS = 4_000_000
-#: Pairs replaced in a round, and how often a pair must stand in the block to be replaced.
+#: Bytes of text that are encoded together.
+SLICE = 2 << 20
+#: Pairs replaced in a round, and how often a pair must stand in the block to be replaced. Rarer pairs would need so many
+#: nonterminals that symbols no longer fit 16 bits: 1.10 bytes an id become 1.92 with pairs that stand 8 times.
 PAIRS, LEAST = 7000, 32
+#: Parts whose ids are summed together first where the start of each part is found.
+PARTS_TOGETHER = 1000
 #: Fixed value: the first bytes of a block.
 MAGIC = b"RPR1"
 HEADER = struct.Struct("<4sBxxxIIIq")
@@ -192,7 +197,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
             kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names=["part", "block", "first_doc", "n_docs", "n_ids", "data"])
 
-        for b in text_slices(batches, 3 * block_ids):
+        for b in text_slices(batches, SLICE):
             ids, edges = code.encode(b.column("text"), end_id)
             if held and len(ids) + sum(len(h[0]) for h in held) > block_ids:
                 yield flush()
@@ -204,11 +209,24 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
     dealt.select("doc_id", "text").mapInArrow(run, FILE_SCHEMA).write.parquet(path)
 
 
+def block_starts(table: DataFrame) -> DataFrame:
+    """part, block and before, how many ids stand in earlier blocks: sums by groups of parts, then by parts of a group, then
+    by blocks of a part, so that no task orders all blocks."""
+    sizes = table.select("part", "block", "n_ids", F.floor(F.col("part") / PARTS_TOGETHER).alias("group"))
+    earlier = lambda df, *keys: F.sum("n").over(Window.partitionBy(*keys[:-1]).orderBy(keys[-1])) - F.col("n")
+    parts = sizes.groupBy("group", "part").agg(F.sum("n_ids").alias("n"))
+    groups = parts.groupBy("group").agg(F.sum("n").alias("n"))
+    groups = groups.select("group", earlier(groups, "group").alias("before_group"))
+    parts = parts.select("group", "part", earlier(parts, "group", "part").alias("before_part"))
+    blocks = sizes.withColumnRenamed("n_ids", "n")
+    blocks = blocks.select("group", "part", "block", earlier(blocks, "part", "block").alias("before_block"))
+    return blocks.join(parts, ["group", "part"]).join(groups, "group").select("part", "block", (F.col("before_block") + F.col("before_part") + F.col("before_group")).alias("before"))
+
+
 def read_tokens(spark, path: str, with_ids: bool = True) -> DataFrame:
     """What write_tokens wrote, by document: doc_id, start, n_tokens, ids_crc32 and, unless switched off, the ids."""
     table = spark.read.schema(FILE_SCHEMA).parquet(path)
-    order = Window.orderBy("part", "block")
-    starts = table.select("part", "block", "n_ids").withColumn("before", F.sum("n_ids").over(order) - F.col("n_ids")).drop("n_ids")
+    starts = block_starts(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
