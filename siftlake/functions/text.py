@@ -11,6 +11,17 @@ SENTENCE = r"[^.!?]+[.!?]*|[.!?]+"
 UNKNOWN = "unk"
 #: Characters that language detection looks at.
 DETECTED = 100
+#: Runs of Unicode's white space.
+SPACES = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+#: Frequent words of languages.
+COMMON = {
+    "de": "der die das und ist nicht mit ein eine von zu den im auf für dem sich",
+    "en": "the of and to in is that for it as with was on by are this be",
+    "es": "el los las una que por con para del se no al su es lo como más",
+    "fr": "le les des et une est dans que pour pas sur au qui par il ne ce",
+    "it": "il gli della che di un per non sono con del alla anche come più nel si",
+    "ro": "și în de la cu este pe nu mai sau din care pentru fi au ca un",
+}
 #: Prefixes of model inputs by model, mode and, where it matters, the requested language.
 PREFIXES = {
     ("arctic", "search"): "query: ",
@@ -40,6 +51,17 @@ def detection_text(text: Column) -> Column:
     return F.when(plain.contains(" "), F.regexp_extract(plain, r"^(.*) ", 1)).otherwise(plain)
 
 
+def detected(text: Column) -> Column:
+    """(language, score) of what detection_text keeps of a text: of the languages of COMMON, the one with the most of its
+    words, ties by name, and its words' share of all languages' words. A model's detector can take its place."""
+    words = F.split(detection_text(text), r"[^\p{L}]+")
+    among = lambda own: F.size(F.filter(words, lambda w: w.isin(own.split())))
+    counts = F.array(*[F.struct(among(own).alias("n"), F.lit(name).alias("language")) for name, own in COMMON.items()])
+    total = F.aggregate(counts, F.lit(0), lambda n, x: n + x["n"])
+    best = F.array_sort(counts, lambda x, y: F.when(x["n"] != y["n"], y["n"] - x["n"]).when(x["language"] < y["language"], -1).otherwise(1))[0]
+    return F.struct(F.when(total > 0, best["language"]).alias("language"), F.when(total > 0, best["n"] / total).otherwise(0.0).alias("score"))
+
+
 def language_rule(requested: Column, detected: Column, score: Column, allowed: list[str], least: float = 0.2) -> Column:
     """The requested language if allowed; for `auto` the detected one if sure enough and allowed; else unknown."""
     found = F.when((score >= least) & detected.isin(allowed), detected).otherwise(UNKNOWN)
@@ -53,8 +75,8 @@ def lemma(token: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    """White-space tokens."""
-    return F.filter(F.split(text, r"\s+"), lambda x: x != "")
+    """White-space tokens, by the white space of Unicode."""
+    return F.array_remove(F.split(text, SPACES), "")
 
 
 def model_input(text: Column, model: str, mode: str, language: Column) -> Column:

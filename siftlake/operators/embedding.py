@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siftlake.functions.codecs import murmur3
 from siftlake.functions.text import model_input
+from siftlake.operators.sparse import STOPWORDS
+
+TERM = regex.compile(r"[\p{L}\p{M}]+")
 
 #: Texts that a model takes at once, calls for a batch, and the numbers of a hashing embedder's vector.
 BATCH, ATTEMPTS, WIDTH = 16, 3, 64
@@ -48,7 +53,18 @@ def hashing(width: int = WIDTH) -> Callable[[list[str]], np.ndarray]:
     return embed
 
 
-MODELS = {m.name: m for m in (Model("arctic", hashing, True, 8192), Model("e5", hashing, True, 512), Model("jina", hashing, True, 32768), Model("mpnet", hashing, False))}
+def letters() -> Callable[[list[str]], np.ndarray]:
+    """Counts of the letters a to z, of length 1: a model so small that any other system can repeat it."""
+
+    def embed(texts: list[str]) -> np.ndarray:
+        out = np.array([[low.count(c) for c in "abcdefghijklmnopqrstuvwxyz"] for low in map(str.lower, texts)], np.float64).reshape(len(texts), 26)
+        size = np.linalg.norm(out, axis=1, keepdims=True)
+        return np.divide(out, size, out=out, where=size > 0).astype(np.float32)
+
+    return embed
+
+
+MODELS = {m.name: m for m in (Model("arctic", hashing, True, 8192), Model("e5", hashing, True, 512), Model("jina", hashing, True, 32768), Model("mpnet", hashing, False), Model("letters", letters))}
 _LOADED: dict[str, Callable[[list[str]], np.ndarray]] = {}
 
 
@@ -84,6 +100,54 @@ def embedder(model: str):
     return run
 
 
+def embedder_or_error(model: str):
+    """As embedder, but a column of (vector, error): a batch on which the model fails for good is tried text by text, and the
+    texts that it fails on have its message."""
+    chosen = MODELS[model]
+
+    @F.pandas_udf(T.StructType([T.StructField("vector", T.ArrayType(T.FloatType())), T.StructField("error", T.StringType())]))
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        if chosen.name not in _LOADED:
+            _LOADED[chosen.name] = chosen.load()
+        embed = _LOADED[chosen.name]
+
+        def tried(texts: list[str]) -> list[tuple]:
+            try:
+                return [(v, None) for v in call(embed, texts)]
+            except Exception as e:
+                return [(None, f"{type(e).__name__}: {e}")] if len(texts) == 1 else [x for t in texts for x in tried([t])]
+
+        for texts in parts:
+            known = texts.dropna()
+            found = iter([x for at in range(0, len(known), BATCH) for x in tried(known.iloc[at : at + BATCH].tolist())])
+            yield pd.DataFrame([next(found) if ok else (None, None) for ok in texts.notna()], columns=["vector", "error"], dtype=object)
+
+    return run
+
+
+def embed_or_fail(rows: DataFrame, model: str, mode: str, text: str = "text", language: Column | None = None) -> DataFrame:
+    """rows with dense and error."""
+    whole = model_input(F.col(text), model, mode, language if language is not None else F.lit("auto"))
+    made = rows.withColumn("_made", embedder_or_error(model)(whole))
+    return made.withColumns({"dense": F.col("_made.vector"), "error": F.col("_made.error")}).drop("_made")
+
+
+@F.pandas_udf(T.MapType(T.LongType(), T.FloatType()))
+def sparse_vector(texts: pd.Series) -> pd.Series:
+    """Term ids and weights of texts by the rule of sparse.term_counts: counts that add up to 1. Of terms that share an id the
+    last in order stays."""
+
+    def one(text: str | None) -> dict[int, float] | None:
+        if text is None:
+            return None
+        counts = Counter(w for w in TERM.findall(text.lower()) if w not in STOPWORDS)
+        names, total = sorted(counts), sum(counts.values())
+        ids = np.abs(murmur3([w.encode() for w in names]).astype(np.int64)).tolist() if names else []
+        return {i: counts[w] / total for i, w in zip(ids, names, strict=True)}
+
+    return texts.map(one, na_action=None)
+
+
 def embed(rows: DataFrame, model: str, mode: str, text: str = "text", language: Column | None = None) -> DataFrame:
     """rows with model_input (the text with the model's prefix) and dense; the text itself stays as it is."""
     whole = model_input(F.col(text), model, mode, language if language is not None else F.lit("auto"))

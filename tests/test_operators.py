@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siftlake.functions import codecs, text, values, vectors
-from siftlake.operators import catalog, dlq, fusion, lists, sparse, store
+from siftlake.operators import catalog, dlq, embedding, fusion, lists, search, sparse, store
 from siftlake.sources import jsonl, keyspace, messages
 from siftlake.streaming import failures, ingest
 
@@ -177,10 +177,40 @@ def test_ingest_stream(spark, tmp_path):
     ingest.start(raw, lambda: sites, {n: sink(n) for n in names}, str(tmp_path / "cp")).awaitTermination()
     assert {r.post_id for r in out["chunks"]} == {7} and len(out["chunks"]) > 1
     assert all(r.point_id == (7 << 32 | r.offset) for r in out["chunks"])
+    assert all(r.language == "unk" and len(r.dense) == embedding.WIDTH and abs(sum(r.sparse.values()) - 1) < 1e-6 for r in out["chunks"])
     assert [(r.id, r.status) for r in out["dead"]] == [(8, "DEAD_LETTER")] and [(r.id, r.status) for r in out["retry"]] == [(9, "FAILED")]
     assert len(out["poison"]) == 1
 
 
+def test_failed_model_calls_are_retried(spark):
+    def load():
+        def embed(texts):
+            if any("boom" in t for t in texts):
+                raise embedding.RecoverableError("status 500")
+            return np.ones((len(texts), 2), np.float32)
+
+        return embed
+
+    embedding.register(embedding.Model("fragile", load))
+    sites = spark.createDataFrame([(1, "active", 20, 0)], "site_id int, status string, chunk_size int, chunk_overlap int")
+    rows = [{"site_id": 1, "id": 1, "text": "Well said here. It goes boom now. All well again."}, {"site_id": 1, "id": 2, "text": "All is well."}, {"site_id": 1, "id": 3, "text": "boom", "retry_count": 2}, {"site_id": 1, "id": 4}]
+    out = ingest.step(spark.createDataFrame([(json.dumps(r),) for r in rows], "value string"), sites, F.lit(5).cast("long"), "fragile")
+    assert [(r.post_id, r.dense) for r in out["chunks"].collect()] == [(2, [1.0, 1.0])]
+    failed = {r.id: r for name in ("retry", "dead") for r in out[name].collect()}
+    assert {i: (r.status, r.retry_count) for i, r in failed.items()} == {1: ("FAILED", 1), 3: ("DEAD_LETTER", 3)}
+    assert failed[1].error_message == "RecoverableError: status 500"
+
+
+def test_search_over_chunks_of_a_query(spark):
+    texts = ["the red fox ran", "a blue whale sang", "red whale", "quite another thing"]
+    chunks = search.stored(search.with_vectors(spark.createDataFrame([("s", i, t) for i, t in enumerate(texts)], "site_id string, point_id long, text string"), "letters"))
+    queries = spark.createDataFrame([(5, "s", "Red fox ran off. Blue whale sang too.", "auto"), (6, "s", "", "auto"), (7, "none", "fox", "auto"), (8, "s", None, "auto")], "query_id long, site_id string, text string, language string")
+    got = search.search(queries, chunks, "letters", limit=3, size=20, overlap=0).orderBy("query_id", "rank").collect()
+    assert {r.query_id for r in got} == {5} and [r.rank for r in got] == [1, 2, 3]
+    assert {r.point_id for r in got[:2]} == {0, 1}  # each part of the query finds its own
+    assert [r.score for r in got] == sorted((r.score for r in got), reverse=True)
+
+
 def test_streams_equal_batches(spark, tmp_path):
     t0 = dt.datetime(2024, 1, 1)
     rows = [(1, t0 + dt.timedelta(minutes=m)) for m in (0, 10, 30, 200, 210)] + [(2, t0 + dt.timedelta(minutes=m)) for m in (5, 100)]
