@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftlake.functions.values import free_bytes
+from siftlake.operators.lists import positioned
 
 #: What an index may take, in bytes.
 LEAST_BYTES, MOST_BYTES = 1, 1_000_000_000
@@ -117,10 +118,11 @@ def with_parents(rows: DataFrame, parents: DataFrame, key: str, on_delete: str)
     return rows.join(parents.select(F.col(key).alias("_k")).distinct(), F.col(key) == F.col("_k"), "left").withColumn(key, F.when(F.col("_k").isNotNull(), F.col(key))).drop("_k")
 
 
-def newer_versions(patches: DataFrame, current: str) -> DataFrame:
-    """Patches above the current version, in version order."""
-    parts = F.transform(F.split("version", r"\."), lambda x: x.cast("int"))
-    return patches.withColumn("_v", parts).filter(F.col("_v") > F.transform(F.split(F.lit(current), r"\."), lambda x: x.cast("int"))).withColumn("position", F.row_number().over(Window.orderBy("_v"))).drop("_v")
+def newer_versions(patches: DataFrame, current: str, tie: str = "version") -> DataFrame:
+    """Patches above the current version, in version order, equal ones by `tie`."""
+    numbers = lambda version: F.transform(F.split(version, r"\."), lambda x: x.cast("int"))
+    newer = patches.withColumn("_v", numbers("version")).filter(F.col("_v") > numbers(F.lit(current)))
+    return positioned(newer, F.col("_v").asc(), F.asc(tie)).drop("_v")
 
 
 def schema_changes(have: list[str], want: list[str]) -> tuple[list[str], list[str]]:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siftlake.scratch import written
+
 
 def attributes(meta: DataFrame, oid: str, key: str, value: str, keys: list[str]) -> DataFrame:
     """One row per object, a column for each key: its values as a sorted list, null without any."""
@@ -16,12 +18,21 @@ def single(values: Column) -> Column:
     return F.when(F.size(values) == 1, F.element_at(values, 1))
 
 
+def positioned(rows: DataFrame, *order: Column) -> DataFrame:
+    """rows with their position in an order, from 1: ranges of the order are numbered by themselves and begin after the sizes
+    of the ranges before, so that no task holds all rows."""
+    dealt = written(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ordered")
+    sizes = dealt.groupBy("_part").count()
+    before = sizes.select("_part", (F.sum("count").over(Window.orderBy("_part")) - F.col("count")).alias("_before"))
+    numbered = dealt.withColumn("_n", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
+    return numbered.join(F.broadcast(before), "_part").withColumn("position", F.col("_n") + F.col("_before")).drop("_part", "_n", "_before")
+
+
 def sort_list(rows: DataFrame, by: str, descending: bool = False, tie: str = "id") -> DataFrame:
     """Position by a column, text without regard to case."""
     text = dict(rows.dtypes)[by] == "string"
     value = F.lower(by) if text else F.col(by)
-    order = [value.desc(), F.desc(tie)] if descending else [value.asc(), F.asc(tie)]
-    return rows.withColumn("position", F.row_number().over(Window.orderBy(*order)))
+    return positioned(rows, *([value.desc(), F.desc(tie)] if descending else [value.asc(), F.asc(tie)]))
 
 
 def message_references(lines: DataFrame, text: str = "text") -> DataFrame:

@@ -12,8 +12,8 @@ K1, B, FEATURES, LEAST_LENGTH = 1.2, 0.75, 128, 2
 
 
 def term_counts(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """keys, term and tf: how often each term of letters a-z, stop words apart, stands in the row's text."""
-    found = F.split(F.lower(F.col(text)), "[^a-z]+")
+    """keys, term and tf: how often each term, a run of letters and their marks in any script, stop words apart, stands in the row's text."""
+    found = F.split(F.lower(F.col(text)), r"[^\p{L}\p{M}]+")
     # Filtered after the explode: that stays in generated code, a lambda over the array would not.
     rows = docs.select(*keys, F.explode(found).alias("term")).filter((F.col("term") != "") & ~F.col("term").isin(STOPWORDS))
     return rows.groupBy(*keys, "term").agg(F.count("*").alias("tf"))

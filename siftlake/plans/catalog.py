@@ -117,12 +117,8 @@ def set_null_delete(spark, sf_dir):
 
 @query("WITH v AS (SELECT p_partkey, p_size, p_size || '.' || (p_partkey % 12) || '.' || (p_partkey % 7) AS version FROM part) SELECT p_partkey, version, row_number() OVER (ORDER BY p_size, p_partkey % 12, p_partkey % 7, p_partkey) AS position FROM v WHERE (p_size, p_partkey % 12, p_partkey % 7) > (25, 3, 0)")
 def version_sort(spark, sf_dir):
-    from pyspark.sql import Window
-
     patches = table(spark, sf_dir, "part").select("p_partkey", F.concat_ws(".", "p_size", F.col("p_partkey") % 12, F.col("p_partkey") % 7).alias("version"))
-    found = catalog.newer_versions(patches, "25.3.0")
-    parts = F.transform(F.split("version", r"\."), lambda x: x.cast("int"))
-    return found.withColumn("position", F.row_number().over(Window.orderBy(parts, "p_partkey")))
+    return catalog.newer_versions(patches, "25.3.0", tie="p_partkey")
 
 
 @query("SELECT o_custkey AS site_id, max(o_orderdate) AS latest, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS o_orderkey FROM orders GROUP BY 1")

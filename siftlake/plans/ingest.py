@@ -8,6 +8,7 @@ from siftlake.functions import codecs, text
 from siftlake.operators import chunking, embedding, lists, store
 from siftlake.plans.inputs import table
 from siftlake.plans.registry import query
+from siftlake.plans.scalars import murmur3_sql
 from siftlake.sources import queue
 
 SITE = "cast(substr(source, 4) as bigint)"
@@ -138,11 +139,16 @@ def lang_rule(spark, sf_dir):
     return docs.select("doc_id", text.language_rule(asked, F.col("lang"), F.col("n_chars") % 10 / 10.0, ["en", "fr", "de"]).alias("language"))
 
 
-@query("""SELECT item_id, 'query: ' || text AS arctic, 'Query: ' || text AS jina, 'Document: ' || text AS jina_store, text AS mpnet FROM benchmark""")
+E5_SQL = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in text.INSTRUCTIONS.items())
+
+
+@query(f"""SELECT item_id, 'query: ' || text AS arctic, 'Query: ' || text AS jina, 'Document: ' || text AS jina_store, text AS mpnet,
+'Instruct: ' || CASE ['auto', 'en', 'fr', 'de', 'es', 'it', 'ro', 'xx'][item_id % 8 + 1] {E5_SQL} ELSE '{text.INSTRUCTIONS["auto"]}' END || chr(10) || 'Query: ' || text AS e5 FROM benchmark""")
 def prefix_by_mode(spark, sf_dir):
     b = table(spark, sf_dir, "benchmark")
-    of = lambda model, mode: text.model_input(F.col("text"), model, mode, F.lit("auto"))
-    return b.select("item_id", of("arctic", "search").alias("arctic"), of("jina", "search").alias("jina"), of("jina", "store").alias("jina_store"), of("mpnet", "search").alias("mpnet"))
+    language = F.element_at(F.array(*[F.lit(x) for x in ("auto", "en", "fr", "de", "es", "it", "ro", "xx")]), (F.col("item_id") % 8 + 1).cast("int"))
+    of = lambda model, mode: text.model_input(F.col("text"), model, mode, language)
+    return b.select("item_id", of("arctic", "search").alias("arctic"), of("jina", "search").alias("jina"), of("jina", "store").alias("jina_store"), of("mpnet", "search").alias("mpnet"), of("e5", "search").alias("e5"))
 
 
 @query("SELECT doc_id, length(text) > 0 AS valid, strlen(text)::INT AS bytes, CASE WHEN strlen(text) > 5000 THEN 'too long' WHEN text = '' THEN 'empty' ELSE 'ok' END AS verdict FROM documents")
@@ -196,9 +202,12 @@ def payload_binary_roundtrip(spark, sf_dir):
     return back.select("event_id", (text(F.struct(*names)) == text(F.struct(*[F.col(f"back.{n}").alias(n) for n in names]))).alias("same"))
 
 
-@query("SELECT doc_id, 64 AS width, text = '' AS empty FROM documents")
+HASHED_SQL = f"""words AS (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '\\s+')) AS term FROM documents), kept AS (SELECT * FROM words WHERE term <> ''), {murmur3_sql("kept")},
+cells AS (SELECT doc_id, (h % 64)::INT AS position, sum(CASE WHEN h >= 2147483648 THEN -1 ELSE 1 END) AS x FROM kept JOIN murmur USING (term) GROUP BY 1, 2)"""
+
+
+@query(f"WITH {HASHED_SQL} SELECT doc_id, position, round((x::FLOAT / sqrt(sum(x * x) OVER (PARTITION BY doc_id))::FLOAT)::DOUBLE, 5) + 0.0 AS value FROM cells QUALIFY x <> 0")
 def hashing_embedding(spark, sf_dir):
-    """Whole texts' vectors by the stand-in model: their width, and whether they are of length 0."""
-    rows = embedding.embed(table(spark, sf_dir, "documents", "doc_id", "text"), "mpnet", "store")
-    size = F.aggregate("dense", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
-    return rows.select("doc_id", F.size("dense").alias("width"), (size < 0.5).alias("empty"))
+    """Whole texts' vectors by the stand-in model: their elements that aren't 0."""
+    rows = embedding.embed(table(spark, sf_dir, "documents", "doc_id", "text"), "mpnet", "store").select("doc_id", F.posexplode("dense").alias("position", "x"))
+    return rows.filter("x <> 0").select("doc_id", "position", (F.round(F.col("x").cast("double"), 5) + 0.0).alias("value"))

@@ -9,6 +9,7 @@ from siftlake.functions import vectors as V
 from siftlake.operators import dense, fusion, sparse
 from siftlake.plans.inputs import table
 from siftlake.plans.registry import query
+from siftlake.scratch import written
 
 #: A query set: every row whose id is divisible by this, against all rows.
 EVERY = 50
@@ -18,17 +19,20 @@ DENSE_SQL = f"""dense AS (
   FROM (SELECT q.vec_id AS query_id, v.label AS site_id, v.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) + 0.0 AS score
         FROM embeddings q JOIN embeddings v ON q.label = v.label WHERE q.vec_id % {EVERY} = 0)
   QUALIFY rank <= 10)"""
+TERMS = r"unnest(regexp_extract_all(lower(text), '[\p{L}\p{M}]+')) AS term"
 TERMS_SQL = f"""terms AS (
-  SELECT 0 AS site_id, doc_id, term, count(*) AS tf
-  FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS term FROM documents) WHERE term NOT IN {STOP} GROUP BY doc_id, term)"""
+  SELECT site_id, doc_id, term, count(*) AS tf FROM (SELECT source AS site_id, doc_id, {TERMS} FROM documents) WHERE term NOT IN {STOP} GROUP BY ALL),
+n AS (SELECT source AS site_id, count(*) AS n FROM documents GROUP BY 1),
+dw AS (SELECT site_id, doc_id, term, tf * 1.0 / sum(tf) OVER (PARTITION BY site_id, doc_id) AS w FROM terms),
+df AS (SELECT site_id, term, count(*) AS df FROM terms GROUP BY 1, 2)"""
+SCORED_SQL = """scored AS (SELECT query_id, dw.site_id, dw.doc_id, sum(qw.w * ln((n - df + 0.5) / (df + 0.5) + 1) * dw.w) AS score
+  FROM qw JOIN dw USING (site_id, term) JOIN df USING (site_id, term) JOIN n USING (site_id) GROUP BY 1, 2, 3),
+sparse AS (SELECT *, row_number() OVER (PARTITION BY query_id, site_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM scored QUALIFY rank <= 10)"""
+#: Every benchmark item asked, asked of each tenant.
 SPARSE_SQL = f"""{TERMS_SQL},
-n AS (SELECT count(*) AS n FROM documents),
-dw AS (SELECT doc_id, term, tf * 1.0 / sum(tf) OVER (PARTITION BY doc_id) AS w FROM terms),
-df AS (SELECT term, count(*) AS df FROM terms GROUP BY term),
-qt AS (SELECT item_id, term, count(*) AS tf FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS term FROM benchmark WHERE item_id % {EVERY} = 0) WHERE term NOT IN {STOP} GROUP BY item_id, term),
-qw AS (SELECT item_id, term, tf * 1.0 / sum(tf) OVER (PARTITION BY item_id) AS w FROM qt),
-scored AS (SELECT item_id AS query_id, doc_id, sum(qw.w * ln((n - df + 0.5) / (df + 0.5) + 1) * dw.w) AS score FROM qw JOIN dw USING (term) JOIN df USING (term), n GROUP BY 1, 2),
-sparse AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM scored QUALIFY rank <= 10)"""
+qt AS (SELECT item_id, term, count(*) AS tf FROM (SELECT item_id, {TERMS} FROM benchmark WHERE item_id % {EVERY} = 0) WHERE term NOT IN {STOP} GROUP BY item_id, term),
+qw AS (SELECT item_id AS query_id, site_id, term, tf * 1.0 / sum(tf) OVER (PARTITION BY item_id, site_id) AS w FROM qt, n),
+{SCORED_SQL}"""
 
 
 def dense_rows(spark, sf_dir, k=10):
@@ -37,13 +41,28 @@ def dense_rows(spark, sf_dir, k=10):
     return dense.dense_topk(q, v, k)
 
 
+def by_tenant(spark, sf_dir, *columns):
+    """Documents with their source as the tenant."""
+    return table(spark, sf_dir, "documents").select(F.col("source").alias("site_id"), "doc_id", *columns)
+
+
+def weighted(rows, *keys):
+    return sparse.l1_weights(sparse.term_counts(rows, list(keys)), list(keys), "tf")
+
+
+def postings_of(spark, sf_dir):
+    """The terms' weights of all documents, written once as an index is: postings (site_id, doc_id, term, dw), and the tenants' sizes."""
+    postings = weighted(by_tenant(spark, sf_dir, "text"), "site_id", "doc_id").withColumnRenamed("weight", "dw")
+    return written(postings, "postings"), by_tenant(spark, sf_dir).groupBy("site_id").agg(F.count("*").alias("n"))
+
+
 def sparse_rows(spark, sf_dir, k=10):
-    docs = table(spark, sf_dir, "documents", "doc_id", "text").withColumn("site_id", F.lit(0))
-    asked = table(spark, sf_dir, "benchmark").filter(F.col("item_id") % EVERY == 0).select(F.col("item_id").alias("query_id"), "text", F.lit(0).alias("site_id"))
-    weighted = lambda x, keys: sparse.l1_weights(sparse.term_counts(x, keys), keys, "tf")
-    postings = weighted(docs, ["site_id", "doc_id"]).withColumnRenamed("weight", "dw")
-    n = docs.groupBy("site_id").agg(F.count("*").alias("n"))
-    return sparse.sparse_topk(weighted(asked, ["site_id", "query_id"]).withColumnRenamed("weight", "qw"), postings, n, k)
+    postings, n = postings_of(spark, sf_dir)
+    asked = table(spark, sf_dir, "benchmark").filter(F.col("item_id") % EVERY == 0).select(F.col("item_id").alias("query_id"), "text")
+    asked = weighted(asked, "query_id").withColumnRenamed("weight", "qw")
+    # A question goes to all tenants: their terms meet the tenants that have them.
+    there = postings.select("site_id", "term").distinct()
+    return sparse.sparse_topk(asked.join(there, "term"), postings, n, k)
 
 
 @query(f"WITH {DENSE_SQL} SELECT query_id, site_id, vec_id, score, rank FROM dense")
@@ -63,40 +82,45 @@ def dense_topk_filtered(spark, sf_dir):
 
 @query(f"WITH {TERMS_SQL} SELECT doc_id, term, round(tf * 1.0 / sum(tf) OVER (PARTITION BY doc_id), 9) AS weight FROM terms")
 def sparse_terms_l1(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents", "doc_id", "text")
-    return sparse.l1_weights(sparse.term_counts(docs, ["doc_id"]), ["doc_id"], "tf").withColumn("weight", F.round("weight", 9))
+    return weighted(table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id").withColumn("weight", F.round("weight", 9))
 
 
-@query(f"WITH {SPARSE_SQL} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM sparse")
+@query(f"WITH {SPARSE_SQL} SELECT query_id, site_id, doc_id, round(score, 6) AS score, rank FROM sparse")
 def sparse_idf_topk(spark, sf_dir):
-    return sparse_rows(spark, sf_dir).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+    return sparse_rows(spark, sf_dir).select("query_id", "site_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
 @query(f"""WITH {TERMS_SQL},
-t AS (SELECT * FROM terms WHERE length(term) >= 2), size AS (SELECT doc_id, sum(tf) AS len FROM t GROUP BY 1), mean AS (SELECT avg(len) AS a, count(*) AS n FROM size), df AS (SELECT term, count(*) AS df FROM t GROUP BY 1),
-w AS (SELECT doc_id, term, ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / a)) AS w FROM t JOIN size USING (doc_id) JOIN df USING (term), mean),
+t AS (SELECT * FROM terms WHERE length(term) >= 2), size AS (SELECT site_id, doc_id, sum(tf) AS len FROM t GROUP BY 1, 2), mean AS (SELECT site_id, avg(len) AS a, count(*) AS m FROM size GROUP BY 1), tdf AS (SELECT site_id, term, count(*) AS df FROM t GROUP BY 1, 2),
+w AS (SELECT doc_id, term, ln((m - df + 0.5) / (df + 0.5) + 1) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / a)) AS w FROM t JOIN size USING (site_id, doc_id) JOIN tdf USING (site_id, term) JOIN mean USING (site_id)),
 kept AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(w, 9) DESC, term) AS r FROM w QUALIFY r <= 128)
 SELECT doc_id, count(*) AS terms, round(max(w / total), 6) AS heaviest FROM (SELECT *, sum(w) OVER (PARTITION BY doc_id) AS total FROM kept) GROUP BY doc_id""")
 def sparse_bm25(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents", "doc_id", "text").withColumn("site_id", F.lit(0))
-    kept = sparse.bm25_weights(sparse.term_counts(docs, ["site_id", "doc_id"]), "site_id", "doc_id")
+    counts = written(sparse.term_counts(by_tenant(spark, sf_dir, "text"), ["site_id", "doc_id"]), "counts")
+    kept = sparse.bm25_weights(counts, "site_id", "doc_id")
     return kept.groupBy("doc_id").agg(F.count("*").alias("terms"), F.round(F.max("weight"), 6).alias("heaviest"))
 
 
-#: The two lists of the fused queries: by the text's terms, and by the texts' lengths alone as a stand-in for a second model.
-HYBRID_SQL = f"""{SPARSE_SQL},
-second AS (SELECT b.item_id AS query_id, d.doc_id, row_number() OVER (PARTITION BY b.item_id ORDER BY s.score * length(d.text) DESC, d.doc_id) AS rank
-           FROM benchmark b JOIN (SELECT query_id, doc_id, round(score, 6) AS score FROM scored) s ON s.query_id = b.item_id JOIN documents d USING (doc_id) QUALIFY rank <= 10),
-fused AS (SELECT query_id, doc_id, sum(1.0 / (2 + rank - 1)) AS score FROM (SELECT query_id, doc_id, rank FROM sparse UNION ALL SELECT query_id, doc_id, rank FROM second) GROUP BY 1, 2),
+#: The two lists of the fused queries: by the vectors of documents that have one, and by all documents' terms, both of the
+#: query's own tenant. A query is a document with a vector.
+HYBRID_SQL = f"""{TERMS_SQL},
+v AS (SELECT d.source AS site_id, d.doc_id, e.embedding::DOUBLE[] AS x FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id),
+q AS (SELECT * FROM v WHERE doc_id % {EVERY} = 0),
+qw AS (SELECT dw.doc_id AS query_id, dw.site_id, dw.term, dw.w FROM dw JOIN q USING (site_id, doc_id)),
+{SCORED_SQL},
+dense AS (SELECT q.doc_id AS query_id, v.doc_id, row_number() OVER (PARTITION BY q.doc_id ORDER BY round(list_cosine_similarity(q.x, v.x), 6) DESC, v.doc_id) AS rank
+  FROM q JOIN v USING (site_id) QUALIFY rank <= 10),
+fused AS (SELECT query_id, doc_id, sum(1.0 / (2 + rank - 1)) AS score FROM (SELECT query_id, doc_id, rank FROM sparse UNION ALL SELECT query_id, doc_id, rank FROM dense) GROUP BY 1, 2),
 ranked AS (SELECT query_id, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM fused)"""
 
 
 def hybrid_rows(spark, sf_dir, prefetch=10, limit=20):
-    docs = table(spark, sf_dir, "documents", "doc_id", "text")
-    scored = sparse_rows(spark, sf_dir, 1 << 30).select("query_id", "doc_id", "score", "rank")
-    weighed = scored.join(docs.select("doc_id", F.char_length("text").alias("n")), "doc_id")
-    second = weighed.select("query_id", "doc_id", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 6) * F.col("n")), "doc_id")).alias("rank"))
-    return fusion.hybrid(second, scored, "doc_id", prefetch, limit)
+    postings, n = postings_of(spark, sf_dir)
+    vectors = by_tenant(spark, sf_dir).join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id")
+    asked = vectors.filter(F.col("doc_id") % EVERY == 0)
+    by_vector = dense.dense_topk(asked.withColumnRenamed("doc_id", "query_id"), vectors, prefetch, vec_id="doc_id")
+    terms = postings.join(asked.select("site_id", "doc_id"), ["site_id", "doc_id"]).select(F.col("doc_id").alias("query_id"), "site_id", "term", F.col("dw").alias("qw"))
+    return fusion.hybrid(by_vector, sparse.sparse_topk(terms, postings, n, prefetch), "doc_id", prefetch, limit)
 
 
 @query(f"WITH {HYBRID_SQL} SELECT query_id, doc_id, score, rank FROM ranked WHERE rank <= 20")
@@ -121,14 +145,14 @@ def l2_normalize(spark, sf_dir):
     return v.select("vec_id", F.round(V.norm(F.col("embedding")), 6).alias("norm"), (F.round(V.normalised(F.col("embedding"))[0], 6) + 0.0).alias("first"))
 
 
-@query("""WITH e AS (SELECT label, vec_id % 3 > 0 AS m, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
-p AS (SELECT label, i, sum(CASE WHEN m THEN x ELSE 0 END) / greatest(sum(CASE WHEN m THEN 1.0 ELSE 0 END), 1e-9) AS x FROM e GROUP BY label, i)
-SELECT label, i AS position, round(x, 6) + 0.0 AS mean FROM p""")
+@query("""WITH e AS (SELECT vec_id, (vec_id + (i - 1) // 8) % 3 > 0 AS m, embedding[i]::DOUBLE AS x, (i - 1) % 8 + 1 AS position FROM embeddings, range(1, 65) r(i))
+SELECT vec_id, position, round(sum(CASE WHEN m THEN x ELSE 0 END) / greatest(sum(CASE WHEN m THEN 1.0 ELSE 0 END), 1e-9), 6) + 0.0 AS mean FROM e GROUP BY 1, 2""")
 def mean_pool(spark, sf_dir):
-    """A label's vectors as a chunk's token vectors, masked by id; one row per label is what a model call would hold."""
-    v = table(spark, sf_dir, "embeddings").select("label", (F.col("vec_id") % 3 > 0).cast("int").alias("m"), F.posexplode("embedding").alias("p", "x"))
-    mean = F.sum(F.col("x").cast("double") * F.col("m")) / F.greatest(F.sum(F.col("m").cast("double")), F.lit(1e-9))
-    return v.groupBy("label", (F.col("p") + 1).cast("long").alias("position")).agg((F.round(mean, 6) + 0.0).alias("mean"))
+    """A vector's eighths as a chunk's token vectors, some of them masked."""
+    tokens = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.slice("embedding", i * 8 + 1, F.lit(8)))
+    mask = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: ((F.col("vec_id") + i) % 3 > 0).cast("int"))
+    v = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(V.mean_pool(tokens, mask)).alias("p", "x"))
+    return v.select("vec_id", (F.col("p") + 1).cast("long").alias("position"), (F.round("x", 6) + 0.0).alias("mean"))
 
 
 @query("""WITH t AS (SELECT vec_id, embedding, embedding[64]::DOUBLE AS d FROM embeddings)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftlake.operators.dlq import as_payload, without_replayed
+from siftlake.scratch import written
 from siftlake.sources.queue import from_bytes, publish
 
 
@@ -16,8 +17,8 @@ def replay(letters: DataFrame, path: str, limit: int | None = None, dry_run: boo
     all. The caller writes what stays where letters are not read from.
     """
     read = letters.withColumn("_m", from_bytes(F.unbase64("payload_proto"))).filter(F.col("payload_proto").isNotNull() & F.col("_m.site_id").isNotNull())
-    read = read.orderBy("timestamp", "site_id", "doc_id")
-    chosen = read.limit(limit) if limit is not None else read
+    read = read.orderBy("timestamp", "site_id", "doc_id", "payload_proto")
+    chosen = written(read.limit(limit) if limit is not None else read, "replay")  # chosen once: what is sent is what goes
     messages = as_payload(chosen.select("_m.*"), F.unix_millis(F.current_timestamp()))
     if dry_run:
         return messages, letters
