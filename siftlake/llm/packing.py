@@ -15,9 +15,8 @@ from siftlake.llm.common import documents, text_slices, two_columns, written
 
 LIMIT, END_ID = 1024, 2
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-#: Bytes of text that are encoded together, and words that are remembered: fewer than elsewhere, since in the pipeline other
-#: stages' workers hold memory too.
-SLICE, MEMO = 4 << 20, 300_000
+#: Bytes of text that are encoded together.
+SLICE = 1 << 20
 #: Rows of one length that are numbered in one task, about.
 RANKED_TOGETHER = 4000
 ITERATIONS = 400
@@ -31,7 +30,7 @@ def token_pieces(docs: DataFrame, path: str | None = None, limit: int = LIMIT, e
     path = path or encoding.default_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = encoding.encoder(path, MEMO)
+        code = encoding.encoder(path)
         for b in text_slices(batches, SLICE):
             ids, edges = code.encode(b.column("text"), end_id)
             raw, sizes = memoryview(ids.astype("<u4").tobytes()), np.diff(edges)
