@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,28 +25,30 @@ _LETTERS: list[np.ndarray] = []
 
 def letters() -> np.ndarray:
     if not _LETTERS:
-        _LETTERS.append(np.array([chr(i).isalpha() for i in range(0x20000)]))
+        _LETTERS.append(np.array([chr(i).isalpha() for i in range(sys.maxunicode + 1)]))
     return _LETTERS[0]
 
 
 def cells_of(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """(cells of the n-grams that begin at each place, for each n; where each text begins; whether it has a letter).
 
-    Texts are lower-cased, other characters than letters count as a space, and every text ends with spaces, so that no
-    n-gram crosses texts.
+    Texts are lower-cased, other characters than letters count as a space, and every text ends with spaces. What would
+    reach into the next text falls into the cell CELLS, which counts for nothing.
     """
     pad = " " * max(GRAMS)
     lowered = [t.lower() + pad for t in texts]
     begins = np.cumsum([0, *map(len, lowered)])
     code = np.frombuffer("".join(lowered).encode("utf-32-le", "surrogatepass"), np.uint32)
-    table = letters()
-    letter = table[np.minimum(code, len(table) - 1)]
+    letter = letters()[code]
     code = np.where(letter, code, np.uint32(32))
     cells, mixed = [], np.zeros(len(code), np.uint32)
     for k in range(max(GRAMS)):
         mixed = mixed[: len(code) - k] * np.uint32(0x9E3779B1) + code[k:] * np.uint32(0x85EBCA6B) + np.uint32(k + 1)
         if k + 1 in GRAMS:
-            cells.append((mixed ^ mixed >> np.uint32(15)) * np.uint32(0x2C1B3C6D) >> np.uint32(17))
+            cell = (mixed ^ mixed >> np.uint32(15)) * np.uint32(0x2C1B3C6D) >> np.uint32(17)
+            for j in range(1, k + 1):
+                cell[begins[1:-1] - j] = CELLS
+            cells.append(cell)
     has = np.add.reduceat(letter, begins[:-1], dtype=np.int64) > 0 if len(texts) else np.empty(0, bool)
     return cells, begins, has
 
@@ -57,6 +60,7 @@ class Model:
         self.languages = languages
         smooth = counts + SMOOTHING
         self.cells = np.log(smooth / smooth.sum(1, keepdims=True)).astype(np.float32) if languages else np.zeros((0, CELLS), np.float32)
+        self.cells = np.concatenate([self.cells, np.zeros((len(languages), 1), np.float32)], 1)
         self.prior = np.log((documents + 1) / (documents.sum() + len(languages))) if languages else np.zeros(0)
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
@@ -94,7 +98,7 @@ def train(docs: DataFrame) -> Model:
                 own[CELLS] += int(mine.sum())
                 inside = np.repeat(mine & has, np.diff(begins))
                 for c in cells:
-                    own[:CELLS] += np.bincount(c[inside[: len(c)]], minlength=CELLS)
+                    own[:CELLS] += np.bincount(c[inside[: len(c)]], minlength=CELLS + 1)[:CELLS]
         for name, own in sums.items():
             there = np.flatnonzero(own)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(there), pa.string()), pa.array(there.astype(np.int32)), pa.array(own[there])], names=["lang", "cell", "n"])
