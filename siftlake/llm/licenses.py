@@ -33,19 +33,73 @@ NOTICES = {
     "cc by sa": "cc-by-sa",
     "cc0 1 0 universal": "cc0",
     "dedicated to the public domain": "public-domain",
+    "released into the public domain": "public-domain",
+    "common development and distribution license": "cddl",
+    "server side public license": "sspl",
+    "european union public licence": "eupl",
+    "sil open font license": "ofl",
+    "python software foundation license": "psf",
+    "open software license": "osl",
+    "academic free license": "afl",
+    "artistic license": "artistic",
+    "postgresql license": "postgresql",
+    "openssl license": "openssl",
+    "zlib license": "zlib",
+    "zlib libpng license": "zlib",
+    "the origin of this software must not be misrepresented": "zlib",
+    "permission to use copy modify and or distribute this software for any purpose": "isc",
+    "do what the fuck you want to public license": "wtfpl",
+    "business source license": "busl",
+    "creative commons zero": "cc0",
+    "open database license": "odbl",
     "this is free and unencumbered software": "unlicense",
     "all rights reserved": "all-rights-reserved",
 }
 TAG = "spdx license identifier"
 #: How sure a base phrase, a notice and a readable expression make a licence.
 WEIGHTS = {"base": 0.7, "notice": 0.5, "tag": 0.9}
-#: Identifiers' beginnings and the family that they name, longest first where one begins another.
-FAMILIES = {"agpl": "agpl", "lgpl": "lgpl", "gpl": "gpl", "gfdl": "gfdl", "apache": "apache", "mit": "mit", "bsd": "bsd", "isc": "isc", "mpl": "mpl", "epl": "epl", "bsl": "bsl", "cc0": "cc0", "cc-by-nc": "cc-by-nc", "cc-by-nd": "cc-by-nd", "cc-by-sa": "cc-by-sa", "cc-by": "cc-by", "unlicense": "unlicense", "zlib": "zlib"}
+#: SPDX identifiers by family, as patterns of whole identifiers in lower case; all others are `other`.
+FAMILIES = {
+    "gpl": r"gpl-(1\.0|2\.0|3\.0)",
+    "lgpl": r"lgpl-(2\.0|2\.1|3\.0)",
+    "agpl": r"agpl-(1\.0|3\.0)",
+    "gfdl": r"gfdl-1\.[123](-invariants|-no-invariants)?",
+    "apache": r"apache-(1\.0|1\.1|2\.0)",
+    "mit": r"mit|mit-0|mit-advertising|mit-cmu|mit-enna|mit-feh|mit-festival|mit-modern-variant|mit-open-group|mit-wu|mitnfa",
+    "bsd": r"0bsd|bsd-[1234]-clause(-[a-z0-9-]+)?|bsd-protection|bsd-source-code",
+    "isc": r"isc",
+    "mpl": r"mpl-(1\.0|1\.1|2\.0)(-no-copyleft-exception)?",
+    "epl": r"epl-(1\.0|2\.0)",
+    "eupl": r"eupl-1\.[012]",
+    "cddl": r"cddl-1\.[01]",
+    "bsl": r"bsl-1\.0",
+    "busl": r"busl-1\.1",
+    "sspl": r"sspl-1\.0",
+    "ofl": r"ofl-1\.[01](-no-rfn|-rfn)?",
+    "artistic": r"artistic-(1\.0|2\.0)(-cl8|-perl)?",
+    "psf": r"psf-2\.0|python-2\.0(\.1)?",
+    "postgresql": r"postgresql",
+    "openssl": r"openssl|openssl-standalone",
+    "odbl": r"odbl-1\.0",
+    "cc0": r"cc0-1\.0",
+    "cc-by-nc": r"cc-by-nc(-nd|-sa)?-(1\.0|2\.0|2\.5|3\.0|4\.0)(-[a-z]{2,3})?",
+    "cc-by-nd": r"cc-by-nd-(1\.0|2\.0|2\.5|3\.0|4\.0)(-[a-z]{2,3})?",
+    "cc-by-sa": r"cc-by-sa-(1\.0|2\.0|2\.1|2\.5|3\.0|4\.0)(-[a-z]{2,3})?",
+    "cc-by": r"cc-by-(1\.0|2\.0|2\.5|3\.0|4\.0)(-[a-z]{2,3})?",
+    "unlicense": r"unlicense|unlicense-libtelnet|unlicense-libwhirlpool",
+    "zlib": r"zlib|zlib-acknowledgement",
+    "wtfpl": r"wtfpl",
+}
+LATER = r"(-only|-or-later|\+)?"
+_FAMILY = re.compile("|".join(f"(?P<f{i}>(?:{ids}){LATER})" for i, ids in enumerate(FAMILIES.values())))
 #: Families whose terms ask for no more than attribution.
-PERMISSIVE = frozenset({"apache", "mit", "bsd", "isc", "bsl", "cc0", "cc-by", "unlicense", "zlib"})
+PERMISSIVE = frozenset({"apache", "mit", "bsd", "isc", "bsl", "cc0", "cc-by", "unlicense", "zlib", "psf", "postgresql", "openssl", "wtfpl"})
 #: Operators of an expression and how tightly they bind.
 BINDING = {"or": 1, "and": 2, "with": 3}
-EXPRESSION = re.compile(r"spdx-license-identifier[ \t]*:[ \t]*([^\r\n]*)")
+EXPRESSION = re.compile(r"spdx-license-identifier[ \t]*:[ \t]*")
+LINE = re.compile(r"[^\r\n]*")
+#: The end of a line and what marks the next one as a comment.
+NEXT = re.compile(r"\r?\n[ \t]*(?:/\*+|\*+(?!/)|//+|#+|--|;+|%+|<!--|rem\b)?[ \t]*")
 LEXEME = re.compile(r"[()]|[a-z0-9][a-z0-9.+:-]*")
 #: ASCII letters in lower case, other ASCII but digits as spaces, the rest as it is.
 FOLD = bytes((b | 32) if 65 <= b <= 90 else b if 97 <= b <= 122 or 48 <= b <= 57 or b >= 128 else 32 for b in range(256))
@@ -63,22 +117,39 @@ def automaton() -> ahocorasick.Automaton:
     return found
 
 
+def expression(text: str, at: int) -> str:
+    """The line from `at` on, with the lines after it as long as a bracket is open, without their comment marks. An empty line
+    or another tag ends it."""
+    found = LINE.match(text, at)
+    parts, open_ = [found[0]], found[0].count("(") - found[0].count(")")
+    while open_ > 0 and (mark := NEXT.match(text, found.end())):
+        found = LINE.match(text, mark.end())
+        if not found[0].strip() or "spdx-license-identifier" in found[0]:
+            break
+        parts.append(found[0])
+        open_ += found[0].count("(") - found[0].count(")")
+    return " ".join(parts)
+
+
 def postfix(expression: str) -> list[str] | None:
     """The leading licence expression of a line in postfix order, or None if there is none.
 
-    What follows a whole expression (the end of a comment, say) is left out; an unclosed bracket makes it unreadable.
+    `with` stands between a single licence and a single exception; anything else there makes the expression unreadable, as
+    an unclosed bracket does. What follows a whole expression (the end of a comment, say) is left out.
     """
     out: list[str] = []
     stack: list[str] = []
-    operand = False  # whether an operand has just ended
+    operand = single = False  # whether an operand has just ended, and whether it is a single licence
     opened, at, line = 0, 0, expression.lower()
     for m in LEXEME.finditer(line):
         if line[at : m.start()].strip():
             break
-        word = m[0]
+        word, after_with = m[0], bool(stack) and stack[-1] == "with" and not operand
         if word == "(":
             if operand:
                 break
+            if after_with:
+                return None
             stack.append(word)
             opened += 1
         elif word == ")":
@@ -88,8 +159,9 @@ def postfix(expression: str) -> list[str] | None:
                 out.append(stack.pop())
             stack.pop()
             opened -= 1
+            single = False
         elif word in BINDING:
-            if not operand:
+            if not operand or word == "with" and not single:
                 return None
             while stack and stack[-1] != "(" and BINDING[stack[-1]] >= BINDING[word]:
                 out.append(stack.pop())
@@ -99,7 +171,7 @@ def postfix(expression: str) -> list[str] | None:
             if operand:
                 break
             out.append(word)
-            operand = True
+            operand, single = True, not after_with
         at = m.end()
     if opened or not operand:
         return None
@@ -107,7 +179,9 @@ def postfix(expression: str) -> list[str] | None:
 
 
 def family(identifier: str) -> str:
-    return next((f for start, f in FAMILIES.items() if identifier.startswith(start)), "other")
+    """The family of a whole identifier."""
+    found = _FAMILY.fullmatch(identifier)
+    return list(FAMILIES)[int(found.lastgroup[1:])] if found else "other"
 
 
 def evaluate(order: list[str], allowed: frozenset[str] = PERMISSIVE) -> tuple[bool, frozenset[str]]:
@@ -119,7 +193,7 @@ def evaluate(order: list[str], allowed: frozenset[str] = PERMISSIVE) -> tuple[bo
     for word in order:
         if word in BINDING:
             (b, y), (a, x) = stack.pop(), stack.pop()
-            stack.append({"or": (a or b, x | y), "and": (a and b, x | y), "with": (a, x)}[word])
+            stack.append({"or": (a or b, x | y), "and": (a and b, x | y), "with": (a, x)}[word])  # an exception has no family
         else:
             stack.append((family(word) in allowed, frozenset({family(word)})))
     return stack[0]
@@ -150,8 +224,9 @@ def scan(text: str, found: ahocorasick.Automaton) -> tuple:
                     labels.add(label)
                     doubt *= 1 - WEIGHTS[kind]
     expressions, permissive = [], None
-    for m in EXPRESSION.finditer(text.lower()) if tagged else ():
-        order = postfix(m[1])
+    low = text.lower() if tagged else ""
+    for m in EXPRESSION.finditer(low):
+        order = postfix(expression(low, m.end()))
         if order is None:
             continue
         ok, families = evaluate(order)
