@@ -91,8 +91,8 @@ def label_model(votes: np.ndarray, labels: np.ndarray) -> np.ndarray:
     """Posterior of toxic for each row of votes (rows by voters, 0 or 1).
 
     Each voter votes with one chance in toxic and another in other texts (its accuracies); they begin at the labelled
-    shares, which also weigh as a prior, and are estimated by expectation maximisation. A voter that abstains says
-    nothing; one more voter votes where all others abstain. What voters have in common beyond the class is measured by the
+    shares, which weigh as a prior, and are estimated by expectation maximisation over the votes: no text's own label is
+    looked at. A voter that abstains says nothing; one more voter votes where all others abstain. What voters have in common beyond the class is measured by the
     correlations of their residuals, and a voter's evidence is divided by the squared correlations it shares, so that two
     beginnings of one word don't count twice.
     """
@@ -101,7 +101,7 @@ def label_model(votes: np.ndarray, labels: np.ndarray) -> np.ndarray:
     base = np.clip(labels.mean() if n else 0.05, 0.005, 0.995)
     shares = [(votes[labels == y].sum(0) + 0.05) / ((labels == y).sum() + 1) for y in (0, 1)]
     off, on = shares
-    q = np.where(labels == 1, 0.95, 0.05)
+    q = 1 / (1 + np.exp(-np.clip(np.log(base / (1 - base)) + votes @ np.log(on / off), -30, 30)))
     for _ in range(ROUNDS):
         residual = votes - (q[:, None] * on + (1 - q[:, None]) * off)
         residual /= np.sqrt((residual**2).sum(0)) + 1e-9
@@ -211,7 +211,8 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
 
 
 def score_texts(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, held_out, score and predicted of every row, from its text alone; null and empty texts get the score of no vote."""
+    """doc_id, held_out, score and predicted of every row, from its text alone; null and empty texts get the score of no vote,
+    rows that repeat the same score; a score of just THRESHOLD is predicted toxic."""
     shared = docs.sparkSession.sparkContext.broadcast((model.voters.terms, model.weights, model.bias))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,6 +227,9 @@ def score_texts(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, held_out, score and predicted of every row of docs, by what the labels (doc_id, toxic) outside the held-out fold
+    teach; a label of 1 counts where labels of an id differ. Rows that repeat are scored alike, null as empty texts; an empty
+    table gives no rows, and without labels the lexicon and the patterns alone decide."""
     return score_texts(docs, learn(docs, labels))
 
 
