@@ -2,11 +2,7 @@
 
 from __future__ import annotations
 
-import atexit
 import ctypes
-import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -15,11 +11,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftlake.scratch import Scratch, scratch_folder, written  # noqa: F401
+
 #: The white space of the contracts, as a Java class.
 SPACE = r"[\x20\x09-\x0D]"
 #: Bytes of text that one task is to hold when an operator sizes its own partitions.
 TASK_BYTES = 16 << 20
-_FOLDERS: dict[str, str] = {}
+#: A table of numbers with at most so many rows is broadcast; a larger one meets the rows by a shuffle.
+BROADCAST = 200_000
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -43,43 +42,13 @@ def about(rows: DataFrame, most: int, total: int, *keys: str) -> DataFrame:
     return rows.filter(F.pmod(F.xxhash64(*keys), F.lit(1 << 32)) < int((1 << 32) * most / total))
 
 
-def scratch_folder(spark: SparkSession) -> str:
-    """A folder of this run below spark.checkpoint.dir, which all executors share; one of its own only where that is unset."""
-    app = spark.sparkContext.applicationId
-    if app not in _FOLDERS:
-        base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-        if not base:
-            if not re.match(r"local(\[|$)", spark.sparkContext.master):
-                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-            base = f"file://{tempfile.gettempdir()}/siftlake-shared"
-        _FOLDERS[app] = f"{base.rstrip('/')}/siftlake-{uuid.uuid4().hex}"
-        atexit.register(_remove, spark, _FOLDERS[app])
-    return _FOLDERS[app]
-
-
-def _remove(spark: SparkSession, folder: str) -> None:
-    try:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    except Exception:  # the JVM is gone; the cluster's own cleaning takes over
-        pass
-
-
-class Scratch:
-    """A written table that cuts the lineage: read it with df, remove it with drop() once nothing reads it."""
-
-    def __init__(self, df: DataFrame, name: str):
-        self.spark = df.sparkSession
-        self.path = f"{scratch_folder(self.spark)}/{name}-{uuid.uuid4().hex[:12]}"
-        df.write.parquet(self.path)
-        self.df = self.spark.read.schema(df.schema).parquet(self.path)
+def is_small(df: DataFrame) -> bool:
+    return df.limit(BROADCAST + 1).count() <= BROADCAST
 
-    def drop(self) -> None:
-        _remove(self.spark, self.path)
 
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    return Scratch(df, name).df
+def small(df: DataFrame) -> DataFrame:
+    """df, a written table of a few numbers a row, marked for a broadcast if it has few rows, else for a merge join."""
+    return F.broadcast(df) if is_small(df) else df.hint("merge")
 
 
 def partitions_for(n_bytes: int | None, per_task: int = TASK_BYTES, least: int = 1) -> int:
@@ -113,18 +82,16 @@ def give_back() -> None:
 
 
 def kept_where(docs: DataFrame, test: Callable[[pa.Array], np.ndarray], text_col: str = "text") -> DataFrame:
-    """The rows of docs, with all columns, whose text passes a test of a slice's column of texts."""
-
-    at = docs.columns.index(text_col)
+    """The rows of docs, with all columns, whose text passes a test of a slice's column of texts. Only texts go to Python and
+    only truth values come back."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = pa.RecordBatch.from_arrays([b.column(at)], names=["text"])
-            ok = [test(s.column(0)) for s in text_slices([texts])]
-            yield b.filter(pa.array(np.concatenate(ok))) if ok else b
+    @F.arrow_udf("boolean")
+    def passes(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for c in columns:
+            ok = [test(s.column(0)) for s in text_slices([pa.RecordBatch.from_arrays([c], names=["text"])])]
+            yield pa.array(np.concatenate(ok) if ok else np.empty(0, bool), pa.bool_())
 
-    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # names may have dots
-    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
+    return docs.filter(passes(F.col(f"`{text_col}`").cast("string")))
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
