@@ -12,12 +12,12 @@ OVERHEAD, WITHIN_THREE = 3.0, 0.9973
 
 
 def byte_size(text: Column, default: int) -> Column:
-    """`10K`, `1.5m`: a number with an optional unit of 1024; anything else gives the default."""
+    """`10K`, `1.5m`, `-.5e1G`: a number with an optional unit of 1024; anything else gives the default. Fractions of a byte are cut off."""
     clean = F.trim(text)
-    n = F.regexp_extract(clean, r"^(\d+(?:\.\d+)?)[KMGTkmgt]?$", 1).try_cast("double")
+    n = F.regexp_extract(clean, r"^([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)[KMGTkmgt]?$", 1).try_cast("double")
     unit = F.upper(F.regexp_extract(clean, r"([KMGTkmgt])$", 1))
     factor = F.when(unit == "K", 2.0**10).when(unit == "M", 2.0**20).when(unit == "G", 2.0**30).when(unit == "T", 2.0**40).otherwise(1.0)
-    return F.coalesce(F.floor(n * factor), F.lit(default).cast("bigint"))
+    return F.coalesce((n * factor).cast("bigint"), F.lit(default).cast("bigint"))
 
 
 def boolean(text: Column, default: bool) -> Column:
@@ -40,10 +40,13 @@ def real(text: Column, default: float) -> Column:
 
 
 def duration_ms(text: Column, default: int) -> Column:
-    """`500ms`, `5m`, `1h30m` in milliseconds; anything else gives the default."""
-    part = lambda unit: F.coalesce(F.regexp_extract(text, rf"(\d+(?:\.\d+)?){unit}(?![a-z])", 1).try_cast("double"), F.lit(0.0))
-    total = part("h") * 3_600_000 + part("m") * 60_000 + part("s") * 1000 + part("ms")
-    return F.when(text.rlike(r"^(\d+(\.\d+)?(h|ms|m|s))+$"), F.floor(total)).otherwise(F.lit(default).cast("bigint"))
+    """`500ms`, `5m`, `-1h30m.5s`, `1500us`: signed sums of numbers with units, in whole milliseconds; `0` needs none. Anything else gives the default."""
+    number = r"(\d+\.?\d*|\.\d+)"
+    found = lambda unit: F.regexp_extract_all(text, F.lit(rf"{number}{unit}(?![a-zµ])"), F.lit(1))
+    part = lambda unit: F.aggregate(found(unit), F.lit(0.0), lambda s, x: s + x.cast("double"))
+    total = sum((part(unit) * ms for unit, ms in (("h", 3_600_000.0), ("m", 60_000.0), ("s", 1000.0), ("ms", 1.0), ("(?:us|µs)", 1e-3), ("ns", 1e-6))), F.lit(0.0))
+    ok = text.rlike(rf"^[+-]?(({number}(h|ms|m|us|µs|ns|s))+|0)$")
+    return F.when(ok, (F.when(text.startswith("-"), -total).otherwise(total)).cast("bigint")).otherwise(F.lit(default).cast("bigint"))
 
 
 def address(text: Column) -> Column:

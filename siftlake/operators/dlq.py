@@ -65,6 +65,25 @@ def live(letters: DataFrame, now: Column, key: str = "site_id", ts: str = "ts",
     return letters.withColumn("_gone", F.sum(ends).over(w)).filter("_gone = 0").drop("_gone")
 
 
+def append(letters: DataFrame, counters: DataFrame, new: DataFrame, now: Column, key: str = "site_id", ts: str = "ts", kept_s: int = KEPT_S, quiet_s: int = QUIET_S) -> tuple[DataFrame, DataFrame]:
+    """(letters, counters) after new letters, all later than those before: list, count and ranking from one batch.
+
+    counters: key, n, last, total. n counts a tenant's letters since the last quiet_s without one, total all for the ranking
+    (ranked); a tenant's list goes once kept_s have passed without a letter, its counter stays.
+    """
+    found = sessions(new, key, ts, quiet_s).groupBy(key).agg(F.max_by("n", "begin").alias("_n"), F.max("last").alias("_last"), F.min("begin").alias("_first"), F.count("*").alias("_sessions"), F.sum("n").alias("_all"))
+    both = counters.join(found, key, "full")
+    goes_on = (F.col("_sessions") == 1) & (_micros(F.col("_first")) - _micros(F.col("last")) < quiet_s * 1_000_000)
+    n = F.when(F.col("_n").isNull(), F.col("n")).when(goes_on, F.col("n") + F.col("_n")).otherwise(F.col("_n"))
+    after = both.select(key, n.alias("n"), F.coalesce("_last", "last").alias("last"), (F.coalesce("total", F.lit(0)) + F.coalesce("_all", F.lit(0))).alias("total"))
+    return live(letters.unionByName(new), now, key, ts, kept_s), after
+
+
+def ranked(counters: DataFrame, n: int = 10, key: str = "site_id") -> DataFrame:
+    """The tenants with the most letters so far."""
+    return counters.orderBy(F.desc("total"), key).limit(n)
+
+
 def status_counts(letters: DataFrame) -> DataFrame:
     """total, pending, reprocessed, discarded; zeros for an empty table."""
     return letters.agg(F.count("*").alias("total"), *[F.count_if(F.col("status") == s).alias(s) for s in ("pending", "reprocessed", "discarded")])

@@ -77,6 +77,18 @@ def dlq_ttl_live(spark, sf_dir):
     return dlq.live(letters(spark, sf_dir), F.lit(now).cast("timestamp_ntz"), kept_s=3 * 24 * 3600).select("site_id", "event_id")
 
 
+@query(f"""WITH {SESSIONS_SQL}, e AS (SELECT site_id, session, count(*) AS n, max(ts) AS last FROM h GROUP BY 1, 2)
+SELECT site_id, max_by(n, session) AS n, max(last) AS last, sum(n)::BIGINT AS total FROM e GROUP BY 1""")
+def dlq_append(spark, sf_dir):
+    """Counters of two batches one after the other."""
+    rows = letters(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
+    none = rows.filter("false").select("site_id", F.lit(0).cast("long").alias("n"), F.col("ts").alias("last"), F.lit(0).cast("long").alias("total"))
+    now, cut = F.lit("2024-03-01").cast("timestamp"), "timestamp'2024-01-16'"
+    _, first = dlq.append(rows.filter("false"), none, rows.filter(f"ts < {cut}"), now, quiet_s=QUIET)
+    _, both = dlq.append(rows.filter(f"ts < {cut}"), first, rows.filter(f"ts >= {cut}"), now, quiet_s=QUIET)
+    return both.withColumn("last", F.col("last").cast("timestamp_ntz"))
+
+
 @query(f"WITH {LETTERS_SQL} SELECT event_id, site_id FROM letters WHERE NOT (payload IS NOT NULL AND payload <> '' AND status = 'pending')")
 def dlq_replay_antijoin(spark, sf_dir):
     rows = letters(spark, sf_dir)

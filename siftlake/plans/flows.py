@@ -14,7 +14,7 @@ from siftlake.plans.registry import query
 from siftlake.plans.search import EVERY, STOP, TERMS, TERMS_SQL, by_tenant
 from siftlake.schemas import PAYLOAD
 from siftlake.scratch import scratch_folder
-from siftlake.sources import jsonl, queue
+from siftlake.sources import jsonl, keyspace, queue
 from siftlake.streaming import ingest
 
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
@@ -115,6 +115,22 @@ def fresh(spark, name):
     return f"{scratch_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+@query("""SELECT 'k' || event_id AS key, ['string', 'list', 'set', 'hash', 'zset'][event_id % 5 + 1] AS kind, CASE event_id % 5 WHEN 0 THEN 'v "' || event_type || '"'
+WHEN 1 THEN to_json([event_type, 'a'])::VARCHAR WHEN 2 THEN to_json(list_sort([event_type, 'a']))::VARCHAR WHEN 3 THEN '{"user":"' || user_id || '"}' ELSE '{"' || event_type || '":' || (event_id % 7) || '.5}' END AS value FROM events""")
+def keyspace_roundtrip(spark, sf_dir):
+    """Events as entries of all kinds, dumped and read back."""
+    kind = F.col("event_id") % 5
+    entries = table(spark, sf_dir, "events").select(
+        F.concat(F.lit("k"), "event_id").alias("key"), F.element_at(F.array(*map(F.lit, ("string", "list", "set", "hash", "zset"))), (kind + 1).cast("int")).alias("kind"),
+        F.when(kind == 0, F.concat(F.lit('v "'), "event_type", F.lit('"'))).alias("text"), F.when(kind.isin(1, 2), F.array("event_type", F.lit("a"))).alias("items"),
+        F.when(kind == 3, F.create_map(F.lit("user"), F.col("user_id").cast("string"))).alias("fields"), F.when(kind == 4, F.create_map("event_type", F.col("event_id") % 7 + F.lit(0.5).cast("double"))).alias("scores"),
+    )
+    path = fresh(spark, "keyspace")
+    keyspace.dump(entries, path)
+    text = lambda c: F.to_json(c).cast("string")
+    return keyspace.rows(spark, path).select("key", "kind", F.coalesce("text", text("items"), text("fields"), text("scores")).alias("value"))
+
+
 @query("SELECT p_partkey, to_json(list_transform(list_filter(string_split(p_name, ' '), lambda w, i: i > 1 AND i < 4), lambda w: 'Ġ' || w)) AS kept FROM part")
 def content_tokens(spark, sf_dir):
     """A prompt's prefix and the padding taken off: of a name's words the second and the third."""

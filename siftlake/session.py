@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import functools
 import os
+import shutil
 import site
 import tempfile
 import zipfile
@@ -43,7 +45,9 @@ def ship(spark: SparkSession) -> None:
     local = context.master.startswith("local") and package.parent in [*known, Path.cwd()]
     if local or str(package.parent) in [*site.getsitepackages(), site.getusersitepackages()]:
         return
-    archive = Path(tempfile.mkdtemp(prefix="siftlake-")) / "siftlake.zip"
+    folder = tempfile.mkdtemp(prefix="siftlake-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = Path(folder) / "siftlake.zip"
     with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
         for f in sorted(package.rglob("*.py")):
             out.write(f, f.relative_to(package.parent))

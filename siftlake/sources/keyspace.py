@@ -5,6 +5,8 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 #: What a row can hold: the value by the key's kind.
@@ -57,3 +59,22 @@ class Keyspace(DataSource):
 
     def reader(self, schema) -> KeyspaceReader:
         return KeyspaceReader(self.options)
+
+
+def rows(spark: SparkSession, path: str) -> DataFrame:
+    """The same rows from files that Spark reads, split among tasks, wherever they lie."""
+    lines = spark.read.text(path).filter(F.trim("value") != "")
+    found = lines.select(F.from_json("value", "key string, kind string, value string").alias("e")).select("e.*")
+    of = lambda kind, schema: F.when(F.col("kind") == kind, F.from_json("value", schema))
+    return found.select(
+        "key", "kind", F.when(F.col("kind") == "string", F.col("value")).alias("text"), F.coalesce(of("list", "array<string>"), F.array_sort(of("set", "array<string>"))).alias("items"),
+        of("hash", "map<string,string>").alias("fields"), of("zset", "map<string,double>").alias("scores"),
+    )
+
+
+def dump(entries: DataFrame, path: str) -> None:
+    """Rows as files that `rows` and the data source read."""
+    value = F.coalesce(F.to_json("items").cast("string"), F.to_json("fields").cast("string"), F.to_json("scores").cast("string"))
+    text = F.regexp_extract(F.to_json(F.struct("text")).cast("string"), r'^\{"text":(.*)\}$', 1)
+    head = F.regexp_extract(F.to_json(F.struct("key", "kind")).cast("string"), r"^(.*)\}$", 1)
+    entries.select(F.concat(head, F.lit(',"value":'), F.when(F.col("kind") == "string", text).otherwise(value), F.lit("}")).alias("value")).write.text(path)

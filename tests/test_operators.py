@@ -19,11 +19,30 @@ def one(spark, column):
     return spark.range(1).select(column.alias("x")).first()[0]
 
 
-@pytest.mark.parametrize("size,want", [("10K", 10 << 10), ("5M", 5 << 20), ("2G", 2 << 30), ("1T", 1 << 40), ("1024", 1024), ("1.5M", 3 << 19), ("  10M  ", 10 << 20), ("", 7), ("ABC", 7), ("5m", 5 << 20)])
+@pytest.mark.parametrize("size,want", [("10K", 10 << 10), ("5M", 5 << 20), ("2G", 2 << 30), ("1T", 1 << 40), ("1024", 1024), ("1.5M", 3 << 19), ("  10M  ", 10 << 20), ("", 7), ("ABC", 7), ("5m", 5 << 20), (".5K", 512), ("1e3", 1000), ("-2K", -2048), ("+1.k", 1024), ("1.9", 1), (".", 7), ("K", 7)])
 def test_byte_size(spark, size, want):
     assert one(spark, values.byte_size(F.lit(size), 7)) == want
 
 
+@pytest.mark.parametrize("text_,want", [("500ms", 500), ("1h30m", 5_400_000), ("1m1m", 120_000), ("-1.5s", -1500), (".5s", 500), ("1500us", 1), ("2000000ns", 2), ("1s500ms", 1500), ("0", 0), ("5", 9), ("5x", 9), ("", 9), ("s", 9)])
+def test_duration(spark, text_, want):
+    assert one(spark, values.duration_ms(F.lit(text_), 9)) == want
+
+
+def test_dlq_append_keeps_and_forgets(spark):
+    at = lambda *minutes: [(1, dt.datetime(2024, 1, 1) + dt.timedelta(minutes=m)) for m in minutes]
+    frame = lambda rows: spark.createDataFrame(rows, "site_id long, ts timestamp")
+    none = spark.createDataFrame([], "site_id long, n long, last timestamp, total long")
+    now = F.lit(dt.datetime(2024, 1, 2, 2))
+    kept, counters = dlq.append(frame([]), none, frame(at(0, 10, 50)), now)
+    assert kept.count() == 0 and [(r.n, r.total) for r in counters.collect()] == [(3, 3)]  # the list has gone, the counter stays
+    kept, counters = dlq.append(frame(at(0, 10, 50)), counters, frame([*at(100), (2, dt.datetime(2024, 1, 2))]), F.lit(dt.datetime(2024, 1, 2)))
+    assert kept.count() == 5 and {(r.site_id, r.n, r.total) for r in counters.collect()} == {(1, 4, 4), (2, 1, 1)}
+    assert [r.site_id for r in dlq.ranked(counters, 1).collect()] == [1]
+    _, counters = dlq.append(kept, counters, frame(at(3000)), now)
+    assert {(r.site_id, r.n, r.total) for r in counters.collect()} == {(1, 1, 5), (2, 1, 1)}
+
+
 def test_other_values(spark):
     assert [one(spark, values.boolean(F.lit(x), False)) for x in ("true", "1", "YES", "on", "off", "x")] == [True] * 4 + [False] * 2
     assert [one(spark, values.percentage(F.lit(x), 0.5)) for x in ("50", "0.3", "101", "-1", "x")] == [0.5, 0.3, 0.5, 0.5, 0.5]
