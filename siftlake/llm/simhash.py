@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftlake.llm.common import Scratch, about, documents, text_slices, two_columns, written
+from siftlake.llm.common import Scratch, about, documents, small, text_slices, two_columns, written
 
 SHINGLE, SEED, BITS = 3, 42, 2
 #: Hashes whose bits are summed at once.
@@ -29,8 +29,8 @@ KEYS = 8_000_000
 WORDS = 5
 #: Texts, about, in which frequent shingles are looked for, and how many of these must have one.
 LOOKED_AT, FREQUENT = 20_000, 3
-#: Texts with one shingle that are all paired at once; more may give so many pairs a text in the first round, then twice as many.
-PAIRED, EACH = 32, 2
+#: Texts with one shingle that are all paired at once; more may give so many pairs a text in the first round, then GROWTH times as many.
+PAIRED, EACH, GROWTH = 32, 4, 4
 FOUND = "a long, b long, shingle long, size int, place int, next int, open boolean"
 
 
@@ -208,15 +208,21 @@ def links(x: np.ndarray, radius: int = BITS) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
 
+def is_stars(edges: DataFrame) -> bool:
+    """Whether each u of edges (u, v; a written table) has one v, which is no u: then v is the smallest value connected with u."""
+    several = edges.groupBy("u").count().filter("count > 1").select("u")
+    inner = edges.select(F.col("v").alias("u")).distinct().join(edges.select("u"), "u", "left_semi")
+    return several.unionByName(inner).isEmpty()
+
+
 def connected(edges: DataFrame) -> DataFrame:
     """u and root, the smallest value connected with u, for all ends of edges (a, b); by alternating large and small stars.
 
-    Each round writes its edges to the shared folder. A round joins edges with one row per end, both freshly written, so
-    that Spark can split a large star.
+    Ends as soon as all edges lead to a root. Each round writes its edges to the shared folder. A round joins edges with
+    one row per end, both freshly written, so that Spark can split a large star.
     """
     current = Scratch(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
-    state = None
-    while True:
+    while not is_stars(current.df):
         both = current.df.unionByName(current.df.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = Scratch(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")
         large = both.filter("v > u").join(least.df, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
@@ -226,23 +232,15 @@ def connected(edges: DataFrame) -> DataFrame:
         joined = large.df.join(least.df, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").unionByName(joined.select("u", F.col("m").alias("v")))
         after = Scratch(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
-        now = after.df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         for old in (current, large, least):
             old.drop()
         current = after
-        if now == state:
-            return current.df.select("u", F.col("v").alias("root"))
-        state = now
+    return current.df.select("u", F.col("v").alias("root"))
 
 
-def near_duplicates(prints: DataFrame, radius: int = BITS) -> DataFrame:
-    """doc_id, fp and component_id of all rows of prints (doc_id, fp; a written table).
-
-    Fingerprints are linked when at most `radius` bits differ; component_id is the smallest doc_id that can be reached,
-    a null id counting as larger than any. Equal fingerprints are one from the start, so a group of copies costs one row;
-    within a shard only links to one member of each connected set leave the task.
-    """
-    distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "distinct")
+def tree_links(distinct: DataFrame, radius: int = BITS) -> DataFrame:
+    """Links (a, b) between the fingerprints fp of distinct, a written table, whose components are those of all links within
+    radius: the tree deals them to shards, and of each connected set of a shard only links to one member leave the task."""
     total = distinct.count()
     sample = np.sort(np.array([r[0] for r in about(distinct.select("fp"), SAMPLE, total, "fp").collect()], np.int64).view(np.uint64))
     nodes = build_tree(sample, total, radius)
@@ -259,18 +257,30 @@ def near_duplicates(prints: DataFrame, radius: int = BITS) -> DataFrame:
         some = np.flatnonzero(label != np.arange(len(x)))
         return pa.table({"a": x[some], "b": x[label[some]]})
 
-    edges = distinct.select("fp").mapInArrow(deal, "shard int, fp long").groupBy("shard").applyInArrow(within, "a long, b long")
-    return labelled(prints, distinct, edges)
+    return distinct.select("fp").mapInArrow(deal, "shard int, fp long").groupBy("shard").applyInArrow(within, "a long, b long")
+
+
+def distinct_prints(prints: DataFrame) -> DataFrame:
+    return written(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "distinct")
 
 
-def labelled(prints: DataFrame, distinct: DataFrame, edges: DataFrame) -> DataFrame:
-    """doc_id, fp and component_id of all rows of prints. distinct: fp, first (the smallest doc_id) and n; edges (a, b) link values of fp."""
-    roots = written(connected(edges), "roots")
-    linked = distinct.join(roots, distinct["fp"] == roots["u"], "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root"))
-    linked = Scratch(linked, "linked")
-    firsts = written(linked.df.join(roots.select("root").distinct(), "root", "left_semi").groupBy("root").agg(F.min("first").alias("component_id")), "firsts")
-    known = written(linked.df.join(firsts, "root", "left").select("fp", "n", F.coalesce("component_id", "first").alias("component_id")), "known")
-    linked.drop()
+def near_duplicates(prints: DataFrame, radius: int = BITS) -> DataFrame:
+    """doc_id, fp and component_id of all rows of prints (doc_id, fp; a written table).
+
+    Fingerprints are linked when at most `radius` bits differ; component_id is the smallest doc_id that can be reached,
+    a null id counting as larger than any. Equal fingerprints are one from the start, so a group of copies costs one row.
+    """
+    distinct = distinct_prints(prints)
+    return labelled(prints, distinct, connected(tree_links(distinct, radius)))
+
+
+def labelled(prints: DataFrame, distinct: DataFrame, roots: DataFrame) -> DataFrame:
+    """doc_id, fp and component_id of all rows of prints. distinct: fp, first (the smallest doc_id) and n; roots: u and root,
+    as connected has them, for the values of fp that are linked."""
+    members = roots.unionByName(roots.select(F.col("root").alias("u"), "root").distinct())
+    firsts = written(distinct.join(members, distinct["fp"] == members["u"]).groupBy("root").agg(F.min("first").alias("component_id")), "firsts")
+    of = members.join(firsts, "root").select(F.col("u").alias("fp"), "component_id")
+    known = written(distinct.join(of, "fp", "left").select("fp", "n", F.coalesce("component_id", "first").alias("component_id")), "known")
     hot = max(100, int(prints.count() / 1000))  # at most 1000 fingerprints have so many rows
     often = F.broadcast(known.filter(F.col("n") >= hot).select("fp", "component_id"))
     rest = prints.join(F.broadcast(known.filter(F.col("n") >= hot).select("fp")), "fp", "left_anti").join(known.filter(F.col("n") < hot).select("fp", "component_id"), "fp")
@@ -398,7 +408,8 @@ def confirmed(texts: DataFrame, pairs: DataFrame) -> DataFrame:
 
     pairs = Scratch(pairs.distinct(), "pairs")
     wanted = Scratch(pairs.df.select(F.col("a").alias("node")).unionByName(pairs.df.select(F.col("b").alias("node"))).distinct(), "wanted")
-    known = Scratch(texts.join(wanted.df, "node", "left_semi").dropDuplicates(["node"]).mapInArrow(sets, "node long, hashes binary"), "sets")
+    found = texts.join(small(wanted.df), "node", "left_semi").mapInArrow(sets, "node long, hashes binary")
+    known = Scratch(found.groupBy("node").agg(F.first("hashes").alias("hashes")), "sets")
     left, right = known.df.toDF("a", "x").hint("merge"), known.df.toDF("b", "y").hint("merge")
     links = written(pairs.df.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(test, "a long, b long"), "links")
     for old in (pairs, wanted, known):
@@ -409,10 +420,11 @@ def confirmed(texts: DataFrame, pairs: DataFrame) -> DataFrame:
 def near_copies(docs: DataFrame, radius: int = BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and component_id of every row: texts are linked when the Jaccard similarity of their five-word shingles is 0.8 at least.
 
-    Fingerprints of five words within `radius` are candidates first, so that crowds of very near copies are known before
-    pairs are made. The bits of a link can't be bounded, so the others come from shingles: of the texts' rarest fifth two
-    linked ones share one (`rarest`), whatever the order is. Every candidate is confirmed by all shingles. Rounds go on until no pair
-    is left that could link two components.
+    Fingerprints of five words within `radius`, by the tree, are candidates first, so that crowds of very near copies are
+    known before pairs are made. The bits of a link can't be bounded, so the others come from shingles: of the texts' rarest
+    fifth two linked ones share one (`rarest`), whatever the order is. Every candidate is confirmed by all shingles. Rounds go
+    on until no pair is left that could link two components. Equal texts are one node; null and empty texts are equal. Rows
+    that share an id each count with their own text.
     """
     texts = two_columns(docs, id_col, text_col).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("node"), "text")
 
@@ -437,33 +449,46 @@ def near_copies(docs: DataFrame, radius: int = BITS, id_col: str = "doc_id", tex
 
     prints = written(texts.mapInArrow(run, "doc_id long, node long, fp long, size int, first array<long>"), "prints")
     texts = texts.select("node", "text")
-    close = near_duplicates(prints.select(F.col("node").alias("doc_id"), "fp"), radius)
-    links = confirmed(texts, close.filter("doc_id <> component_id").select(F.col("component_id").alias("a"), F.col("doc_id").alias("b")))
-    rows, each = None, EACH
+    nodes = prints.select(F.col("node").alias("doc_id"), "fp")
+    distinct = distinct_prints(nodes)
+    first = distinct.select("fp", F.col("first").alias("node"))
+    tree = tree_links(distinct, radius)
+    pairs = tree.join(first.toDF("a", "x"), "a").join(first.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    same = nodes.distinct().join(first, "fp").filter("doc_id <> node").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
+    links = confirmed(texts, pairs.unionByName(same))
+    roots, rows, each = connected(links), None, EACH
     while True:
-        roots = written(connected(links), "roots").select(F.col("u").alias("node"), "root")
+        ends = roots.select(F.col("u").alias("node"), "root")
         if rows is None:
-            known = prints.select("node", "size", "first").join(roots, "node", "left")
+            known = prints.select("node", "size", "first")
+            if known.select("node").distinct().count() < prints.count():
+                known = known.dropDuplicates(["node"])
+            known = known.join(ends, "node", "left")
             known = known.select("node", "size", F.coalesce("root", "node").alias("root"), F.posexplode("first").alias("place", "shingle"), F.lit(0).alias("next"))
         else:
-            known = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+            known = rows.join(ends, "node", "left").withColumn("root", F.coalesce("root", "node"))
         dealt = known.repartition("shingle").sortWithinPartitions("shingle", "size", "node").select("shingle", "size", "node", "place", "root", "next")
         found = written(dealt.mapInArrow(lambda batches, each=each, paired=PAIRED: candidates(batches, each, paired), FOUND), "candidates")
-        links = links.unionByName(confirmed(texts, found.filter("not open").select("a", "b")))
+        new = confirmed(texts, found.filter("not open").select("a", "b"))
+        if not new.isEmpty():
+            roots = connected(new.unionByName(roots.select(F.col("u").alias("a"), F.col("root").alias("b"))))
         rows = found.filter("open").select("shingle", "size", F.col("a").alias("node"), "place", "next")
         if rows.isEmpty():
             break
-        each *= 2
-    prints = prints.select("doc_id", F.col("node").alias("fp"))
-    distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "distinct")
-    return labelled(prints, distinct, links).select("doc_id", "component_id")
+        each *= GROWTH
+    by_node = prints.select("doc_id", F.col("node").alias("fp"))
+    return labelled(by_node, distinct_prints(by_node), roots).select("doc_id", "component_id")
 
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:
-    """docs with one document of each group of near copies: the one with the smallest id. All columns stay; rows that share an id share its fate."""
+    """docs with one document of each group of near copies: the one with the smallest id. All columns stay.
+
+    Rows that share an id go or stay together, and so do the rows without one. Null and empty texts have no near copies but
+    each other. The ids that go are broadcast while they are few, so that no text moves.
+    """
     found = written(near_copies(docs, **how), "groups")
-    gone = found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(gone.hint("merge"), docs["doc_id"].eqNullSafe(gone["gone"]), "left_anti")
+    gone = written(found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("gone")).distinct(), "gone")
+    return docs.join(small(gone), docs["doc_id"].eqNullSafe(gone["gone"]), "left_anti")
 
 
 def op10_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
