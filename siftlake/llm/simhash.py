@@ -10,13 +10,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftlake.llm.common import Scratch, about, documents, small, text_slices, two_columns, written
+from siftlake.llm.common import Scratch, about, documents, is_small, small, text_slices, two_columns, written
 
 SHINGLE, SEED, BITS = 3, 42, 2
 #: Hashes whose bits are summed at once.
 TOGETHER = 1 << 17
 #: Distinct fingerprints that the tree of shards is built from, about, if there are more; every fingerprint goes through the tree.
-SAMPLE = 100_000
+SAMPLE = 300_000
 #: A shard is split while it is expected to hold more fingerprints and this many of the sample.
 SHARD, FEWEST = 8192, 32
 #: Within a shard, so many fingerprints are compared with each other directly.
@@ -27,10 +27,11 @@ USEFUL = 0.85
 KEYS = 8_000_000
 #: Words of a shingle where near copies are confirmed.
 WORDS = 5
-#: Texts, about, in which frequent shingles are looked for, and how many of these must have one.
-LOOKED_AT, FREQUENT = 20_000, 3
+#: Frequent shingles are looked for in one of so many texts, LEAST_LOOKED at least; FREQUENT of these must have one, and the
+#: most frequent ones, MOST at most, are told to all tasks. They only set an order, which no result depends on.
+ONE_OF, LEAST_LOOKED, FREQUENT, MOST = 8, 20_000, 2, 1_000_000
 #: Texts with one shingle that are all paired at once; more may give so many pairs a text in the first round, then GROWTH times as many.
-PAIRED, EACH, GROWTH = 32, 4, 4
+PAIRED, EACH, GROWTH = 32, 8, 8
 FOUND = "a long, b long, shingle long, size int, place int, next int, open boolean"
 
 
@@ -219,9 +220,22 @@ def connected(edges: DataFrame) -> DataFrame:
     """u and root, the smallest value connected with u, for all ends of edges (a, b); by alternating large and small stars.
 
     Ends as soon as all edges lead to a root. Each round writes its edges to the shared folder. A round joins edges with
-    one row per end, both freshly written, so that Spark can split a large star.
+    one row per end, both freshly written, so that Spark can split a large star. Edges so few that they would be broadcast
+    are joined by one task instead.
     """
     current = Scratch(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
+
+    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [(b.column("u").to_numpy(), b.column("v").to_numpy()) for b in batches]
+        if rows:
+            u, v = (np.concatenate(x) for x in zip(*rows, strict=True))
+            ends, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+            label = components(len(ends), at[: len(u)], at[len(u) :])
+            some = np.flatnonzero(label != np.arange(len(ends)))
+            yield pa.RecordBatch.from_arrays([pa.array(ends[some]), pa.array(ends[label[some]])], names=["u", "root"])
+
+    if is_small(current.df):
+        return written(current.df.repartition(1).mapInArrow(together, "u long, root long"), "roots")
     while not is_stars(current.df):
         both = current.df.unionByName(current.df.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = Scratch(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")
@@ -275,16 +289,17 @@ def near_duplicates(prints: DataFrame, radius: int = BITS) -> DataFrame:
 
 
 def labelled(prints: DataFrame, distinct: DataFrame, roots: DataFrame) -> DataFrame:
-    """doc_id, fp and component_id of all rows of prints. distinct: fp, first (the smallest doc_id) and n; roots: u and root,
-    as connected has them, for the values of fp that are linked."""
+    """doc_id, fp, component_id and first_fp (that of the row with this id) of all rows of prints. distinct: fp, first (the
+    smallest doc_id) and n; roots: u and root, as connected has them, for the values of fp that are linked."""
     members = roots.unionByName(roots.select(F.col("root").alias("u"), "root").distinct())
-    firsts = written(distinct.join(members, distinct["fp"] == members["u"]).groupBy("root").agg(F.min("first").alias("component_id")), "firsts")
-    of = members.join(firsts, "root").select(F.col("u").alias("fp"), "component_id")
-    known = written(distinct.join(of, "fp", "left").select("fp", "n", F.coalesce("component_id", "first").alias("component_id")), "known")
+    firsts = written(distinct.join(members, distinct["fp"] == members["u"]).groupBy("root").agg(F.min(F.struct(F.col("first").isNull(), "first", "fp")).alias("m")).select("root", "m.first", F.col("m.fp").alias("first_fp")), "firsts")
+    of = members.join(firsts, "root").select(F.col("u").alias("fp"), F.col("first").alias("least"), "first_fp")
+    known = distinct.join(of, "fp", "left").select("fp", "n", F.when(F.col("first_fp").isNull(), F.col("first")).otherwise(F.col("least")).alias("component_id"), F.coalesce("first_fp", "fp").alias("first_fp"))
+    known = written(known, "known")
     hot = max(100, int(prints.count() / 1000))  # at most 1000 fingerprints have so many rows
-    often = F.broadcast(known.filter(F.col("n") >= hot).select("fp", "component_id"))
-    rest = prints.join(F.broadcast(known.filter(F.col("n") >= hot).select("fp")), "fp", "left_anti").join(known.filter(F.col("n") < hot).select("fp", "component_id"), "fp")
-    return prints.join(often, "fp").select("doc_id", "fp", "component_id").unionByName(rest.select("doc_id", "fp", "component_id"))
+    often, names = F.broadcast(known.filter(F.col("n") >= hot).drop("n")), ("doc_id", "fp", "component_id", "first_fp")
+    rest = prints.join(F.broadcast(known.filter(F.col("n") >= hot).select("fp")), "fp", "left_anti").join(known.filter(F.col("n") < hot).drop("n"), "fp")
+    return prints.join(often, "fp").select(*names).unionByName(rest.select(*names))
 
 
 def simhash_dedup(docs: DataFrame, shingle: int = SHINGLE, radius: int = BITS, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -322,6 +337,22 @@ def rarest(x: np.ndarray, frequent: np.ndarray, times: np.ndarray) -> np.ndarray
     return x[np.lexsort((x, rank))[: len(x) - (4 * len(x) + 4) // 5 + 1]]
 
 
+def parity(x: np.ndarray) -> bytes:
+    """Bits by the hashes of a set, each flipped once for each hash that falls to it; two to four bits a hash."""
+    n = max(64, 1 << (2 * max(1, len(x)) - 1).bit_length())
+    return np.packbits(np.bincount((x & np.uint64(n - 1)).astype(np.int64), minlength=n) & 1 == 1, bitorder="little").tobytes()
+
+
+def may_be_alike(x: pa.Scalar, y: pa.Scalar, size: int) -> bool:
+    """Whether sets with `size` members together may have a Jaccard similarity of 0.8, by their parities: each member of one
+    set alone flips one bit, and there are at most a ninth of `size` of them. Never false for sets that have it."""
+    x, y = (np.frombuffer(b.as_buffer(), np.uint8) for b in (x, y))
+    while len(x) != len(y):  # the longer one's halves together are what it would be at half its length
+        x, y = (x, y) if len(x) < len(y) else (y, x)
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return 9 * int(np.bitwise_count(x ^ y).sum(dtype=np.int64)) <= size
+
+
 def alike(x: np.ndarray, y: np.ndarray) -> bool:
     """Whether the Jaccard similarity of two sets is 0.8 at least, in whole numbers."""
     return 9 * len(np.intersect1d(x, y, assume_unique=True)) >= 4 * (len(x) + len(y))
@@ -393,8 +424,25 @@ def candidates(batches: Iterator[pa.RecordBatch], each: int, paired: int = PAIRE
         yield from done(held)
 
 
-def confirmed(texts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of nodes whose texts' shingles have a Jaccard similarity of 0.8 at least. texts: node, text."""
+def plausible(prints: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The different pairs (a, b) of nodes that may be alike by their parities. prints: node, size, parity."""
+
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ok = [may_be_alike(x, y, n) for x, y, n in zip(b.column("x"), b.column("y"), b.column("n").to_pylist(), strict=True)]
+            yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    pairs = Scratch(pairs.distinct(), "pairs")
+    left, right = prints.toDF("a", "m", "x").hint("merge"), prints.toDF("b", "n", "y").hint("merge")
+    both = pairs.df.join(left, "a").join(right, "b").select("a", "b", "x", "y", (F.col("m") + F.col("n")).alias("n"))
+    found = written(both.mapInArrow(test, "a long, b long"), "plausible")
+    pairs.drop()
+    return found
+
+
+def confirmed(texts: DataFrame, prints: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes whose texts' shingles have a Jaccard similarity of 0.8 at least. texts: node, text; prints: node,
+    size and parity, one row a node. The shingles themselves meet for pairs alone that their parities don't tell apart."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_slices(batches):
@@ -406,19 +454,19 @@ def confirmed(texts: DataFrame, pairs: DataFrame) -> DataFrame:
             ok = [alike(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) for x, y in zip(b.column("x"), b.column("y"), strict=True)]
             yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    pairs = Scratch(pairs.distinct(), "pairs")
-    wanted = Scratch(pairs.df.select(F.col("a").alias("node")).unionByName(pairs.df.select(F.col("b").alias("node"))).distinct(), "wanted")
+    pairs = plausible(prints, pairs)
+    wanted = Scratch(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "wanted")
     found = texts.join(small(wanted.df), "node", "left_semi").mapInArrow(sets, "node long, hashes binary")
     known = Scratch(found.groupBy("node").agg(F.first("hashes").alias("hashes")), "sets")
     left, right = known.df.toDF("a", "x").hint("merge"), known.df.toDF("b", "y").hint("merge")
-    links = written(pairs.df.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(test, "a long, b long"), "links")
-    for old in (pairs, wanted, known):
-        old.drop()
+    links = written(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(test, "a long, b long"), "links")
+    wanted.drop()
+    known.drop()
     return links
 
 
 def near_copies(docs: DataFrame, radius: int = BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and component_id of every row: texts are linked when the Jaccard similarity of their five-word shingles is 0.8 at least.
+    """doc_id, node (a hash of the text), component_id and first_node of every row: texts are linked when the Jaccard similarity of their five-word shingles is 0.8 at least.
 
     Fingerprints of five words within `radius`, by the tree, are candidates first, so that crowds of very near copies are
     known before pairs are made. The bits of a link can't be bounded, so the others come from shingles: of the texts' rarest
@@ -433,8 +481,17 @@ def near_copies(docs: DataFrame, radius: int = BITS, id_col: str = "doc_id", tex
             for t in b.column("text").to_pylist():
                 yield pa.RecordBatch.from_arrays([pa.array(np.unique(hashes(t)).view(np.int64))], names=["shingle"])
 
-    looked = about(texts, LOOKED_AT, texts.count(), "node").select("text").mapInArrow(sample, "shingle long")
-    often = looked.groupBy("shingle").agg(F.count("*").alias("n")).filter(F.col("n") >= FREQUENT).toArrow()
+    total = texts.count()
+    looked = about(texts, max(LEAST_LOOKED, total // ONE_OF), total, "node").select("text").mapInArrow(sample, "shingle long")
+    counts = Scratch(looked.groupBy("shingle").agg(F.count("*").alias("n")).filter(F.col("n") >= FREQUENT), "shingles")
+    least, held = FREQUENT, 0
+    for step, k in sorted(counts.df.groupBy(F.floor(8 * F.log2("n")).alias("step")).count().collect(), reverse=True):
+        held += k
+        if held > MOST:
+            least = 2 ** ((step + 1) / 8)
+            break
+    often = counts.df.filter(F.col("n") >= least).toArrow()
+    counts.drop()
     frequent, times = often.column("shingle").to_numpy().view(np.uint64), often.column("n").to_numpy()
     order = np.argsort(frequent)
     shared = texts.sparkSession.sparkContext.broadcast((frequent[order], times[order]))
@@ -444,32 +501,33 @@ def near_copies(docs: DataFrame, radius: int = BITS, id_col: str = "doc_id", tex
             own = [hashes(t) for t in b.column("text").to_pylist()]
             sets = [np.unique(x) for x in own]
             first = [rarest(x, *shared.value).view(np.int64) for x in sets]
-            columns = [b.column("doc_id"), b.column("node"), pa.array([majority(x) for x in own], pa.int64()), pa.array([len(x) for x in sets], pa.int32()), pa.array(first, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "node", "fp", "size", "first"])
+            columns = [b.column("doc_id"), b.column("node"), pa.array([majority(x) for x in own], pa.int64()), pa.array([len(x) for x in sets], pa.int32()), pa.array([parity(x) for x in sets], pa.binary()), pa.array(first, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "node", "fp", "size", "parity", "first"])
 
-    prints = written(texts.mapInArrow(run, "doc_id long, node long, fp long, size int, first array<long>"), "prints")
+    prints = written(texts.mapInArrow(run, "doc_id long, node long, fp long, size int, parity binary, first array<long>"), "prints")
     texts = texts.select("node", "text")
+    alone = prints.select("node").distinct().count() == total  # else rows with one text are one node
+    sketches = prints.select("node", "size", "parity")
+    sketches = sketches if alone else written(sketches.dropDuplicates(["node"]), "sketches")
     nodes = prints.select(F.col("node").alias("doc_id"), "fp")
     distinct = distinct_prints(nodes)
     first = distinct.select("fp", F.col("first").alias("node"))
     tree = tree_links(distinct, radius)
     pairs = tree.join(first.toDF("a", "x"), "a").join(first.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
     same = nodes.distinct().join(first, "fp").filter("doc_id <> node").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
-    links = confirmed(texts, pairs.unionByName(same))
+    links = confirmed(texts, sketches, pairs.unionByName(same))
     roots, rows, each = connected(links), None, EACH
     while True:
         ends = roots.select(F.col("u").alias("node"), "root")
         if rows is None:
             known = prints.select("node", "size", "first")
-            if known.select("node").distinct().count() < prints.count():
-                known = known.dropDuplicates(["node"])
-            known = known.join(ends, "node", "left")
+            known = (known if alone else known.dropDuplicates(["node"])).join(ends, "node", "left")
             known = known.select("node", "size", F.coalesce("root", "node").alias("root"), F.posexplode("first").alias("place", "shingle"), F.lit(0).alias("next"))
         else:
             known = rows.join(ends, "node", "left").withColumn("root", F.coalesce("root", "node"))
         dealt = known.repartition("shingle").sortWithinPartitions("shingle", "size", "node").select("shingle", "size", "node", "place", "root", "next")
         found = written(dealt.mapInArrow(lambda batches, each=each, paired=PAIRED: candidates(batches, each, paired), FOUND), "candidates")
-        new = confirmed(texts, found.filter("not open").select("a", "b"))
+        new = confirmed(texts, sketches, found.filter("not open").select("a", "b"))
         if not new.isEmpty():
             roots = connected(new.unionByName(roots.select(F.col("u").alias("a"), F.col("root").alias("b"))))
         rows = found.filter("open").select("shingle", "size", F.col("a").alias("node"), "place", "next")
@@ -477,18 +535,22 @@ def near_copies(docs: DataFrame, radius: int = BITS, id_col: str = "doc_id", tex
             break
         each *= GROWTH
     by_node = prints.select("doc_id", F.col("node").alias("fp"))
-    return labelled(by_node, distinct_prints(by_node), roots).select("doc_id", "component_id")
+    return labelled(by_node, distinct_prints(by_node), roots).select("doc_id", F.col("fp").alias("node"), "component_id", F.col("first_fp").alias("first_node"))
 
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:
-    """docs with one document of each group of near copies: the one with the smallest id. All columns stay.
+    """docs with one document of each group of near copies: the one with the smallest id, of several with this id the one whose
+    text's hash is smallest. All columns stay.
 
-    Rows that share an id go or stay together, and so do the rows without one. Null and empty texts have no near copies but
-    each other. The ids that go are broadcast while they are few, so that no text moves.
+    Rows go by id and text, so documents that share an id, or have none, are judged each by its own text; rows that repeat
+    both stay together. Null and empty texts are copies of each other alone. What goes is broadcast while it is little, so
+    that no text moves.
     """
     found = written(near_copies(docs, **how), "groups")
-    gone = written(found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("gone")).distinct(), "gone")
-    return docs.join(small(gone), docs["doc_id"].eqNullSafe(gone["gone"]), "left_anti")
+    stays = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("node") == F.col("first_node"))
+    gone = written(found.filter(~stays).select(F.col("doc_id").alias("_gone"), F.col("node").alias("_node")).distinct(), "gone")
+    node = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
+    return docs.join(small(gone), docs["doc_id"].eqNullSafe(gone["_gone"]) & (node == gone["_node"]), "left_anti")
 
 
 def op10_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
