@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from siftlake.functions.values import free_bytes
 from siftlake.operators.lists import positioned
@@ -130,6 +131,12 @@ def schema_changes(have: list[str], want: list[str]) -> tuple[list[str], list[st
     return [c for c in want if c not in have], [c for c in have if c not in want]
 
 
+def altered(rows: DataFrame, schema: StructType) -> DataFrame:
+    """rows with the columns of a schema: missing ones are added as nulls, others dropped, types changed."""
+    have = {c.lower() for c in rows.columns}
+    return rows.select(*[(F.col(f"`{f.name}`") if f.name.lower() in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema])
+
+
 def rotated(sites: DataFrame, keys: DataFrame) -> DataFrame:
     """Sites with the new keys' hashes, for keys (site_id, key)."""
     return sites.join(keys, "site_id", "left").withColumn("api_key", F.coalesce(F.sha2(F.col("key"), 256), F.col("api_key"))).drop("key")
@@ -141,7 +148,7 @@ def node_ratio(nodes: DataFrame) -> DataFrame:
 
 
 def create_tables(spark, schemas: dict, database: str | None = None) -> None:
-    """Empty Parquet tables where there are none yet; columns that a table lacks are reported, not added."""
+    """Empty Parquet tables where there are none yet; columns that a table lacks are added, with nulls in its rows."""
     for name, schema in schemas.items():
         full = f"{database}.{name}" if database else name
         if not spark.catalog.tableExists(full):
@@ -149,4 +156,5 @@ def create_tables(spark, schemas: dict, database: str | None = None) -> None:
             continue
         add, _ = schema_changes(spark.table(full).columns, schema.names)
         if add:
-            raise ValueError(f"{full} lacks {', '.join(add)}")
+            kinds = {f.name: f.dataType.simpleString() for f in schema}
+            spark.sql(f"ALTER TABLE {full} ADD COLUMNS ({', '.join(f'`{c}` {kinds[c]}' for c in add)})")

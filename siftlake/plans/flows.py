@@ -5,16 +5,17 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from siftlake.functions import codecs, text
-from siftlake.operators import chunking, embedding, search, store
+from siftlake.operators import catalog, chunking, embedding, search, store
 from siftlake.plans.ingest import SITE, chunks_sql, documents
 from siftlake.plans.inputs import LETTERS_SQL, letters, table
 from siftlake.plans.registry import query
 from siftlake.plans.search import EVERY, STOP, TERMS, TERMS_SQL, by_tenant
-from siftlake.schemas import PAYLOAD
+from siftlake.schemas import INDEX_NODES, PAYLOAD
 from siftlake.scratch import scratch_folder
-from siftlake.sources import jsonl, keyspace, queue
+from siftlake.sources import jsonl, keyspace, messages, queue
 from siftlake.streaming import ingest
 
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
@@ -153,6 +154,24 @@ def file_headers(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.element_at(found, "name").alias("name"), F.element_at(found, "version").alias("version"))
 
 
+@query("SELECT n_name AS msgid, CASE WHEN n_nationkey % 2 = 0 THEN 'one of ' ELSE 'only ' END || n_name AS msgstr, CASE WHEN n_nationkey % 2 = 0 THEN n_name || 's' END AS plural, CASE WHEN n_nationkey % 2 = 0 THEN 2 ELSE 0 END AS forms FROM nation")
+def po_plurals(spark, sf_dir):
+    """A translation file with plural forms, written and read."""
+    q = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    name = F.col("n_name")
+    plural = q('msgid "', name, '"\nmsgid_plural "', name, 's"\nmsgstr[0] "one "\n"of ', name, '"\nmsgstr[1] "many"\n')
+    path = fresh(spark, "po")
+    table(spark, sf_dir, "nation").select(F.when(F.col("n_nationkey") % 2 == 0, plural).otherwise(q('msgid "', name, '"\nmsgstr "only ', name, '"\n'))).coalesce(1).write.text(path)
+    return messages.po_entries(messages.source_lines(spark, path, "*.txt")).select("msgid", "msgstr", "plural", F.size("forms").alias("forms"))
+
+
+@query("SELECT s_suppkey::INT AS id, s_name AS node_name, NULL::VARCHAR AS node_type, round(s_acctbal)::BIGINT AS max_capacity_bytes FROM supplier")
+def schema_alter(spark, sf_dir):
+    """A table brought to a new schema: a column added, one renamed away, types changed."""
+    rows = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("node_name"), "s_nationkey", F.round("s_acctbal").alias("max_capacity_bytes"))
+    return catalog.altered(rows, StructType([f for f in INDEX_NODES if f.name in ("id", "node_name", "node_type", "max_capacity_bytes")]))
+
+
 @query("SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE to_base64('\\xFF\\xFE'::BLOB || encode(p_name)) END AS shown FROM part")
 def decoded_bytes(spark, sf_dir):
     """UTF-8 as text, other bytes as base64."""

@@ -13,12 +13,16 @@ def source_lines(spark: SparkSession, path: str, pattern: str = "*.php") -> Data
 
 
 def po_entries(lines: DataFrame) -> DataFrame:
-    """msgid and msgstr of a PO file's lines (file, line, text); continued strings are joined."""
-    kind = F.regexp_extract("text", r"^(msgid|msgstr)\b", 1)
+    """msgid, msgstr, plural and forms of a PO file's lines (file, line, text); continued strings are joined. An entry with
+    plural forms has them all in forms, by number, and the first one as its msgstr."""
+    kind = F.regexp_extract("text", r'^\s*(msgid_plural|msgid|msgstr(?:\[\d+\])?)\s*"', 1)
     value = F.regexp_extract("text", r'"(.*)"\s*$', 1)
-    rows = lines.filter(F.col("text").rlike(r'^\s*(msgid|msgstr)?\s*"')).withColumns({"kind": kind, "value": value})
+    rows = lines.filter(F.col("text").rlike(r'^\s*(msgid_plural|msgid|msgstr(\[\d+\])?)?\s*"')).withColumns({"kind": kind, "value": value})
     w = Window.partitionBy("file").orderBy("line")
     rows = rows.withColumn("entry", F.sum((F.col("kind") == "msgid").cast("int")).over(w)).withColumn("part", F.sum((F.col("kind") != "").cast("int")).over(w))
     parts = rows.groupBy("file", "entry", "part").agg(F.max("kind").alias("kind"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line", "value"))), lambda x: x["value"]), "").alias("value"))
-    out = parts.groupBy("file", "entry").agg(F.max(F.when(F.col("kind") == "msgid", F.col("value"))).alias("msgid"), F.max(F.when(F.col("kind") == "msgstr", F.col("value"))).alias("msgstr"))
-    return out.filter("msgid <> ''").select("file", "msgid", "msgstr")
+    number = F.regexp_extract("kind", r"\[(\d+)\]", 1).try_cast("int")
+    of = lambda k: F.max(F.when(F.col("kind") == k, F.col("value")))
+    forms = F.transform(F.sort_array(F.collect_list(F.when(number.isNotNull(), F.struct(number.alias("n"), "value")))), lambda x: x["value"])
+    out = parts.groupBy("file", "entry").agg(of("msgid").alias("msgid"), of("msgstr").alias("msgstr"), of("msgid_plural").alias("plural"), forms.alias("forms"))
+    return out.filter("msgid <> ''").select("file", "msgid", F.coalesce("msgstr", F.get("forms", F.lit(0))).alias("msgstr"), "plural", "forms")
