@@ -32,6 +32,8 @@ WORDS = 5
 ONE_OF, LEAST_LOOKED, FREQUENT, MOST = 8, 20_000, 2, 1_000_000
 #: Texts with one shingle that are all paired at once; more may give so many pairs a text in the first round, then GROWTH times as many.
 PAIRED, EACH, GROWTH = 32, 8, 8
+#: Pairs that a task finds before equal ones among them become one and leave it.
+WAITING = 500_000
 FOUND = "a long, b long, shingle long, size int, place int, next int, open boolean"
 
 
@@ -358,18 +360,56 @@ def alike(x: np.ndarray, y: np.ndarray) -> bool:
     return 9 * len(np.intersect1d(x, y, assume_unique=True)) >= 4 * (len(x) + len(y))
 
 
-def candidates(batches: Iterator[pa.RecordBatch], each: int, paired: int = PAIRED) -> Iterator[pa.RecordBatch]:
-    """Pairs that share a shingle, from rows (shingle, size, node, place, root, next) in that order; as FOUND.
+class Parities:
+    """The parities of texts in order of size, for tests of one against many."""
+
+    def __init__(self, parities: np.ndarray, size: np.ndarray):
+        self.size, self.width = size, np.fromiter(map(len, parities), np.int64, len(parities))
+        self.at, self.own, self.half = np.zeros(len(size), np.int64), {}, {}
+        for w in np.unique(self.width).tolist():
+            some = np.flatnonzero(self.width == w)
+            self.at[some] = np.arange(len(some))
+            self.own[w] = np.frombuffer(b"".join(parities[some]), np.uint8).reshape(-1, w)
+            self.half[w] = self.own[w][:, : w // 2] ^ self.own[w][:, w // 2 :]  # as it would be at half the width
+
+    def may_be_alike(self, k: int, others: np.ndarray) -> np.ndarray:
+        """Which of the others, no smaller than the k-th and at most a quarter larger, may be alike with it."""
+        w, ok = int(self.width[k]), np.ones(len(others), bool)
+        mine = self.own[w][self.at[k]]
+        for table, width in ((self.own, w), (self.half, 2 * w)):
+            some = np.flatnonzero(self.width[others] == width)
+            if len(some):
+                flips = np.bitwise_count(table[width][self.at[others[some]]] ^ mine).sum(1, dtype=np.int64)
+                ok[some] = 9 * flips <= self.size[k] + self.size[others[some]]
+        return ok
+
+
+def candidates(batches: Iterator[pa.RecordBatch], each: int, paired: int = PAIRED, parities: bool = False) -> Iterator[pa.RecordBatch]:
+    """Pairs that share a shingle, from rows (shingle, size, node, place, root, next; with parities also parity) in that order;
+    as FOUND.
 
     Pairs already linked (equal roots), and those that by size and place can't reach 0.8, are left out. Where more than
     `paired` texts share a shingle, they are paired with later ones from number `next` on until there are `each` pairs a
-    text; the rows then come back as open, unless those from there on are linked already.
+    text; the rows then come back as open, unless those from there on are linked already. Of these pairs only those come
+    that parities, where given, don't part. A pair that shares many shingles comes once from every WAITING found.
     """
     names = ["shingle", "size", "node", "place", "root", "next"]
-    held = [np.empty(0, np.int64)] * 6
-
-    def out(pairs: list[np.ndarray], open_: list[np.ndarray]) -> pa.RecordBatch:
-        a, b = (np.concatenate([p[i] for p in pairs] or [held[0][:0]]) for i in (0, 1))
+    held = [np.empty(0, np.int64)] * 6 + [np.empty(0, object)]
+    waiting: list[tuple[np.ndarray, np.ndarray]] = []
+    n_waiting = 0
+
+    def wait(pair: tuple[np.ndarray, np.ndarray]) -> None:
+        nonlocal n_waiting
+        waiting.append(pair)
+        n_waiting += len(pair[0])
+
+    def out(open_: list[np.ndarray], least: int = 0) -> pa.RecordBatch:
+        nonlocal n_waiting
+        ready = list(waiting) if n_waiting >= least else []
+        if ready:
+            waiting.clear()
+            n_waiting = 0
+        a, b = (np.concatenate([p[i] for p in ready] or [held[0][:0]]) for i in (0, 1))
         both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
         rest = np.concatenate(open_ or [np.empty((0, 5), np.int64)])
         n, m = len(both), len(rest)
@@ -379,10 +419,10 @@ def candidates(batches: Iterator[pa.RecordBatch], each: int, paired: int = PAIRE
         return pa.RecordBatch.from_arrays([*(pa.array(c.astype(k)) for c, k in zip(columns, kinds, strict=True)), pa.array(np.arange(n + m) >= n)], names=["a", "b", "shingle", "size", "place", "next", "open"])
 
     def matched(rows: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        _, size, node, place, root, _ = rows
+        _, size, _, place, root, _, _ = rows
         common = np.minimum(size[i] - place[i], size[j] - place[j])  # at most, from this shingle on
         ok = (root[i] != root[j]) & (5 * size[i] >= 4 * size[j]) & (9 * common >= 4 * (size[i] + size[j]))
-        return node[i[ok]], node[j[ok]]
+        return i[ok], j[ok]
 
     def done(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         new = np.ones(len(rows[0]), bool)
@@ -390,38 +430,47 @@ def candidates(batches: Iterator[pa.RecordBatch], each: int, paired: int = PAIRE
         rows = [c[new] for c in rows]
         begins = np.flatnonzero(np.concatenate([[True], rows[0][1:] != rows[0][:-1]]))
         sizes = np.diff(np.append(begins, len(rows[0])))
-        pairs, open_ = [], []
+        open_ = []
         few = np.repeat(sizes <= paired, sizes)
         for d in range(1, paired):
             i = np.flatnonzero((rows[0][d:] == rows[0][:-d]) & few[d:])
             if not len(i):
                 break
-            pairs.append(matched(rows, i, i + d))
+            i, j = matched(rows, i, i + d)
+            wait((rows[2][i], rows[2][j]))
         for at, n in zip(begins[sizes > paired].tolist(), sizes[sizes > paired].tolist(), strict=True):
             k, made = int(rows[5][at]), 0
+            test = Parities(rows[6][at : at + n], rows[1][at : at + n]) if parities else None
             ends = np.searchsorted(rows[1][at : at + n], 5 * rows[1][at : at + n] // 4, "right")
             while k < n - 1 and made < each * n:
                 j = np.arange(at + k + 1, at + ends[k])
-                pairs.append(matched(rows, np.full(len(j), at + k), j))
-                made += len(pairs[-1][0])
+                i, j = matched(rows, np.full(len(j), at + k), j)
+                made += len(j)
+                if test and len(j):
+                    ok = test.may_be_alike(k, j - at)
+                    i, j = i[ok], j[ok]
+                wait((rows[2][i], rows[2][j]))
                 k += 1
-                if made > 1_000_000 or len(pairs) > 10_000:
-                    yield out(pairs, [])
-                    pairs = []
+                if n_waiting > WAITING or len(waiting) > 10_000:
+                    yield out([])
             if k < n - 1 and (rows[4][at + k : at + n] != rows[4][at + k]).any():
                 open_.append(np.stack([*(c[at : at + n] for c in rows[:4]), np.full(n, k)], 1))
-        yield out(pairs, open_)
+        yield out(open_, WAITING)
 
     for b in batches:
         if not b.num_rows:
             continue
-        rows = [np.concatenate([h, b.column(c).to_numpy().astype(np.int64)]) for h, c in zip(held, names, strict=True)]
+        rows = [np.concatenate([h, b.column(c).to_numpy().astype(np.int64)]) for h, c in zip(held, names, strict=False)]
+        own = np.empty(b.num_rows, object)
+        own[:] = b.column("parity").to_pylist() if parities else None
+        rows.append(np.concatenate([held[6], own]))
         last = int(np.searchsorted(rows[0], rows[0][-1]))
         held = [c[last:] for c in rows]
         if last:
             yield from done([c[:last] for c in rows])
     if len(held[0]):
         yield from done(held)
+    yield out([])
 
 
 def plausible(prints: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -524,9 +573,10 @@ def near_copies(docs: DataFrame, radius: int = BITS, id_col: str = "doc_id", tex
             known = (known if alone else known.dropDuplicates(["node"])).join(ends, "node", "left")
             known = known.select("node", "size", F.coalesce("root", "node").alias("root"), F.posexplode("first").alias("place", "shingle"), F.lit(0).alias("next"))
         else:
-            known = rows.join(ends, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        dealt = known.repartition("shingle").sortWithinPartitions("shingle", "size", "node").select("shingle", "size", "node", "place", "root", "next")
-        found = written(dealt.mapInArrow(lambda batches, each=each, paired=PAIRED: candidates(batches, each, paired), FOUND), "candidates")
+            known = rows.join(ends, "node", "left").withColumn("root", F.coalesce("root", "node")).join(sketches.select("node", "parity"), "node")
+        columns = ["shingle", "size", "node", "place", "root", "next", *["parity"] * (rows is not None)]
+        dealt = known.repartition("shingle").sortWithinPartitions("shingle", "size", "node").select(*columns)
+        found = written(dealt.mapInArrow(lambda batches, each=each, paired=PAIRED, parities=rows is not None: candidates(batches, each, paired, parities), FOUND), "candidates")
         new = confirmed(texts, sketches, found.filter("not open").select("a", "b"))
         if not new.isEmpty():
             roots = connected(new.unionByName(roots.select(F.col("u").alias("a"), F.col("root").alias("b"))))
