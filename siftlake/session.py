@@ -14,6 +14,8 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _SHIPPED: set[str] = set()
+#: Rows of an Arrow batch, unless the session has a setting of its own: rows can be long texts, and both sides hold whole batches.
+BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2000
 
 
 def local_session(app: str = "siftlake", cpus: int | None = None, shuffle: int = 8) -> SparkSession:
@@ -34,8 +36,10 @@ def local_session(app: str = "siftlake", cpus: int | None = None, shuffle: int =
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the workers, once a session, unless they find it themselves: installed, or in local mode on
+    """Makes Arrow batches small and sends this package to the workers, once a session, unless they find it themselves: installed, or in local mode on
     PYTHONPATH or in the working folder."""
+    if spark.conf.get(BATCH) == "10000":
+        spark.conf.set(BATCH, str(BATCH_ROWS))
     context = spark.sparkContext
     if context.applicationId in _SHIPPED:
         return
