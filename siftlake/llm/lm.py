@@ -19,14 +19,16 @@ from siftlake.llm.common import Scratch, about, documents, remainder, text_slice
 FOLDS, HELD_OUT = 10, 0
 #: Words with a class of their own; bins of the other words, by their last two bytes; numbers in a class's vector.
 OWN, BINS, DIM = 1200, 320, 32
-#: Words whose counts every task holds, at most; the counts of all others come by a join.
+#: Words whose counts every task holds, about; the counts of all others come by a join.
 HEAD = 100_000
 #: What a seen word of a bin gives up for unseen ones.
 DISCOUNT = 0.5
 #: Noise classes drawn for each batch, places in a batch, step size, and the step size of the pass over everything.
 NOISE, BATCH, STEP, LATER_STEP = 64, 8192, 0.1, 0.03
-#: Documents (about) and words that the starting point is fitted to, at most, and how often. The pass after it covers all.
-FIRST_DOCUMENTS, FIRST_WORDS, EPOCHS = 2000, 1_000_000, 3
+#: Documents, about, that the starting point is fitted to, and how often. The pass after it covers all.
+FIRST_DOCUMENTS, EPOCHS = 2000, 3
+#: Words of a shard in that pass, about; a shard is one task and one model.
+SHARD = 3_000_000
 #: Words in a task's counter before it is sent, and models that are averaged together.
 COUNTER, TOGETHER = 300_000, 32
 END = 0  # the class of a text's end, and of what stands before its first word
@@ -117,6 +119,13 @@ class Bilinear:
             self.parts[k] = flat[at : at + x.size].reshape(x.shape).astype(np.float32)
             at += x.size
 
+    def resume(self, start: dict[int, np.ndarray]) -> None:
+        """Goes on from what a fit has left: its parameters (0) and their sums of squares (1); nothing if it saw no text."""
+        if start:
+            self.load(start[1])
+            self.squares = {k: x.copy() for k, x in self.parts.items()}
+            self.load(start[0])
+
     @staticmethod
     def _gathered(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
         """Sums of values by row."""
@@ -202,56 +211,96 @@ def count_words(rows: DataFrame) -> DataFrame:
 
 def vocabulary_of(counts: DataFrame, n_docs: int) -> Vocabulary:
     n_words, n_types = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    # The most frequent words are those above a count; it comes from a histogram of logarithms, so nothing is sorted.
-    step = F.floor(8 * F.log2("c"))
-    least, held = None, 0
+    # The most frequent words are those above a count, from a histogram of logarithms, so nothing is sorted; of those in
+    # the last bucket that has room for some only, the ones with a small hash.
+    step, chosen, held = F.floor(8 * F.log2("c")), F.lit(True), 0
     for b, n in sorted(counts.groupBy(step).count().collect(), reverse=True):
         if held + n > HEAD:
+            chosen = (step > b) | (step == b) & (F.pmod(F.xxhash64("token"), F.lit(1 << 32)) < int((1 << 32) * (HEAD - held) / n))
             break
-        least, held = b, held + n
-    head = [] if least is None else sorted(((bytes(r[0]), r[1]) for r in counts.filter(step >= least).collect()), key=lambda x: (-x[1], x[0]))
+        held += n
+    head = sorted(((bytes(r[0]), r[1]) for r in counts.filter(chosen).select("token", "c").collect()), key=lambda x: (-x[1], x[0]))
     bins = counts.groupBy((F.crc32(F.expr("substring(token, -2, 2)")) % BINS + 1 + OWN).alias("b")).agg(F.sum("c"), F.count("*")).collect()
     return Vocabulary(head, {r[0]: (r[1], r[2]) for r in bins}, n_docs, n_words, n_types)
 
 
+def coded(rows: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """h, a hash of the row, and its text's classes with the end."""
+    shared = rows.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in text_slices(batches):
+            kinds, sizes = text_classes(b.column("text").to_pylist(), shared.value)
+            ends = np.concatenate([[0], np.cumsum(2 * sizes)])
+            raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(kinds.astype("<u2").tobytes())])
+            yield pa.RecordBatch.from_arrays([b.column("h"), raw.cast(pa.binary())], names=["h", "kinds"])
+
+    return rows.select(F.xxhash64("doc_id", "text").alias("h"), "text").mapInArrow(run, "h long, kinds binary")
+
+
+def classes_of(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(classes, sizes) of a batch's texts, some at a time."""
+    kinds, sizes, held = [], [], 0
+    for x in b.column("kinds"):
+        kinds.append(np.frombuffer(x.as_buffer(), "<u2"))
+        sizes.append(len(kinds[-1]))
+        held += sizes[-1]
+        if held > 300_000:
+            yield np.concatenate(kinds).astype(np.int64), np.array(sizes)
+            kinds, sizes, held = [], [], 0
+    if kinds:
+        yield np.concatenate(kinds).astype(np.int64), np.array(sizes)
+
+
 def train(rows: DataFrame, vocabulary: Vocabulary) -> Bilinear:
-    """Fits a starting point to a bounded sample, then makes one pass over all rows: each task learns from its own texts
-    from there on, and the tasks' models are averaged, weighted by their places, in a tree of groups of TOGETHER."""
-    model, rng = Bilinear(vocabulary.noise), np.random.default_rng(3)
+    """Fits a starting point to a bounded sample, then makes one pass over all rows: they are dealt to shards by a hash, each
+    shard learns from its own texts from there on, and the shards' models are averaged, weighted by their places, in a tree of
+    groups of TOGETHER. Sample, shards, order and seeds follow from the rows alone, so that the files they lie in don't matter."""
+    model, context = Bilinear(vocabulary.noise), rows.sparkSession.sparkContext
     if not vocabulary.total:
         return model
-    some, held = [], 0
-    for r in about(rows, FIRST_DOCUMENTS, vocabulary.n_docs, "doc_id").select("text").toLocalIterator():
-        if held < FIRST_WORDS:
-            some.append(r[0])
-            held += len(r[0]) // 6
-    kinds, sizes = text_classes(some, vocabulary)
-    for _ in range(EPOCHS):
-        model.train(kinds, sizes, rng, STEP)
-    shared = rows.sparkSession.sparkContext.broadcast((vocabulary, model))
+    texts = coded(rows, vocabulary)
+    kinds_of = "at long, n double, parts binary"
+
+    def result(at: int, n: int, own: Bilinear) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([float(n)]), pa.array([own.flat().astype("<f4").tobytes()], pa.binary())], names=["at", "n", "parts"])
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, rng = Bilinear(noise.value), np.random.default_rng(3)
+        held = [x for b in batches for x in classes_of(b)]
+        if held:
+            kinds, sizes = (np.concatenate(x) for x in zip(*held, strict=True))
+            for _ in range(EPOCHS):
+                own.train(kinds, sizes, rng, STEP)
+            squares = np.concatenate([own.squares[k].ravel() for k in own.parts])
+            yield result(0, 0, own)
+            yield pa.RecordBatch.from_arrays([pa.array([1], pa.int64()), pa.array([0.0]), pa.array([squares.astype("<f4").tobytes()], pa.binary())], names=["at", "n", "parts"])
+
+    noise = context.broadcast(vocabulary.noise)
+    some = coded(about(rows, FIRST_DOCUMENTS, vocabulary.n_docs, "doc_id"), vocabulary)
+    start = {r.at: np.frombuffer(r.parts, "<f4") for r in some.repartition(1).sortWithinPartitions("h").mapInArrow(first, kinds_of).collect()}
+    shards = max(1, -(-vocabulary.total // SHARD))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, start = shared.value
-        own = Bilinear(known.noise)
-        own.load(start.flat())
-        own.squares = {k: x.copy() for k, x in start.squares.items()}
-        task, n = TaskContext.get().partitionId(), 0
-        own_rng = np.random.default_rng(task)
-        for b in text_slices(batches, 2 << 20):
-            kinds, sizes = text_classes(b.column("text").to_pylist(), known)
-            own.train(kinds, sizes, own_rng, LATER_STEP)
-            n += len(kinds)
+        own, shard, n = Bilinear(noise.value), TaskContext.get().partitionId(), 0
+        own.resume(begun.value)
+        rng = np.random.default_rng(shard)
+        for b in batches:
+            for kinds, sizes in classes_of(b):
+                own.train(kinds, sizes, rng, LATER_STEP)
+                n += len(kinds)
         if n:
-            yield pa.RecordBatch.from_arrays([pa.array([task], pa.int64()), pa.array([float(n)]), pa.array([own.flat().astype("<f4").tobytes()], pa.binary())], names=["at", "n", "parts"])
+            yield result(shard, n, own)
 
     def mean(table: pa.Table) -> pa.Table:
+        table = table.sort_by("at")
         n = table.column("n").to_numpy()
         total = sum(w * np.frombuffer(p, "<f4").astype(np.float64) for w, p in zip(n, table.column("parts").to_pylist(), strict=True))
         return pa.table({"at": pa.array([table.column("at")[0].as_py()], pa.int64()), "n": pa.array([float(n.sum())]), "parts": pa.array([(total / n.sum()).astype("<f4").tobytes()], pa.binary())})
 
-    kinds_of = "at long, n double, parts binary"
-    found = written(rows.select("text").mapInArrow(run, kinds_of), "lm-parts")
-    left = rows.rdd.getNumPartitions()
+    begun = context.broadcast(start)
+    found = written(texts.repartition(shards, "h").sortWithinPartitions("h").mapInArrow(run, kinds_of), "lm-parts")
+    left = (found.agg(F.max("at")).first()[0] or 0) + 1
     while left > TOGETHER:
         found = found.withColumn("at", F.floor(F.col("at") / TOGETHER)).groupBy("at").applyInArrow(mean, kinds_of)
         left = -(-left // TOGETHER)
@@ -301,22 +350,24 @@ def score_documents(docs: DataFrame, counts: DataFrame, vocabulary: Vocabulary,
             keys = row + np.arange(len(words))
             row += len(words)
             tail = np.flatnonzero(at < 0)
-            doc = np.repeat(keys, sizes)[tail]
-            unseen = known.unseen[kind[tail] - 1 - OWN]
+            often = Counter(zip(np.repeat(keys, sizes)[tail].tolist(), (flat[i] for i in tail.tolist()), strict=True))
             names = ["key", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "token"]
             yield pa.RecordBatch.from_arrays([pa.array(keys), b.column("doc_id"), b.column("held_out"), pa.array(sizes + 1), total(seen), total(base), total(logs), pa.nulls(len(words), pa.binary())], names=names)
-            if len(tail):
-                empty = lambda kind: pa.nulls(len(tail), kind)
-                yield pa.RecordBatch.from_arrays([pa.array(doc), empty(pa.int64()), empty(pa.bool_()), empty(pa.int64()), empty(pa.int64()), empty(pa.float64()), pa.array(unseen), pa.array([flat[i] for i in tail], pa.binary())], names=names)
+            if often:
+                empty = lambda kind: pa.nulls(len(often), kind)
+                key, word = zip(*often, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), empty(pa.int64()), empty(pa.bool_()), pa.array(list(often.values()), pa.int64()), empty(pa.int64()), empty(pa.float64()), empty(pa.float64()), pa.array(word, pa.binary())], names=names)
 
     rows = two_columns(docs).select(F.col("doc_id").cast("long").alias("doc_id"), (remainder(FOLDS) == HELD_OUT).alias("held_out"), "text")
     made = written(rows.mapInArrow(run, "key long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, token binary"), "lm-scores")
     whole = made.filter("token is null").drop("token")
-    mass = docs.sparkSession.createDataFrame([(b, float(m)) for b, m in enumerate(vocabulary.mass) if b > OWN], "b int, mass double")
-    less = float(vocabulary.floor)
-    rare = counts.withColumn("b", (F.crc32(F.expr("substring(token, -2, 2)")) % BINS + 1 + OWN).cast("int")).join(F.broadcast(mass), "b").select("token", F.log10((F.col("c") + 0.1) / less).alias("of_base"), F.log10((F.col("c") - DISCOUNT) / F.nullif("mass", F.lit(0.0))).alias("of_score"))
-    tail = made.filter("token is not null").select("key", "token", "score").join(rare, "token", "left")
-    parts = tail.groupBy("key").agg(F.sum(F.when(F.col("of_base").isNotNull(), 1).otherwise(0)).cast("long").alias("n_known"), F.sum(F.coalesce("of_base", F.lit(vocabulary.base_unseen))).alias("base"), F.sum(F.coalesce("of_score", "score")).alias("score"))
+    bins = [(1 + OWN + i, float(m), float(u)) for i, (m, u) in enumerate(zip(vocabulary.mass[1 + OWN :], vocabulary.unseen, strict=True))]
+    bins = F.broadcast(docs.sparkSession.createDataFrame(bins, "b int, mass double, unseen double"))
+    tail = made.filter("token is not null").select("key", F.col("n_tokens").alias("n"), "token").join(counts, "token", "left")
+    tail = tail.withColumn("b", (F.crc32(F.expr("substring(token, -2, 2)")) % BINS + 1 + OWN).cast("int")).join(bins, "b")
+    base = F.log10((F.coalesce("c", F.lit(0)) + 0.1) / float(vocabulary.floor))
+    inside = F.when(F.col("c").isNull(), F.col("unseen")).otherwise(F.log10((F.col("c") - DISCOUNT) / F.col("mass")))
+    parts = tail.groupBy("key").agg(F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).cast("long").alias("n_known"), F.sum(F.col("n") * base).alias("base"), F.sum(F.col("n") * inside).alias("score"))
     both = whole.unionByName(parts, allowMissingColumns=True).groupBy("key").agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("score").alias("score"))
     return both.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(vocabulary.total).cast("long").alias("train_tokens"), "base_score", "score")
 
