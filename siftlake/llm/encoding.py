@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Pieces in each of the two generations that an encoder keeps (about 80 bytes each), and the longest that it keeps, in bytes.
-MEMO, LONGEST = 400_000, 48
+MEMO, LONGEST = 250_000, 48
 #: New pieces that go to the library in one call's list.
 TOGETHER = 1000
 #: Classes of characters in the pattern that byte-level tokenizers cut texts by; UNSURE: those whose class depends on the

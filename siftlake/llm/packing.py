@@ -16,7 +16,7 @@ from siftlake.llm.common import documents, text_slices, two_columns, written
 LIMIT, END_ID = 1024, 2
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Bytes of text that are encoded together.
-SLICE = 1 << 20
+SLICE = 1 << 19
 #: Rows of one length that are numbered in one task, about.
 RANKED_TOGETHER = 4000
 ITERATIONS = 400
