@@ -31,10 +31,10 @@ WORDS = 5
 #: most frequent ones, MOST at most, are told to all tasks. They only set an order, which no result depends on.
 ONE_OF, LEAST_LOOKED, FREQUENT, MOST = 8, 20_000, 2, 1_000_000
 #: Texts with one shingle that are all paired at once; more may give so many pairs a text in the first round, then GROWTH times as many.
-PAIRED, EACH, GROWTH = 32, 8, 8
+PAIRED, EACH, GROWTH = 32, 16, 8
 #: Pairs that a task finds before equal ones among them become one and leave it.
 WAITING = 500_000
-FOUND = "a long, b long, shingle long, size int, place int, next int, open boolean"
+FOUND = "a long, b long, shingle long, next int, open boolean"
 
 
 def fingerprints(texts: list[str], shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
@@ -390,8 +390,8 @@ def candidates(batches: Iterator[pa.RecordBatch], each: int, paired: int = PAIRE
 
     Pairs already linked (equal roots), and those that by size and place can't reach 0.8, are left out. Where more than
     `paired` texts share a shingle, they are paired with later ones from number `next` on until there are `each` pairs a
-    text; the rows then come back as open, unless those from there on are linked already. Of these pairs only those come
-    that parities, where given, don't part. A pair that shares many shingles comes once from every WAITING found.
+    text; the shingle then comes back as open, with the number to go on from, unless the texts from there on are linked
+    already. Of these pairs only those come that parities, where given, don't part. A pair that shares many shingles comes once from every WAITING found.
     """
     names = ["shingle", "size", "node", "place", "root", "next"]
     held = [np.empty(0, np.int64)] * 6 + [np.empty(0, object)]
@@ -403,7 +403,7 @@ def candidates(batches: Iterator[pa.RecordBatch], each: int, paired: int = PAIRE
         waiting.append(pair)
         n_waiting += len(pair[0])
 
-    def out(open_: list[np.ndarray], least: int = 0) -> pa.RecordBatch:
+    def out(open_: list[tuple[int, int]], least: int = 0) -> pa.RecordBatch:
         nonlocal n_waiting
         ready = list(waiting) if n_waiting >= least else []
         if ready:
@@ -411,12 +411,11 @@ def candidates(batches: Iterator[pa.RecordBatch], each: int, paired: int = PAIRE
             n_waiting = 0
         a, b = (np.concatenate([p[i] for p in ready] or [held[0][:0]]) for i in (0, 1))
         both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
-        rest = np.concatenate(open_ or [np.empty((0, 5), np.int64)])
+        rest = np.array(open_, np.int64).reshape(-1, 2)
         n, m = len(both), len(rest)
-        zero = np.zeros(n, np.int64)
-        columns = [np.concatenate([both[:, 0], rest[:, 2]]), np.concatenate([both[:, 1], rest[:, 2]]), *(np.concatenate([zero, rest[:, k]]) for k in (0, 1, 3, 4))]
-        kinds = (np.int64, np.int64, np.int64, np.int32, np.int32, np.int32)
-        return pa.RecordBatch.from_arrays([*(pa.array(c.astype(k)) for c, k in zip(columns, kinds, strict=True)), pa.array(np.arange(n + m) >= n)], names=["a", "b", "shingle", "size", "place", "next", "open"])
+        zero, none = np.zeros(n, np.int64), np.zeros(m, np.int64)
+        columns = [np.concatenate([both[:, 0], none]), np.concatenate([both[:, 1], none]), np.concatenate([zero, rest[:, 0]]), np.concatenate([zero, rest[:, 1]]).astype(np.int32)]
+        return pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(np.arange(n + m) >= n)], names=["a", "b", "shingle", "next", "open"])
 
     def matched(rows: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         _, size, _, place, root, _, _ = rows
@@ -454,7 +453,7 @@ def candidates(batches: Iterator[pa.RecordBatch], each: int, paired: int = PAIRE
                 if n_waiting > WAITING or len(waiting) > 10_000:
                     yield out([])
             if k < n - 1 and (rows[4][at + k : at + n] != rows[4][at + k]).any():
-                open_.append(np.stack([*(c[at : at + n] for c in rows[:4]), np.full(n, k)], 1))
+                open_.append((int(rows[0][at]), k))
         yield out(open_, WAITING)
 
     for b in batches:
@@ -565,23 +564,26 @@ def near_copies(docs: DataFrame, radius: int = BITS, id_col: str = "doc_id", tex
     pairs = tree.join(first.toDF("a", "x"), "a").join(first.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
     same = nodes.distinct().join(first, "fp").filter("doc_id <> node").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
     links = confirmed(texts, sketches, pairs.unionByName(same))
-    roots, rows, each = connected(links), None, EACH
+    roots, open_, each = connected(links), None, EACH
+    firsts = prints.select("node", "size", "first")
+    firsts = firsts if alone else written(firsts.dropDuplicates(["node"]), "firsts")
     while True:
         ends = roots.select(F.col("u").alias("node"), "root")
-        if rows is None:
-            known = prints.select("node", "size", "first")
-            known = (known if alone else known.dropDuplicates(["node"])).join(ends, "node", "left")
-            known = known.select("node", "size", F.coalesce("root", "node").alias("root"), F.posexplode("first").alias("place", "shingle"), F.lit(0).alias("next"))
+        columns = ["shingle", "size", "node", "place", "root", "next"]
+        if open_ is None:
+            known = firsts.join(ends, "node", "left").select("node", "size", "root", F.posexplode("first").alias("place", "shingle"), F.lit(0).alias("next"))
         else:
-            known = rows.join(ends, "node", "left").withColumn("root", F.coalesce("root", "node")).join(sketches.select("node", "parity"), "node")
-        columns = ["shingle", "size", "node", "place", "root", "next", *["parity"] * (rows is not None)]
+            known = firsts.select("node", "size", F.posexplode("first").alias("place", "shingle")).join(small(open_), "shingle")
+            known = known.join(ends, "node", "left").join(sketches.select("node", "parity"), "node")
+            columns = [*columns, "parity"]
+        known = known.withColumn("root", F.coalesce("root", "node"))
         dealt = known.repartition("shingle").sortWithinPartitions("shingle", "size", "node").select(*columns)
-        found = written(dealt.mapInArrow(lambda batches, each=each, paired=PAIRED, parities=rows is not None: candidates(batches, each, paired, parities), FOUND), "candidates")
+        found = written(dealt.mapInArrow(lambda batches, each=each, paired=PAIRED, parities=open_ is not None: candidates(batches, each, paired, parities), FOUND), "candidates")
         new = confirmed(texts, sketches, found.filter("not open").select("a", "b"))
         if not new.isEmpty():
             roots = connected(new.unionByName(roots.select(F.col("u").alias("a"), F.col("root").alias("b"))))
-        rows = found.filter("open").select("shingle", "size", F.col("a").alias("node"), "place", "next")
-        if rows.isEmpty():
+        open_ = found.filter("open").select("shingle", "next")
+        if open_.isEmpty():
             break
         each *= GROWTH
     by_node = prints.select("doc_id", F.col("node").alias("fp"))
