@@ -16,9 +16,10 @@ import tiktoken
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from siftlake.llm import bpe, encoding, exact_dedup, langid, licenses, lm, packing, quality, queries, simhash, token_output, toxicity
+from siftlake.llm import bpe, common, encoding, exact_dedup, langid, licenses, lm, packing, quality, queries, simhash, token_output, toxicity
 from siftlake.llm.common import text_slices, written
 
 WORDS = "the of and to in is that for it as with was on be by at this from or an are".split()
@@ -66,13 +67,76 @@ def test_odd_rows_and_empty_tables(odd, none, name):
     assert OPERATORS[name](none).count() == 0
 
 
+EMPTY = hashlib.sha256(b"").hexdigest()
+
+
+def odd_values(name, odd):
+    """Rows by (id, place among equal ids in the order of texts' appearance is lost, so equal ids come as a list)."""
+    out = collections.defaultdict(list)
+    for r in OPERATORS[name](odd).collect():
+        out[r.doc_id].append(r)
+    return out
+
+
+def test_odd_values_of_scores(odd):
+    got = odd_values("op1", odd)
+    assert [got[i][0].n_tokens for i in (0, 1, 2, 3, 7, 9)] == [1, 1, 1, 16, 6001, 501]
+    assert got[0][0].score == got[1][0].score == got[2][0].score and got[5][0].score == got[5][1].score
+    assert got[None][0].held_out and got[None][0].n_tokens == 13  # a null id counts as the empty text, whose checksum is 0
+    assert got[5][0].n_known == (6 if zlib.crc32(b"5") % 10 else 1)
+    got = odd_values("op5", odd)
+    assert got[0][0].score == got[1][0].score == got[2][0].score and got[5][0] == got[5][1]
+    assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for own in got.values() for r in own)
+
+
+def test_odd_values_of_scans(odd):
+    got = odd_values("op2", odd)
+    for i, t in ODD:
+        r = got[i][0]
+        assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == brute_phrases(t or "") and r.labels == "" and r.score == 0
+    got = odd_values("op3", odd)
+    assert all((r.lang_pred, r.score) == ("und", 0.0) for i in (0, 1, 2, 6) for r in got[i])
+    assert all(r.lang_pred == "en" for i in (3, 4, 5, 7, 8, 9, 10, None) for r in got[i])  # the one language that is learned
+    got = odd_values("op9", odd)
+    for i, t in ODD:
+        r = got[i][0]
+        if t not in (LONG, LONG + " x"):
+            assert (*(r[c] for c in quality.COUNTS), r.base_failed, r.n_covered, r.longest_repeat, r.kept) == brute_quality(t or "")
+    assert got[7][0].n_words == 6000 and got[7][0].kept and got[9][0].longest_repeat == 499 and not got[9][0].kept
+
+
+def test_odd_values_of_ids(odd):
+    got = odd_values("op4", odd)
+    for i, t in ODD:
+        ids = np.array(REFERENCE.encode_ordinary(t or ""), "<u4")
+        want = (len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest())
+        assert all((r.n_tokens, r.ids_sha256, r.decoded_sha256) == want for r in got[i])
+    assert got[0][0].n_tokens == 0 and got[0][0].decoded_sha256 == EMPTY
+
+
+def test_odd_values_of_groups(odd):
+    got = odd_values("op6", odd)
+    assert [(r.keep_id, r.group_size, r.kept) for i in (0, 1, 2, 3, 4) for r in got[i]] == [(0, 2, True), (0, 2, False), (2, 1, True), (3, 2, True), (3, 2, False)]
+    assert [(r.keep_id, r.group_size, r.kept) for r in got[5]] == [(5, 2, True)] * 2
+    assert [(r.keep_id, r.group_size, r.kept) for i in (7, 8, None) for r in got[i]] == [(7, 1, True), (8, 1, True), (None, 1, True)]
+    got = odd_values("op10", odd)
+    assert all(r.fingerprint == f"{brute_print(t):016x}" for i, t in ODD for r in got[i])
+    assert [got[i][0].component_id for i in (0, 1, 2, 3, 4, 7, 8)] == [0, 0, 0, 3, 3, 7, 7] and got[None][0].component_id is None
+
+
 def test_packing_and_output_of_odd_rows(spark, odd, none, tmp_path):
     packed = packing.best_fit_packing(odd).collect()
     assert {r.doc_id for r in packed} == {i for i, _ in ODD}
+    check_packing([r for r in packed if r.doc_id != 5], {i: t for i, t in ODD if i != 5}, gaps=True)
+    assert len({(r.length, r.ids_crc32) for r in packed if r.doc_id == 5}) == 1 and sum(r.doc_id == 5 for r in packed) == 2
     assert packing.best_fit_packing(none).count() == 0
     token_output.write_tokens(odd, str(tmp_path / "t"))
     back = token_output.read_tokens(spark, str(tmp_path / "t")).collect()
-    assert collections.Counter(r.doc_id for r in back) == collections.Counter(i for i, _ in ODD)
+    start, want = 0, []
+    for i, t in sorted(ODD, key=lambda x: (x[0] is not None, x[0] or 0)):  # a null id comes first
+        want.append((i, start, len(ids_of(t)), zlib.crc32(ids_of(t).tobytes())))
+        start += want[-1][2]
+    assert sorted(((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in back), key=lambda r: r[1]) == want
     token_output.write_tokens(none, str(tmp_path / "n"))
     assert token_output.read_tokens(spark, str(tmp_path / "n")).count() == 0
 
@@ -106,8 +170,7 @@ def test_pipeline_equals_brute_force(spark, sf):
     rows = [r for r in rows if brute_quality(r[1])[-1]]
     first = {}
     rows = [r for r in rows if first.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", r[1]), r[0]) == r[0]]
-    prints = np.array([brute_print(t) for _, t in rows], np.uint64)
-    label = simhash.components(len(rows), *simhash.compare(prints, 2))
+    label = brute_near_copies([t for _, t in rows])
     rows = [r for i, r in enumerate(rows) if label[i] == i]
     got = corpus_pipeline.run(spark, sf).collect()
     assert {r.doc_id for r in got} == {i for i, _ in rows}
@@ -140,6 +203,55 @@ def test_lm_scores(spark, sf, monkeypatch, head):
     assert held.score.sum() > held.base_score.sum() and (got.score < 0).all()
 
 
+def test_lm_scores_do_not_depend_on_files(spark, sf, monkeypatch):
+    monkeypatch.setattr(lm, "SHARD", 20_000)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    one, two = ({r.doc_id: r.score for r in lm.lm_scores(docs.orderBy(order).repartition(n)).collect()} for n, order in ((2, "doc_id"), (7, F.desc("text"))))
+    assert one.keys() == two.keys() and all(one[i] == pytest.approx(two[i], rel=1e-9) for i in one)
+
+
+@pytest.mark.parametrize("head", [100_000, 1500])
+def test_lm_scores_equal_brute_force(spark, sf, monkeypatch, head):
+    """Each word's probability by itself: the softmax over all classes of the two classes before it, times its share there."""
+    monkeypatch.setattr(lm, "HEAD", head)
+    docs = written(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"), "lm-docs")
+    learned = docs.filter(lm.remainder(lm.FOLDS) != lm.HELD_OUT)
+    counts = written(lm.count_words(learned), "lm-counts")
+    vocabulary = lm.vocabulary_of(counts, learned.count())
+    model = lm.train(learned, vocabulary)
+    got = {r.doc_id: r.score for r in lm.score_documents(docs, counts, vocabulary, model).collect()}
+    seen = {bytes(r.token): r.c for r in counts.collect()}
+    own = set(list(vocabulary.words)[: lm.OWN])
+    kind = {w: 1 + i for i, w in enumerate(list(vocabulary.words)[: lm.OWN])}
+    of = lambda w: kind.get(w) or lm.bin_of(w)
+    held, kinds = collections.Counter(), collections.Counter()
+    for w, c in seen.items():
+        if w not in own:
+            held[of(w)] += c
+            kinds[of(w)] += 1
+
+    def share(w):
+        if w in own or not held[of(w)]:
+            return 1.0
+        return (seen[w] - lm.DISCOUNT) / held[of(w)] if w in seen else lm.DISCOUNT * kinds[of(w)] / held[of(w)]
+
+    for b in list(held)[:20]:  # the shares of a bin's words and of all unseen words in it sum to 1
+        assert sum(share(w) for w in seen if w not in own and of(w) == b) + lm.DISCOUNT * kinds[b] / held[b] == pytest.approx(1)
+    r, bias, a, c = (model.parts[k].astype(np.float64) for k in "rbac")
+
+    def log_share(u, v, w):
+        s = r @ (r[u] @ a + r[v] @ c) + bias
+        return s[w] - s.max() - math.log(np.exp(s - s.max()).sum())
+
+    for row in docs.limit(25).collect():
+        total, before = 0.0, (lm.END, lm.END)
+        for w in [*row.text.encode().lower().split(), None]:
+            k = lm.END if w is None else of(w)
+            total += log_share(*before, k) / math.log(10) + (0 if w is None else math.log10(share(w)))
+            before = (k, before[0])
+        assert got[row.doc_id] == pytest.approx(total, rel=1e-4)
+
+
 def test_lm_probabilities_sum_to_one():
     rng = np.random.default_rng(0)
     noise = rng.random(40) + 0.1
@@ -214,17 +326,24 @@ def test_license_query(spark, sf):
     ("MIT", True, "mit,spdx"), ("MIT OR GPL-2.0-only", True, "gpl,mit,spdx"), ("MIT AND GPL-2.0-only", False, "gpl,mit,spdx"),
     ("GPL-2.0-only WITH Classpath-exception-2.0 OR (Apache-2.0 AND BSD-3-Clause)", True, "apache,bsd,gpl,spdx"),
     ("MIT OR GPL-2.0-only AND MPL-2.0 */", True, "gpl,mit,mpl,spdx"), ("(MIT OR GPL-3.0) AND MPL-2.0", False, "gpl,mit,mpl,spdx"),
+    ("MITRE-X", False, "other,spdx"), ("GPL-2.0+", False, "gpl,spdx"), ("OFL-1.1 OR EPL-2.0", False, "epl,ofl,spdx"),
+    ("(MIT\n//  OR GPL-2.0-only\n// ) AND ISC", True, "gpl,isc,mit,spdx"), ("(MIT OR\n * Zlib)\n * MPL-2.0", True, "mit,spdx,zlib"),
 ])
 def test_license_expressions(line, permissive, labels):
     got = licenses.scan(f"// SPDX-License-Identifier: {line}\nint x;", licenses.automaton())
     assert got[5] == labels and got[8] is permissive and got[6] == pytest.approx(0.9)
 
 
-@pytest.mark.parametrize("line", ["", "(MIT", "AND MIT", "MIT OR", ")"])
+@pytest.mark.parametrize("line", ["", "(MIT", "AND MIT", "MIT OR", ")", "GPL-2.0-only WITH (MIT OR ISC)", "(MIT OR ISC) WITH LLVM-exception", "MIT WITH x WITH y"])
 def test_unreadable_expressions(line):
     assert licenses.postfix(line) is None
 
 
+def test_families_are_whole_identifiers():
+    names = ["mit", "mitre-x", "cc-by-nc-sa-4.0", "cc-by-4.0", "gpl-3.0-or-later", "gpl-9.0", "bsd-3-clause-clear", "apache-2.0", "apache"]
+    assert [licenses.family(x) for x in names] == ["mit", "other", "cc-by-nc", "cc-by", "gpl", "other", "bsd", "apache", "other"]
+
+
 # op3
 
 
@@ -234,6 +353,55 @@ def test_language_held_out_accuracy(spark):
     assert (got.lang == got.lang_pred).mean() > 0.98 and got.score.between(0, 1).all()
 
 
+def brute_languages(rows):
+    """Naive Bayes over the n-grams of one text at a time: doc_id to (language, score)."""
+    m32 = 0xFFFFFFFF
+
+    def grams(text):
+        codes = [ord(c) if c.isalpha() else 32 for c in text.lower()] + [32] * 3
+        for n in (1, 2, 3):
+            for i in range(len(codes) - n + 1):
+                h = 0
+                for k, c in enumerate(codes[i : i + n]):
+                    h = (h * 0x9E3779B1 + c * 0x85EBCA6B + k + 1) & m32
+                yield ((h ^ h >> 15) * 0x2C1B3C6D & m32) >> 17
+
+    sums, n_docs = collections.defaultdict(collections.Counter), collections.Counter()
+    for i, t, lang in rows:
+        if t is not None and lang is not None and zlib.crc32(str(i).encode()) % 4 != 2:
+            n_docs[lang] += 1
+            if any(map(str.isalpha, t)):
+                sums[lang].update(grams(t))
+    names, out = sorted(n_docs), {}
+    total = {x: sum(sums[x].values()) + langid.SMOOTHING * langid.CELLS for x in names}
+    for i, t, _ in rows:
+        if not t or not any(map(str.isalpha, t)):
+            out[i] = ("und", 0.0)
+            continue
+        counts = collections.Counter(grams(t))
+        size = math.sqrt(3 * (len(t.lower()) + 3))
+        logit = [sum(c * math.log((sums[x][g] + langid.SMOOTHING) / total[x]) for g, c in counts.items()) / size + math.log((n_docs[x] + 1) / (n_docs.total() + len(names))) for x in names]
+        top = max(logit)
+        out[i] = (names[logit.index(top)], 1 / sum(math.exp(x - top) for x in logit))
+    return out
+
+
+def test_language_query_equals_brute_force(spark, sf):
+    want = brute_languages([(r.doc_id, r.text, r.lang) for r in texts_of(spark, sf)])
+    got = {r.doc_id: (r.lang_pred, r.score) for r in queries.op3_language_id(spark, sf).collect()}
+    assert {i: x for i, (x, _) in got.items()} == {i: x for i, (x, _) in want.items()}
+    assert all(got[i][1] == pytest.approx(want[i][1], abs=1e-4) for i in want)
+
+
+def test_languages_do_not_depend_on_neighbours(spark, sf):
+    model = langid.learned(spark.read.parquet(f"{sf}/documents.parquet"))
+    texts = [r.text for r in texts_of(spark, sf)][:40] + ["\U00020000\U00020001", "12", ""]
+    together, scores = model.predict(texts)
+    alone = [model.predict([t]) for t in texts]
+    assert together == [a[0][0] for a in alone] and np.allclose(scores, [a[1][0] for a in alone], atol=1e-6)
+    assert together[-3] != "und" and together[-2:] == ["und", "und"]
+
+
 def test_languages_are_learned_from_the_rest_alone(spark):
     rows = [(i, "bonjour le monde" if i % 2 else "guten tag die welt", "fr" if i % 2 else "de") for i in range(40)]
     model = langid.learned(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
@@ -313,7 +481,7 @@ def ids_of(text):
     return np.array(TOKENIZER.encode(text or "", add_special_tokens=False).ids + [2], "<u4")
 
 
-def check_packing(rows, docs):
+def check_packing(rows, docs, gaps=False):
     places = collections.defaultdict(list)
     pieces = collections.defaultdict(list)
     for r in rows:
@@ -322,8 +490,8 @@ def check_packing(rows, docs):
     for own in places.values():
         at = 0
         for offset, length in sorted(own):
-            assert offset == at
-            at += length
+            assert offset == at or gaps and offset > at
+            at = offset + length
         assert at <= 1024
     assert set(pieces) == set(docs)
     for i, own in pieces.items():
@@ -575,6 +743,31 @@ def brute_shingles(text):
     return {b" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
 
 
+def brute_near_copies(texts):
+    """The smallest place that each text is linked to by a Jaccard similarity of 0.8 of five-word shingles."""
+    sets = [brute_shingles(t) for t in texts]
+    pairs = [(i, j) for i, j in itertools.combinations(range(len(sets)), 2) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) > 0]
+    return simhash.components(len(sets), *(np.array([p[k] for p in pairs], np.int64) for k in (0, 1)))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.sets(st.integers(0, 2**64 - 1), max_size=200), st.integers(0, 60), st.integers(0, 60), st.integers(0, 5))
+def test_parities_never_part_alike_sets(x, drop, add, seed):
+    rng = np.random.default_rng(seed)
+    x = np.array(sorted(x), np.uint64)
+    y = np.unique(np.concatenate([x[drop:], rng.integers(0, 2**63, add).astype(np.uint64)]))
+    if len(x) and len(y) and simhash.alike(x, y):
+        assert simhash.may_be_alike(pa.scalar(simhash.parity(x)), pa.scalar(simhash.parity(y)), len(x) + len(y))
+
+
+def test_parities_part_unlike_sets():
+    rng = np.random.default_rng(1)
+    x, y = (np.unique(rng.integers(0, 2**63, n).astype(np.uint64)) for n in (300, 250))
+    half = np.concatenate([x[:150], y[:100]])
+    for z in (y, half):
+        assert not simhash.may_be_alike(pa.scalar(simhash.parity(x)), pa.scalar(simhash.parity(z)), len(x) + len(z))
+
+
 @pytest.mark.parametrize("paired", [32, 2])
 def test_near_copies_equal_brute_force(spark, sf, monkeypatch, paired):
     monkeypatch.setattr(simhash, "PAIRED", paired)
@@ -586,17 +779,28 @@ def test_near_copies_equal_brute_force(spark, sf, monkeypatch, paired):
         for k in rng.integers(0, 120, 1 + i % 7):
             words[k] = f"x{rng.integers(0, 5000)}"
         rows[10_000 + i] = " ".join(words[i % 20 :])
-    sets = {i: brute_shingles(t) for i, t in rows.items()}
     ids = sorted(rows)
-    pairs = [(x, y) for x, y in itertools.combinations(range(len(ids)), 2) if 5 * len(sets[ids[x]] & sets[ids[y]]) >= 4 * len(sets[ids[x]] | sets[ids[y]]) > 0]
-    label = simhash.components(len(ids), *(np.array([p[k] for p in pairs]) for k in (0, 1)))
+    label = brute_near_copies([rows[i] for i in ids])
     docs = spark.createDataFrame([(i, t) for i, t in rows.items()], "doc_id long, text string")
     got = {r.doc_id: r.component_id for r in simhash.near_copies(docs).collect()}
     assert got == {i: ids[label[k]] for k, i in enumerate(ids)}
     assert got[177] == 1 and got[145] == 6  # 7 and 11 bits apart
 
 
-def test_connected_chain(spark):
+def test_near_copies_go_by_id_and_text(spark):
+    base = [f"w{k}" for k in range(60)]
+    near = " ".join([*base, "x"])
+    other = " ".join(f"v{k}" for k in range(30))
+    rows = [(1, " ".join(base)), (2, near), (2, other), (None, near + " y"), (None, other + " alone in the end of a text"), (3, None), (4, ""), (5, other), (5, other)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.text) for r in simhash.keep_one(docs).collect()), key=str)
+    assert got == sorted([(1, " ".join(base)), (2, other), (None, other + " alone in the end of a text"), (3, None)], key=str)
+    assert simhash.keep_one(docs.filter("doc_id > 9")).count() == 0
+
+
+@pytest.mark.parametrize("few", [200_000, 5])
+def test_connected_chain(spark, monkeypatch, few):
+    monkeypatch.setattr(common, "BROADCAST", few)
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "a long, b long")
     got = {r.u: r.root for r in simhash.connected(edges).collect()}
     assert {got.get(i, i) for i in range(41)} == {0} and got[101] == 100
