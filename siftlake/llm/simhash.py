@@ -385,16 +385,17 @@ class Parities:
 
 
 def candidates(batches: Iterator[pa.RecordBatch], each: int, paired: int = PAIRED, parities: bool = False) -> Iterator[pa.RecordBatch]:
-    """Pairs that share a shingle, from rows (shingle, size, node, place, root, next; with parities also parity) in that order;
-    as FOUND.
+    """Pairs that share a shingle, from rows (shingle, size, node, place, root, next, before; with parities also parity) in that
+    order; as FOUND. before: the text's shingle at the place before.
 
-    Pairs already linked (equal roots), and those that by size and place can't reach 0.8, are left out. Where more than
+    Pairs already linked (equal roots), and those that by size and place can't reach 0.8, are left out, and so are those that
+    share the shingle before too: they come, or have been left out, there. Where more than
     `paired` texts share a shingle, they are paired with later ones from number `next` on until there are `each` pairs a
     text; the shingle then comes back as open, with the number to go on from, unless the texts from there on are linked
     already. Of these pairs only those come that parities, where given, don't part. A pair that shares many shingles comes once from every WAITING found.
     """
-    names = ["shingle", "size", "node", "place", "root", "next"]
-    held = [np.empty(0, np.int64)] * 6 + [np.empty(0, object)]
+    names = ["shingle", "size", "node", "place", "root", "next", "before"]
+    held = [np.empty(0, np.int64)] * 7 + [np.empty(0, object)]
     waiting: list[tuple[np.ndarray, np.ndarray]] = []
     n_waiting = 0
 
@@ -418,11 +419,15 @@ def candidates(batches: Iterator[pa.RecordBatch], each: int, paired: int = PAIRE
         return pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(np.arange(n + m) >= n)], names=["a", "b", "shingle", "next", "open"])
 
     def matched(rows: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        _, size, _, place, root, _, _ = rows
+        _, size, _, place, root, _, _, _ = rows
         common = np.minimum(size[i] - place[i], size[j] - place[j])  # at most, from this shingle on
         ok = (root[i] != root[j]) & (5 * size[i] >= 4 * size[j]) & (9 * common >= 4 * (size[i] + size[j]))
         return i[ok], j[ok]
 
+    def fresh(rows: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        ok = (rows[6][i] != rows[6][j]) | (rows[3][i] == 0) | (rows[3][j] == 0)
+        return i[ok], j[ok]
+
     def done(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         new = np.ones(len(rows[0]), bool)
         new[1:] = (rows[0][1:] != rows[0][:-1]) | (rows[2][1:] != rows[2][:-1])
@@ -435,16 +440,17 @@ def candidates(batches: Iterator[pa.RecordBatch], each: int, paired: int = PAIRE
             i = np.flatnonzero((rows[0][d:] == rows[0][:-d]) & few[d:])
             if not len(i):
                 break
-            i, j = matched(rows, i, i + d)
+            i, j = fresh(rows, *matched(rows, i, i + d))
             wait((rows[2][i], rows[2][j]))
         for at, n in zip(begins[sizes > paired].tolist(), sizes[sizes > paired].tolist(), strict=True):
             k, made = int(rows[5][at]), 0
-            test = Parities(rows[6][at : at + n], rows[1][at : at + n]) if parities else None
+            test = Parities(rows[7][at : at + n], rows[1][at : at + n]) if parities else None
             ends = np.searchsorted(rows[1][at : at + n], 5 * rows[1][at : at + n] // 4, "right")
             while k < n - 1 and made < each * n:
                 j = np.arange(at + k + 1, at + ends[k])
                 i, j = matched(rows, np.full(len(j), at + k), j)
                 made += len(j)
+                i, j = fresh(rows, i, j)
                 if test and len(j):
                     ok = test.may_be_alike(k, j - at)
                     i, j = i[ok], j[ok]
@@ -462,7 +468,7 @@ def candidates(batches: Iterator[pa.RecordBatch], each: int, paired: int = PAIRE
         rows = [np.concatenate([h, b.column(c).to_numpy().astype(np.int64)]) for h, c in zip(held, names, strict=False)]
         own = np.empty(b.num_rows, object)
         own[:] = b.column("parity").to_pylist() if parities else None
-        rows.append(np.concatenate([held[6], own]))
+        rows.append(np.concatenate([held[7], own]))
         last = int(np.searchsorted(rows[0], rows[0][-1]))
         held = [c[last:] for c in rows]
         if last:
@@ -567,14 +573,19 @@ def near_copies(docs: DataFrame, radius: int = BITS, id_col: str = "doc_id", tex
     roots, open_, each = connected(links), None, EACH
     firsts = prints.select("node", "size", "first")
     firsts = firsts if alone else written(firsts.dropDuplicates(["node"]), "firsts")
+    before = F.concat(F.array(F.lit(0).cast("long")), F.slice("first", 1, F.greatest(F.size("first") - 1, F.lit(0))))
+
+    def spread(rows: DataFrame, *more: str) -> DataFrame:
+        each = F.posexplode(F.arrays_zip(F.col("first").alias("shingle"), before.alias("before"))).alias("place", "s")
+        return rows.select("node", "size", *more, each).select("node", "size", *more, "place", "s.shingle", "s.before").filter("shingle is not null")
+
     while True:
         ends = roots.select(F.col("u").alias("node"), "root")
-        columns = ["shingle", "size", "node", "place", "root", "next"]
+        columns = ["shingle", "size", "node", "place", "root", "next", "before"]
         if open_ is None:
-            known = firsts.join(ends, "node", "left").select("node", "size", "root", F.posexplode("first").alias("place", "shingle"), F.lit(0).alias("next"))
+            known = spread(firsts.join(small(ends), "node", "left"), "root").withColumn("next", F.lit(0))
         else:
-            known = firsts.select("node", "size", F.posexplode("first").alias("place", "shingle")).join(small(open_), "shingle")
-            known = known.join(ends, "node", "left").join(sketches.select("node", "parity"), "node")
+            known = spread(firsts).join(small(open_), "shingle").join(ends, "node", "left").join(sketches.select("node", "parity"), "node")
             columns = [*columns, "parity"]
         known = known.withColumn("root", F.coalesce("root", "node"))
         dealt = known.repartition("shingle").sortWithinPartitions("shingle", "size", "node").select(*columns)
