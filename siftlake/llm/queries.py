@@ -11,6 +11,7 @@ from siftlake.llm.lm import op1_lm_scoring
 from siftlake.llm.packing import op7_best_fit_packing
 from siftlake.llm.quality import op9_quality_rules
 from siftlake.llm.simhash import op10_simhash_near_dedup
+from siftlake.llm.substrings import op11_substring_dedup
 from siftlake.llm.token_output import op8_token_output
 from siftlake.llm.toxicity import op5_toxicity
 from siftlake.session import shipped
@@ -28,6 +29,7 @@ def queries():
         "op8_token_output": op8_token_output,
         "op9_quality_rules": op9_quality_rules,
         "op10_simhash_near_dedup": op10_simhash_near_dedup,
+        "op11_substring_dedup": op11_substring_dedup,
         "pipeline": corpus_pipeline.run,
     }
     return {name: shipped(f) for name, f in found.items()}
