@@ -30,6 +30,16 @@ def two_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
+def plain_words(text: Column | str) -> Column:
+    """A text's words, by the white space of the contracts, joined by one space."""
+    return F.btrim(F.regexp_replace(text, f"{SPACE}+", " "), F.lit(" "))
+
+
+def words_in(plain: str) -> Column:
+    """How many words a text of plain_words has."""
+    return F.when(F.col(plain) == "", 0).otherwise(F.length(plain) - F.length(F.replace(F.col(plain), F.lit(" "), F.lit(""))) + 1).cast("long")
+
+
 def remainder(n: int, id_col: str = "doc_id") -> Column:
     """crc32 of the id as text, modulo n; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % n

@@ -9,8 +9,10 @@ from siftlake.llm.langid import op3_language_id
 from siftlake.llm.licenses import op2_license_scan
 from siftlake.llm.lm import op1_lm_scoring
 from siftlake.llm.packing import op7_best_fit_packing
+from siftlake.llm.prefix_trie import op12_conversation_trie
 from siftlake.llm.quality import op9_quality_rules
 from siftlake.llm.simhash import op10_simhash_near_dedup
+from siftlake.llm.structure_repair import op13_structure_repair
 from siftlake.llm.substrings import op11_substring_dedup
 from siftlake.llm.token_output import op8_token_output
 from siftlake.llm.toxicity import op5_toxicity
@@ -30,6 +32,8 @@ def queries():
         "op9_quality_rules": op9_quality_rules,
         "op10_simhash_near_dedup": op10_simhash_near_dedup,
         "op11_substring_dedup": op11_substring_dedup,
+        "op12_conversation_trie": op12_conversation_trie,
+        "op13_structure_repair": op13_structure_repair,
         "pipeline": corpus_pipeline.run,
     }
     return {name: shipped(f) for name, f in found.items()}

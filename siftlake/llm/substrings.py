@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftlake.llm import recompression as R
-from siftlake.llm.common import SPACE, Scratch, documents, give_back, partitions_for, small, text_slices, two_columns, utf8
+from siftlake.llm.common import Scratch, documents, give_back, partitions_for, plain_words, small, text_slices, two_columns, utf8, words_in
 
 #: Words of a window.
 WINDOW = 35
@@ -240,11 +240,6 @@ def kept_words(text: pa.Array, found: pa.Array, window: int) -> pa.Array:
     return pa.array(out, pa.string())
 
 
-def words_in(text: str) -> Column:
-    """How many words a text of words joined by one space has."""
-    return F.when(F.col(text) == "", 0).otherwise(F.length(text) - F.length(F.replace(F.col(text), F.lit(" "), F.lit(""))) + 1).cast("long")
-
-
 def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed, kept: each row's text without the words covered by a window of `window` words that also
     begins anywhere else, in the same text or another; kept words are joined by one space.
@@ -264,8 +259,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
     found = small(repeated_windows(rows, window))
     joined = rows.withColumn("key", key_of()).join(found, "key", "left")
     hit = F.col("ranges").isNotNull()
-    plain = F.btrim(F.regexp_replace("text", f"{SPACE}+", " "), F.lit(" "))
-    both = joined.select("doc_id", plain.alias("plain"), without(F.when(hit, F.col("text")), F.col("ranges")).alias("left"))
+    both = joined.select("doc_id", plain_words("text").alias("plain"), without(F.when(hit, F.col("text")), F.col("ranges")).alias("left"))
     both = both.select("doc_id", words_in("plain").alias("n_words"), F.coalesce("left", "plain").alias("kept"))
     return both.select("doc_id", "n_words", (F.col("n_words") - words_in("kept")).alias("n_removed"), "kept")
 
