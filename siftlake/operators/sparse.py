@@ -2,20 +2,31 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siftlake.scratch import Scratch, written
+
 #: Words that carry no meaning of their own.
 STOPWORDS = "a an and are as at be by for from has he in is it its of on or that the this to was with you".split()
 #: The usual constants of BM25, features that a chunk keeps, and the least length of a term.
 K1, B, FEATURES, LEAST_LENGTH = 1.2, 0.75, 128, 2
+#: Postings of a group of documents, about; groups that a search scores before it knows what can still be among the best;
+#: shelves, each for documents whose heaviest weight is half as heavy as the shelf's before.
+GROUP, FIRST, SHELVES = 8192, 2, 40
+#: Sums in another order differ by less; a group within this of the k-th score is read.
+SLACK = 1e-8
 
 
 def term_counts(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """keys, term and tf: how often each term, a run of letters and their marks in any script, stop words apart, stands in the row's text."""
+    """keys, term and tf: how often each term, a run of letters and their marks in any script, stop words apart, stands in the row's text.
+
+    Texts are dealt by their keys before they are cut: counts and sums of a text then need no shuffle of its terms."""
     found = F.split(F.lower(F.col(text)), r"[^\p{L}\p{M}]+")
     # Filtered after the explode: that stays in generated code, a lambda over the array would not.
-    rows = docs.select(*keys, F.explode(found).alias("term")).filter((F.col("term") != "") & ~F.col("term").isin(STOPWORDS))
+    rows = docs.select(*keys, text).repartition(*keys).select(*keys, F.explode(found).alias("term")).filter((F.col("term") != "") & ~F.col("term").isin(STOPWORDS))
     return rows.groupBy(*keys, "term").agg(F.count("*").alias("tf"))
 
 
@@ -49,17 +60,100 @@ def sparse_topk(queries: DataFrame, postings: DataFrame, n_docs: DataFrame, k: i
     return scored.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
+@dataclass
+class SparseIndex:
+    """What a sparse search reads: postings (shelf, tenant, doc, term, dw), a folder for each shelf; tops (tenant, term, shelf,
+    part, top, n), the largest weight and the number of postings of a term in each group; parts (tenant, shelf, parts), how
+    many groups a shelf has; sizes (tenant, n). All are written tables."""
+
+    postings: DataFrame
+    tops: DataFrame
+    parts: DataFrame
+    sizes: DataFrame
+    tenant: str
+    doc: str
+
+    def placed(self) -> DataFrame:
+        """The postings with their group: shelf and part."""
+        return self.postings.join(self.parts, [self.tenant, "shelf"]).withColumn("part", F.pmod(F.xxhash64(self.doc), "parts")).drop("parts")
+
+
+def sparse_index(postings: DataFrame, sizes: DataFrame, tenant: str = "site_id", doc: str = "doc_id", group: int = GROUP) -> SparseIndex:
+    """An index of postings (tenant, doc, term, dw) for block-max search. sizes: tenant, n (its documents).
+
+    Documents are ordered by impact: a shelf has those whose heaviest weight lies between two powers of two, dealt to groups of
+    about `group` postings. A term's postings in a group are a block, known by its largest weight. A shelf is numbered
+    within all tenants, so the tables of shelves and parts grow with tenants alone.
+    """
+    heaviest = F.max("dw").over(Window.partitionBy(tenant, doc))
+    shelf = F.least(F.greatest(F.floor(-F.log2(heaviest)), F.lit(0)), F.lit(SHELVES - 1)).cast("int")
+    rows = Scratch(postings.select(tenant, doc, "term", "dw", shelf.alias("shelf")), "postings", "shelf").df
+    parts = written(rows.groupBy(tenant, "shelf").agg(F.ceil(F.count("*") / group).alias("parts")), "parts")
+    index = SparseIndex(rows, rows, parts, written(sizes.select(tenant, "n"), "sizes"), tenant, doc)
+    index.tops = written(index.placed().groupBy(tenant, "term", "shelf", "part").agg(F.max("dw").alias("top"), F.count("*").alias("n")), "tops")
+    return index
+
+
+@dataclass
+class SparseSearch:
+    """A search's rows, and which groups it read for which query: first those with the largest bounds, then what could still
+    change the result."""
+
+    found: DataFrame
+    bounds: DataFrame
+    first: DataFrame
+    rest: DataFrame
+    shelves: list[int]
+
+
+def indexed_search(queries: DataFrame, index: SparseIndex, k: int, digits: int = 9, first: int = FIRST) -> SparseSearch:
+    """The rows of sparse_topk for queries (query_id, tenant, term, qw), reading only groups that can matter.
+
+    A group's bound is the sum of the query's weights times the blocks' largest weights. The groups with the largest bounds
+    are scored first; the k-th score they give is one that others must reach, so a group with a smaller bound is never
+    scored, and a shelf without a group left is not read. A query with fewer than k results so far leaves out nothing.
+    """
+    tenant, doc, tops = index.tenant, index.doc, index.tops
+    key, group = ["query_id", tenant], [tenant, "shelf", "part"]
+    spread = tops.join(queries.select(tenant, "term").distinct(), [tenant, "term"], "left_semi").groupBy(tenant, "term").agg(F.sum("n").alias("df"))
+    weighted = queries.join(spread, [tenant, "term"]).join(index.sizes, tenant).select(*key, "term", (F.col("qw") * idf(F.col("n"), F.col("df"))).alias("w"))
+    weighted = written(weighted, "weighted")
+    bounds = tops.join(weighted, [tenant, "term"]).groupBy("query_id", *group).agg(F.sum(F.col("w") * F.col("top")).alias("bound"))
+    order = F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("bound"), "shelf", "part"))
+    bounds = written(bounds.withColumn("place", order), "bounds")
+    begun = bounds.filter(F.col("place") <= first)
+
+    def shelves_of(groups: DataFrame) -> list[int]:
+        return sorted(r.shelf for r in groups.select("shelf").distinct().collect())  # SHELVES at most
+
+    def scored(groups: DataFrame, shelves: list[int]) -> DataFrame:
+        rows = index.placed().filter(F.col("shelf").isin(shelves)).join(weighted, [tenant, "term"])
+        rows = rows.join(groups.select("query_id", *group), ["query_id", *group], "left_semi")
+        return rows.groupBy(*key, doc).agg(F.sum(F.col("w") * F.col("dw")).alias("score"))
+
+    rank = F.row_number().over(Window.partitionBy(*key).orderBy(F.desc(F.round("score", digits)), doc))
+    one = written(scored(begun, shelves_of(begun)), "scored")
+    reach = one.withColumn("rank", rank).filter(F.col("rank") == k).select(*key, F.col("score").alias("reach"))
+    rest = bounds.filter(F.col("place") > first).join(reach, key, "left").filter(F.col("reach").isNull() | (F.col("bound") + SLACK >= F.col("reach")))
+    rest = written(rest, "rest")
+    left = shelves_of(rest)
+    both = one.unionByName(scored(rest, left)) if left else one
+    return SparseSearch(both.withColumn("rank", rank).filter(F.col("rank") <= k), bounds, begun, rest, left)
+
+
 def bm25_weights(counts: DataFrame, tenant: str, doc: str, most: int = FEATURES) -> DataFrame:
-    """tenant, doc, term, weight of the `most` heaviest terms of each document, BM25 weights that sum to 1."""
-    terms = counts.filter(F.length("term") >= LEAST_LENGTH)
-    size = terms.groupBy(tenant, doc).agg(F.sum("tf").alias("len"))
-    mean = size.groupBy(tenant).agg(F.avg("len").alias("avg_len"), F.count("*").alias("n"))
-    spread = terms.groupBy(tenant, "term").agg(F.count("*").alias("df"))
-    joined = terms.join(size, [tenant, doc]).join(mean, tenant).join(spread, [tenant, "term"])
+    """tenant, doc, term, weight of the `most` heaviest terms of each document, BM25 weights that sum to 1. Weights become decimals
+    of nine digits before they are summed, so that the order of a sum doesn't matter."""
+    text = Window.partitionBy(tenant, doc)
+    sized = counts.filter(F.length("term") >= LEAST_LENGTH).withColumn("len", F.sum("tf").over(text)).withColumn("_one", (F.min("term").over(text) == F.col("term")).cast("long"))
+    sized = written(sized, "sized")
+    mean = sized.groupBy(tenant).agg((F.sum("tf") / F.sum("_one")).alias("avg_len"), F.sum("_one").alias("n"))
+    spread = sized.groupBy(tenant, "term").agg(F.count("*").alias("df"))
+    joined = sized.join(mean, tenant).join(spread, [tenant, "term"])
     w = idf(F.col("n"), F.col("df")) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    rank = F.row_number().over(Window.partitionBy(tenant, doc).orderBy(F.desc(F.round("w", 9)), "term"))
-    kept = joined.select(tenant, doc, "term", w.alias("w")).withColumn("_n", rank).filter(F.col("_n") <= most)
-    return kept.select(tenant, doc, "term", (F.col("w") / F.sum("w").over(Window.partitionBy(tenant, doc))).alias("weight"))
+    rank = F.row_number().over(text.orderBy(F.desc("w"), "term"))
+    kept = joined.select(tenant, doc, "term", F.round(w, 9).cast("decimal(18,9)").alias("w")).withColumn("_n", rank).filter(F.col("_n") <= most)
+    return kept.select(tenant, doc, "term", (F.col("w").cast("double") / F.sum("w").over(text).cast("double")).alias("weight"))
 
 
 def sorted_vector(weights: Column) -> Column:

@@ -25,7 +25,7 @@ def query(sql: str | None = None):
 
 
 def _load() -> None:
-    from siftlake.plans import catalog, dlq, flows, ingest, metrics, rows, scalars, search  # noqa: F401
+    from siftlake.plans import catalog, dlq, flows, ingest, metrics, pieces, rows, scalars, search  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -50,19 +50,23 @@ def weighted(rows, *keys):
     return sparse.l1_weights(sparse.term_counts(rows, list(keys)), list(keys), "tf")
 
 
-def postings_of(spark, sf_dir):
-    """The terms' weights of all documents, written once as an index is: postings (site_id, doc_id, term, dw), and the tenants' sizes."""
+def index_of(spark, sf_dir, group=sparse.GROUP):
+    """The index of all documents' terms, written once and searched many times."""
     postings = weighted(by_tenant(spark, sf_dir, "text"), "site_id", "doc_id").withColumnRenamed("weight", "dw")
-    return written(postings, "postings"), by_tenant(spark, sf_dir).groupBy("site_id").agg(F.count("*").alias("n"))
+    return sparse.sparse_index(postings, by_tenant(spark, sf_dir).groupBy("site_id").agg(F.count("*").alias("n")), group=group)
 
 
-def sparse_rows(spark, sf_dir, k=10):
-    postings, n = postings_of(spark, sf_dir)
+def questions(spark, sf_dir, index):
+    """Every benchmark item of the query set, asked of each tenant that has a term of it."""
     asked = table(spark, sf_dir, "benchmark").filter(F.col("item_id") % EVERY == 0).select(F.col("item_id").alias("query_id"), "text")
-    asked = weighted(asked, "query_id").withColumnRenamed("weight", "qw")
-    # A question goes to all tenants: their terms meet the tenants that have them.
-    there = postings.select("site_id", "term").distinct()
-    return sparse.sparse_topk(asked.join(there, "term"), postings, n, k)
+    asked = written(weighted(asked, "query_id").withColumnRenamed("weight", "qw"), "asked")
+    there = index.tops.join(asked.select("term").distinct(), "term", "left_semi").select("site_id", "term").distinct()
+    return asked.join(there, "term")
+
+
+def sparse_rows(spark, sf_dir, k=10):
+    index = index_of(spark, sf_dir)
+    return sparse.indexed_search(questions(spark, sf_dir, index), index, k).found
 
 
 @query(f"WITH {DENSE_SQL} SELECT query_id, site_id, vec_id, score, rank FROM dense")
@@ -92,11 +96,11 @@ def sparse_idf_topk(spark, sf_dir):
 
 @query(f"""WITH {TERMS_SQL},
 t AS (SELECT * FROM terms WHERE length(term) >= 2), size AS (SELECT site_id, doc_id, sum(tf) AS len FROM t GROUP BY 1, 2), mean AS (SELECT site_id, avg(len) AS a, count(*) AS m FROM size GROUP BY 1), tdf AS (SELECT site_id, term, count(*) AS df FROM t GROUP BY 1, 2),
-w AS (SELECT doc_id, term, ln((m - df + 0.5) / (df + 0.5) + 1) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / a)) AS w FROM t JOIN size USING (site_id, doc_id) JOIN tdf USING (site_id, term) JOIN mean USING (site_id)),
-kept AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(w, 9) DESC, term) AS r FROM w QUALIFY r <= 128)
-SELECT doc_id, count(*) AS terms, round(max(w / total), 6) AS heaviest FROM (SELECT *, sum(w) OVER (PARTITION BY doc_id) AS total FROM kept) GROUP BY doc_id""")
+w AS (SELECT doc_id, term, round(ln((m - df + 0.5) / (df + 0.5) + 1) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / a)), 9)::DECIMAL(18, 9) AS w FROM t JOIN size USING (site_id, doc_id) JOIN tdf USING (site_id, term) JOIN mean USING (site_id)),
+kept AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY w DESC, term) AS r FROM w QUALIFY r <= 128)
+SELECT doc_id, count(*) AS terms, round(max(w::DOUBLE / total::DOUBLE), 6) AS heaviest FROM (SELECT *, sum(w) OVER (PARTITION BY doc_id) AS total FROM kept) GROUP BY doc_id""")
 def sparse_bm25(spark, sf_dir):
-    counts = written(sparse.term_counts(by_tenant(spark, sf_dir, "text"), ["site_id", "doc_id"]), "counts")
+    counts = sparse.term_counts(by_tenant(spark, sf_dir, "text"), ["site_id", "doc_id"])
     kept = sparse.bm25_weights(counts, "site_id", "doc_id")
     return kept.groupBy("doc_id").agg(F.count("*").alias("terms"), F.round(F.max("weight"), 6).alias("heaviest"))
 
@@ -115,12 +119,13 @@ ranked AS (SELECT query_id, doc_id, round(score, 6) AS score, row_number() OVER
 
 
 def hybrid_rows(spark, sf_dir, prefetch=10, limit=20):
-    postings, n = postings_of(spark, sf_dir)
+    index = index_of(spark, sf_dir)
     vectors = by_tenant(spark, sf_dir).join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id")
+    vectors = written(vectors, "vectors")
     asked = vectors.filter(F.col("doc_id") % EVERY == 0)
     by_vector = dense.dense_topk(asked.withColumnRenamed("doc_id", "query_id"), vectors, prefetch, vec_id="doc_id")
-    terms = postings.join(asked.select("site_id", "doc_id"), ["site_id", "doc_id"]).select(F.col("doc_id").alias("query_id"), "site_id", "term", F.col("dw").alias("qw"))
-    return fusion.hybrid(by_vector, sparse.sparse_topk(terms, postings, n, prefetch), "doc_id", prefetch, limit)
+    terms = index.postings.join(asked.select("site_id", "doc_id"), ["site_id", "doc_id"]).select(F.col("doc_id").alias("query_id"), "site_id", "term", F.col("dw").alias("qw"))
+    return fusion.hybrid(by_vector, sparse.indexed_search(terms, index, prefetch).found, "doc_id", prefetch, limit)
 
 
 @query(f"WITH {HYBRID_SQL} SELECT query_id, doc_id, score, rank FROM ranked WHERE rank <= 20")

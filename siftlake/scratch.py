@@ -35,12 +35,13 @@ def _remove(spark: SparkSession, folder: str) -> None:
 
 
 class Scratch:
-    """A written table that cuts the lineage: read it with df, remove it with drop() once nothing reads it."""
+    """A written table that cuts the lineage: read it with df, remove it with drop() once nothing reads it. `by` are columns
+    with a folder for each value."""
 
-    def __init__(self, df: DataFrame, name: str):
+    def __init__(self, df: DataFrame, name: str, *by: str):
         self.spark = df.sparkSession
         self.path = f"{scratch_folder(self.spark)}/{name}-{uuid.uuid4().hex[:12]}"
-        df.write.parquet(self.path)
+        df.write.partitionBy(*by).parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:
