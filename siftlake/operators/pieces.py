@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from siftlake.functions.codecs import term_id
 from siftlake.operators.sparse import STOPWORDS, last_of_equal
+from siftlake.scratch import dealt
 
 #: What a text is cut into before the vocabulary: words, and any other sign by itself.
 RUN = regex.compile(r"[\p{L}\p{M}]+|[^\p{L}\p{M}\x09-\x0D\x20]")
@@ -35,7 +36,7 @@ class DoubleArray:
         self.codes = {c: i + 1 for i, c in enumerate(sorted({c for s in strings for c in s}))}
         width = len(self.codes) + 1
         self.base, self.check, self.value = np.zeros(2, np.int32), np.full(2, -1, np.int32), np.full(2, -1, np.int32)
-        self._free = 1
+        self._used = 1
         level: dict[int, list[tuple[str, int]]] = {0: [(s, i) for i, s in enumerate(strings)]}
         depth = 0
         while level:
@@ -65,15 +66,14 @@ class DoubleArray:
         self.value = np.concatenate([self.value, np.full(more, -1, np.int32)])
 
     def _place(self, codes: np.ndarray, width: int) -> int:
-        """The first place where slots for all codes are free."""
-        at = max(1, self._free - int(codes[0]))
-        while True:
-            self._grow(at + width + 1)
-            if (self.check[at + codes] < 0).all():
-                break
-            at += 1
-        while self._free < len(self.check) and self.check[self._free] >= 0:
-            self._free += 1
+        """The first place where slots for all codes are free: all free slots are tried for the first code at once."""
+        self._grow(self._used + 2 * width + 2)
+        free = np.flatnonzero(self.check[1 : self._used + width + 1] < 0) + 1
+        places = free[free >= codes[0] + 1] - codes[0]
+        for c in codes[1:]:
+            places = places[self.check[places + c] < 0]
+        at = int(places[0])
+        self._used = max(self._used, at + int(codes[-1]) + 1)
         return at
 
     def steps(self, nodes: np.ndarray, codes: np.ndarray) -> np.ndarray:
@@ -177,26 +177,33 @@ def lexical_vectors(words: DataFrame, keys: list[str], stop: list[str] | None =
     return last_of_equal(found.withColumn("term_id", term_id("term")), keys, "term", "term_id")
 
 
-def letter_counts(text: Column) -> Column:
-    """How often a to z stand in a text, as an array of 26: the token vector of the stand-in models."""
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+
+
+def letter_counts(text: Column) -> list[Column]:
+    """How often a to z stand in a text: the token vector of the stand-in models. Plain sums over these stay in generated code."""
     low = F.lower(text)
-    return F.array(*[(F.length(low) - F.length(F.replace(low, F.lit(c)))).cast("double") for c in "abcdefghijklmnopqrstuvwxyz"])
+    return [(F.length(low) - F.length(F.replace(low, F.lit(c)))).cast("double") for c in LETTERS]
+
+
+def dot(x: list[Column], y: list[Column]) -> Column:
+    return sum((a * b for a, b in zip(x[1:], y[1:], strict=True)), x[0] * y[0])
 
 
-def cosine(x: Column, y: Column) -> Column:
-    """Of two arrays, 0 where one has no length."""
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
-    size = F.sqrt(dot(x, x) * dot(y, y))
-    return F.when(size > 0, dot(x, y) / size).otherwise(0.0)
+def cosine(product: Column, x: Column, y: Column) -> Column:
+    """From a product and both squared lengths; 0 where one has no length."""
+    return F.when(x * y > 0, product / F.sqrt(x * y)).otherwise(0.0)
 
 
 @dataclass(frozen=True)
 class Variant:
-    """How a kind of model weighs pieces and adds them up. weights: of pieces (keys, pos, piece, text) a table with weight too."""
+    """How a kind of model weighs pieces and adds them up. weights: of pieces (keys, pos, piece, whole) a table with weight too;
+    whole, a text's letter counts, is there only if asked for."""
 
     mark: str
     root: bool
     weights: Callable[[DataFrame, dict[str, int], int], DataFrame]
+    whole: bool = False
 
 
 def by_score(pieces: DataFrame, scores: dict[str, int], unknown: int) -> DataFrame:
@@ -208,16 +215,20 @@ def by_score(pieces: DataFrame, scores: dict[str, int], unknown: int) -> DataFra
 
 def by_delimiter(pieces: DataFrame, scores: dict[str, int], unknown: int) -> DataFrame:
     """A token's weight is its product with the delimiter's vector, here one with all letters alike."""
-    return pieces.withColumn("weight", cosine(letter_counts(F.col("piece")), F.array(*[F.lit(1.0)] * 26)))
+    own = letter_counts(F.col("piece"))
+    met = pieces.select("*", sum(own[1:], own[0]).alias("_p"), dot(own, own).alias("_x"))
+    return met.withColumn("weight", cosine(F.col("_p"), F.col("_x"), F.lit(float(len(LETTERS))))).drop("_p", "_x")
 
 
 def by_text(pieces: DataFrame, scores: dict[str, int], unknown: int) -> DataFrame:
     """A token's weight is its product with the vector of the whole text."""
-    return pieces.withColumn("weight", cosine(letter_counts(F.col("piece")), letter_counts(F.col("text"))))
+    own, whole = letter_counts(F.col("piece")), [F.col("whole")[i] for i in range(len(LETTERS))]
+    met = pieces.select("*", dot(own, whole).alias("_p"), dot(own, own).alias("_x"), dot(whole, whole).alias("_y"))
+    return met.withColumn("weight", cosine(F.col("_p"), F.col("_x"), F.col("_y"))).drop("_p", "_x", "_y", "whole")
 
 
 #: A model without an entry has no sparse vectors.
-VARIANTS = {"arctic": Variant(MARKS["arctic"], False, by_score), "e5": Variant(MARKS["e5"], False, by_delimiter), "jina": Variant(MARKS["jina"], True, by_text)}
+VARIANTS = {"arctic": Variant(MARKS["arctic"], False, by_score), "e5": Variant(MARKS["e5"], False, by_delimiter), "jina": Variant(MARKS["jina"], True, by_text, True)}
 
 
 def sparse_vectors(rows: DataFrame, keys: list[str], model: str, vocabulary: DataFrame, unknown: int, text: str = "text") -> DataFrame:
@@ -233,7 +244,10 @@ def sparse_vectors(rows: DataFrame, keys: list[str], model: str, vocabulary: Dat
     held = sorted((r.piece, r.score) for r in vocabulary.collect())
     scores = dict(held)
     found = piece_lists(Unigram([p for p, _ in held], [s for _, s in held], unknown), variant.mark)
-    cut = rows.select(*keys, F.col(text).alias("text"), found(F.col(text)).alias("found")).select(*keys, "text", F.posexplode("found").alias("pos", "piece"))
+    # Dealt by their keys before they are cut: windows and sums of a text then need no shuffle of its pieces.
+    whole = [F.array(*letter_counts(F.col(text))).alias("whole")] if variant.whole else []
+    texts = dealt(rows.select(*keys, text), *keys).select(*keys, *whole, found(F.col(text)).alias("found"))
+    cut = texts.select(*keys, *(["whole"] if whole else []), F.posexplode("found").alias("pos", "piece"))
     return lexical_vectors(words_of_pieces(variant.weights(cut, scores, unknown), keys, variant.mark, variant.root), keys)
 
 

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftlake.scratch import Scratch, written
+from siftlake.scratch import Scratch, dealt, written
 
 #: Words that carry no meaning of their own.
 STOPWORDS = "a an and are as at be by for from has he in is it its of on or that the this to was with you".split()
@@ -15,7 +15,7 @@ STOPWORDS = "a an and are as at be by for from has he in is it its of on or that
 K1, B, FEATURES, LEAST_LENGTH = 1.2, 0.75, 128, 2
 #: Postings of a group of documents, about; groups that a search scores before it knows what can still be among the best;
 #: shelves, each for documents whose heaviest weight is half as heavy as the shelf's before.
-GROUP, FIRST, SHELVES = 8192, 2, 40
+GROUP, FIRST, SHELVES = 1 << 15, 2, 40
 #: Sums in another order differ by less; a group within this of the k-th score is read.
 SLACK = 1e-8
 
@@ -26,7 +26,7 @@ def term_counts(docs: DataFrame, keys: list[str], text: str = "text") -> DataFra
     Texts are dealt by their keys before they are cut: counts and sums of a text then need no shuffle of its terms."""
     found = F.split(F.lower(F.col(text)), r"[^\p{L}\p{M}]+")
     # Filtered after the explode: that stays in generated code, a lambda over the array would not.
-    rows = docs.select(*keys, text).repartition(*keys).select(*keys, F.explode(found).alias("term")).filter((F.col("term") != "") & ~F.col("term").isin(STOPWORDS))
+    rows = dealt(docs.select(*keys, text), *keys).select(*keys, F.explode(found).alias("term")).filter((F.col("term") != "") & ~F.col("term").isin(STOPWORDS))
     return rows.groupBy(*keys, "term").agg(F.count("*").alias("tf"))
 
 
@@ -36,6 +36,11 @@ def l1_weights(weighted: DataFrame, keys: list[str], weight: str = "w") -> DataF
     return sums.withColumn("weight", F.col("s") / F.sum("s").over(Window.partitionBy(*keys))).drop("s")
 
 
+def count_weights(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """l1_weights of term_counts, each of whose rows has a term of its own."""
+    return counts.select(*keys, "term", (F.col("tf") / F.sum("tf").over(Window.partitionBy(*keys))).alias("weight"))
+
+
 def last_of_equal(terms: DataFrame, keys: list[str], order: str, term_id: str) -> DataFrame:
     """Of terms of a row that share an id, the last in order stays: weights are not summed."""
     latest = F.row_number().over(Window.partitionBy(*keys, term_id).orderBy(F.desc(order)))
@@ -107,18 +112,21 @@ class SparseSearch:
 
 
 def indexed_search(queries: DataFrame, index: SparseIndex, k: int, digits: int = 9, first: int = FIRST) -> SparseSearch:
-    """The rows of sparse_topk for queries (query_id, tenant, term, qw), reading only groups that can matter.
+    """The rows of sparse_topk for queries (query_id, tenant, term, qw), reading only groups that can matter. Queries without a
+    tenant are asked of each tenant that has a term of theirs.
 
     A group's bound is the sum of the query's weights times the blocks' largest weights. The groups with the largest bounds
     are scored first; the k-th score they give is one that others must reach, so a group with a smaller bound is never
     scored, and a shelf without a group left is not read. A query with fewer than k results so far leaves out nothing.
     """
-    tenant, doc, tops = index.tenant, index.doc, index.tops
+    tenant, doc = index.tenant, index.doc
     key, group = ["query_id", tenant], [tenant, "shelf", "part"]
-    spread = tops.join(queries.select(tenant, "term").distinct(), [tenant, "term"], "left_semi").groupBy(tenant, "term").agg(F.sum("n").alias("df"))
-    weighted = queries.join(spread, [tenant, "term"]).join(index.sizes, tenant).select(*key, "term", (F.col("qw") * idf(F.col("n"), F.col("df"))).alias("w"))
-    weighted = written(weighted, "weighted")
-    bounds = tops.join(weighted, [tenant, "term"]).groupBy("query_id", *group).agg(F.sum(F.col("w") * F.col("top")).alias("bound"))
+    hits = index.tops.join(queries, [tenant, "term"] if tenant in queries.columns else ["term"])
+    df = F.sum("n").over(Window.partitionBy(*key, "term"))
+    hits = hits.withColumn("df", df).join(index.sizes.withColumnRenamed("n", "_n"), tenant)
+    hits = written(hits.select("query_id", *group, "term", "top", (F.col("qw") * idf(F.col("_n"), F.col("df"))).alias("w")), "hits")
+    weighted = hits.select(*key, "term", "w").distinct()
+    bounds = hits.groupBy("query_id", *group).agg(F.sum(F.col("w") * F.col("top")).alias("bound"))
     order = F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("bound"), "shelf", "part"))
     bounds = written(bounds.withColumn("place", order), "bounds")
     begun = bounds.filter(F.col("place") <= first)

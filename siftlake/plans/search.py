@@ -47,7 +47,7 @@ def by_tenant(spark, sf_dir, *columns):
 
 
 def weighted(rows, *keys):
-    return sparse.l1_weights(sparse.term_counts(rows, list(keys)), list(keys), "tf")
+    return sparse.count_weights(sparse.term_counts(rows, list(keys)), list(keys))
 
 
 def index_of(spark, sf_dir, group=sparse.GROUP):
@@ -56,17 +56,11 @@ def index_of(spark, sf_dir, group=sparse.GROUP):
     return sparse.sparse_index(postings, by_tenant(spark, sf_dir).groupBy("site_id").agg(F.count("*").alias("n")), group=group)
 
 
-def questions(spark, sf_dir, index):
-    """Every benchmark item of the query set, asked of each tenant that has a term of it."""
-    asked = table(spark, sf_dir, "benchmark").filter(F.col("item_id") % EVERY == 0).select(F.col("item_id").alias("query_id"), "text")
-    asked = written(weighted(asked, "query_id").withColumnRenamed("weight", "qw"), "asked")
-    there = index.tops.join(asked.select("term").distinct(), "term", "left_semi").select("site_id", "term").distinct()
-    return asked.join(there, "term")
-
-
 def sparse_rows(spark, sf_dir, k=10):
+    """Every benchmark item of the query set, asked of each tenant."""
     index = index_of(spark, sf_dir)
-    return sparse.indexed_search(questions(spark, sf_dir, index), index, k).found
+    asked = table(spark, sf_dir, "benchmark").filter(F.col("item_id") % EVERY == 0).select(F.col("item_id").alias("query_id"), "text")
+    return sparse.indexed_search(weighted(asked, "query_id").withColumnRenamed("weight", "qw"), index, k).found
 
 
 @query(f"WITH {DENSE_SQL} SELECT query_id, site_id, vec_id, score, rank FROM dense")

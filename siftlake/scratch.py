@@ -48,5 +48,11 @@ class Scratch:
         _remove(self.spark, self.path)
 
 
+def dealt(df: DataFrame, *by: str) -> DataFrame:
+    """df dealt by columns to as many tasks as shuffles have. A given number keeps adaptive execution from joining partitions
+    whose rows are few but become many behind the shuffle."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     return Scratch(df, name).df
