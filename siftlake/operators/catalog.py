@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -89,29 +88,6 @@ def best_fit(requests: DataFrame, nodes: DataFrame) -> DataFrame:
     return out.withColumn("status", F.when(F.col("node_id").isNull(), "rejected").otherwise("assigned"))
 
 
-def assign_in_order(requests: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Requests of a type one after the other (by request_id), each taking space from the node it gets.
-
-    The order decides, so a type is one task; what it holds are the type's requests as numbers and its nodes.
-    """
-
-    def fold(wanted: pd.DataFrame, have: pd.DataFrame) -> pd.DataFrame:
-        have = have[have.status == "active"]
-        free = sorted((int(m) - max(int(u), int(a)), int(n)) for m, u, a, n in zip(have.max_bytes, have.used_bytes, have.assigned_bytes, have.node_id, strict=True))
-        used = {int(n): (int(u), int(a), int(m)) for m, u, a, n in zip(have.max_bytes, have.used_bytes, have.assigned_bytes, have.node_id, strict=True)}
-        out = []
-        for r, t, need in wanted.sort_values("request_id")[["request_id", "node_type", "bytes"]].itertuples(index=False):
-            node = next((n for f, n in free if f >= need), None) if LEAST_BYTES <= need <= MOST_BYTES else None
-            if node is not None:
-                u, a, m = used[node]
-                used[node] = (u, a + int(need), m)
-                free = sorted((m - max(u, a), n) for n, (u, a, m) in used.items())
-            out.append((r, t, need, node, "rejected" if node is None else "assigned"))
-        return pd.DataFrame(out, columns=["request_id", "node_type", "bytes", "node_id", "status"]).astype({"node_id": "Int64"})
-
-    return requests.groupBy("node_type").cogroup(nodes.groupBy("node_type")).applyInPandas(fold, "request_id long, node_type string, bytes long, node_id long, status string")
-
-
 def with_parents(rows: DataFrame, parents: DataFrame, key: str, on_delete: str) -> DataFrame:
     """Rows after parents went: `cascade` drops those without a parent, `set null` empties their key."""
     if on_delete == "cascade":

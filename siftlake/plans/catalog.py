@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siftlake.functions import values
-from siftlake.operators import catalog
+from siftlake.operators import capacity, catalog
 from siftlake.plans.inputs import NODES_SQL, REQUESTS_SQL, SITES_SQL, nodes, requests, sites, table
 from siftlake.plans.registry import query
 
@@ -87,10 +87,38 @@ def best_fit_node(spark, sf_dir):
     return catalog.best_fit(requests(spark, sf_dir), nodes(spark, sf_dir)).withColumn("node_id", F.coalesce("node_id", F.lit(-1)))
 
 
-@query()
+def assigned_sql(requests: str) -> str:
+    """assigned (request_id, node_type, bytes, node_id): a list of a type's nodes, sorted by free space, goes from request to request."""
+    return f"""numbered AS (SELECT request_id, node_type, bytes, row_number() OVER (PARTITION BY node_type ORDER BY request_id) AS i FROM {requests}),
+lists AS (SELECT node_type, list_sort(list({{'f': max_bytes - greatest(used_bytes, assigned_bytes), 'id': node_id, 'm': max_bytes, 'u': used_bytes, 'a': assigned_bytes}})) AS free FROM nodes WHERE status = 'active' GROUP BY 1),
+turn AS (
+  SELECT node_type, 0::BIGINT AS i, NULL::BIGINT AS request_id, NULL::BIGINT AS bytes, NULL::BIGINT AS node_id, free FROM lists
+  UNION ALL
+  SELECT node_type, i, request_id, bytes, node_id, CASE WHEN node_id IS NULL THEN free ELSE list_sort(list_transform(free, lambda x: CASE WHEN x.id = node_id THEN {{'f': x.m - greatest(x.u, x.a + bytes), 'id': x.id, 'm': x.m, 'u': x.u, 'a': x.a + bytes}} ELSE x END)) END
+  FROM (SELECT t.node_type, n.i, n.request_id, n.bytes, t.free, CASE WHEN n.bytes BETWEEN 1 AND 1000000000 THEN list_filter(t.free, lambda x: x.f >= n.bytes)[1].id END AS node_id FROM turn t JOIN numbered n ON n.node_type = t.node_type AND n.i = t.i + 1)),
+assigned AS (SELECT request_id, node_type, bytes, node_id FROM turn WHERE i > 0)"""
+
+
+@query(f"""WITH RECURSIVE {NODES_SQL}, {REQUESTS_SQL}, {assigned_sql("requests")}
+SELECT request_id, node_type, bytes, coalesce(node_id, -1) AS node_id, CASE WHEN node_id IS NULL THEN 'rejected' ELSE 'assigned' END AS status FROM assigned""")
 def assign_in_order(spark, sf_dir):
-    """One request after the other; SQL can't express that a request's choice depends on the earlier ones'."""
-    return catalog.assign_in_order(requests(spark, sf_dir), nodes(spark, sf_dir))
+    """One request after the other, each choice after the earlier ones."""
+    return capacity.assign_in_order(requests(spark, sf_dir), nodes(spark, sf_dir)).withColumn("node_id", F.coalesce("node_id", F.lit(-1)))
+
+
+#: A fifth of the sites have a node already; verified ones activate.
+HAS_NODE = "case when site_id % 5 = 0 then site_id % 10 + 1 end"
+
+
+@query(f"""WITH RECURSIVE {NODES_SQL}, {SITES_SQL}, s AS (SELECT *, {HAS_NODE} AS indexing_node, (estimated_pages * average_page_size)::BIGINT AS need FROM sites),
+asks AS (SELECT site_id AS request_id, node_type, need AS bytes FROM s WHERE validation_status = 'verified' AND indexing_node IS NULL), {assigned_sql("asks")}
+SELECT s.site_id, coalesce(s.indexing_node, a.node_id, -1) AS indexing_node, CASE WHEN validation_status <> 'verified' THEN 'none' WHEN s.indexing_node IS NOT NULL THEN 'kept' WHEN a.node_id IS NULL THEN 'rejected' ELSE 'assigned' END AS request
+FROM s LEFT JOIN assigned a ON a.request_id = s.site_id""")
+def activation_assign(spark, sf_dir):
+    """Activated sites ask for space, but for those that have a node."""
+    rows = sites(spark, sf_dir).withColumn("indexing_node", F.expr(HAS_NODE).cast("long"))
+    out = capacity.activated(rows, nodes(spark, sf_dir), F.col("validation_status") == "verified", F.col("estimated_pages") * F.col("average_page_size"))
+    return out.select("site_id", F.coalesce("indexing_node", F.lit(-1)).alias("indexing_node"), F.coalesce("request", F.lit("none")).alias("request"))
 
 
 @query(f"WITH {REQUESTS_SQL} SELECT request_id, bytes, bytes BETWEEN 1 AND 2000000 AS in_range FROM requests")

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siftlake.functions import codecs, text, values, vectors
-from siftlake.operators import catalog, dlq, embedding, fusion, lists, search, sparse, store
+from siftlake.operators import capacity, catalog, dlq, embedding, fusion, lists, search, sparse, store
 from siftlake.sources import jsonl, keyspace, messages
 from siftlake.streaming import failures, ingest
 
@@ -147,7 +147,7 @@ def test_assignment_takes_space(spark):
     nodes = spark.createDataFrame([("redis", 1, "active", 100, 0, 0), ("redis", 2, "active", 150, 0, 0), ("redis", 3, "inactive", 50, 0, 0)], "node_type string, node_id long, status string, max_bytes long, used_bytes long, assigned_bytes long")
     asked = spark.createDataFrame([(1, "redis", 90), (2, "redis", 90), (3, "redis", 90), (4, "redis", 0)], "request_id long, node_type string, bytes long")
     assert [(r.request_id, r.node_id) for r in catalog.best_fit(asked, nodes).orderBy("request_id").collect()] == [(1, 1), (2, 1), (3, 1), (4, None)]
-    assert [(r.request_id, r.node_id) for r in catalog.assign_in_order(asked, nodes).orderBy("request_id").collect()] == [(1, 1), (2, 2), (3, None), (4, None)]
+    assert [(r.request_id, r.node_id) for r in capacity.assign_in_order(asked, nodes).orderBy("request_id").collect()] == [(1, 1), (2, 2), (3, None), (4, None)]
 
 
 def test_empty_dead_letters(spark):
