@@ -89,7 +89,7 @@ def best_fit_node(spark, sf_dir):
 
 def assigned_sql(requests: str) -> str:
     """assigned (request_id, node_type, bytes, node_id): a list of a type's nodes, sorted by free space, goes from request to request."""
-    return f"""numbered AS (SELECT request_id, node_type, bytes, row_number() OVER (PARTITION BY node_type ORDER BY request_id) AS i FROM {requests}),
+    return f"""numbered AS MATERIALIZED (SELECT request_id, node_type, bytes, row_number() OVER (PARTITION BY node_type ORDER BY request_id) AS i FROM {requests}),
 lists AS (SELECT node_type, list_sort(list({{'f': max_bytes - greatest(used_bytes, assigned_bytes), 'id': node_id, 'm': max_bytes, 'u': used_bytes, 'a': assigned_bytes}})) AS free FROM nodes WHERE status = 'active' GROUP BY 1),
 turn AS (
   SELECT node_type, 0::BIGINT AS i, NULL::BIGINT AS request_id, NULL::BIGINT AS bytes, NULL::BIGINT AS node_id, free FROM lists
