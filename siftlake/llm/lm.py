@@ -25,8 +25,8 @@ HEAD = 100_000
 DISCOUNT = 0.5
 #: Noise classes drawn for each batch, places in a batch, step size, and the step size of the pass over everything.
 NOISE, BATCH, STEP, LATER_STEP = 64, 8192, 0.1, 0.03
-#: Documents, about, that the starting point is fitted to, and how often. The pass after it covers all.
-FIRST_DOCUMENTS, EPOCHS = 2000, 3
+#: Words, about, that the starting point is fitted to, and how often. The pass after it covers all.
+FIRST_WORDS, EPOCHS = 1_000_000, 3
 #: Words of a shard in that pass, about; a shard is one task and one model.
 SHARD = 3_000_000
 #: Words in a task's counter before it is sent, and models that are averaged together.
@@ -253,7 +253,7 @@ def classes_of(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def train(rows: DataFrame, vocabulary: Vocabulary) -> Bilinear:
-    """Fits a starting point to a bounded sample, then makes one pass over all rows: they are dealt to shards by a hash, each
+    """Fits a starting point to a sample bounded by its words, a part of it after the other, then makes one pass over all rows: they are dealt to shards by a hash, each
     shard learns from its own texts from there on, and the shards' models are averaged, weighted by their places, in a tree of
     groups of TOGETHER. Sample, shards, order and seeds follow from the rows alone, so that the files they lie in don't matter."""
     model, context = Bilinear(vocabulary.noise), rows.sparkSession.sparkContext
@@ -267,17 +267,19 @@ def train(rows: DataFrame, vocabulary: Vocabulary) -> Bilinear:
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, rng = Bilinear(noise.value), np.random.default_rng(3)
-        held = [x for b in batches for x in classes_of(b)]
-        if held:
-            kinds, sizes = (np.concatenate(x) for x in zip(*held, strict=True))
-            for _ in range(EPOCHS):
-                own.train(kinds, sizes, rng, STEP)
+        n = 0
+        for b in batches:
+            for kinds, sizes in classes_of(b):
+                for _ in range(EPOCHS):
+                    own.train(kinds, sizes, rng, STEP)
+                n += len(kinds)
+        if n:
             squares = np.concatenate([own.squares[k].ravel() for k in own.parts])
             yield result(0, 0, own)
             yield pa.RecordBatch.from_arrays([pa.array([1], pa.int64()), pa.array([0.0]), pa.array([squares.astype("<f4").tobytes()], pa.binary())], names=["at", "n", "parts"])
 
     noise = context.broadcast(vocabulary.noise)
-    some = coded(about(rows, FIRST_DOCUMENTS, vocabulary.n_docs, "doc_id"), vocabulary)
+    some = coded(about(rows, FIRST_WORDS, vocabulary.total, "doc_id"), vocabulary)
     start = {r.at: np.frombuffer(r.parts, "<f4") for r in some.repartition(1).sortWithinPartitions("h").mapInArrow(first, kinds_of).collect()}
     shards = max(1, -(-vocabulary.total // SHARD))
 
