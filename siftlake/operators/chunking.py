@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -60,21 +60,26 @@ def pack(spans: list[tuple[int, int]], size: int, overlap: int, lossless: bool =
     return out
 
 
-def chunks(text: str, size: int, overlap: int, lossless: bool = False) -> list[tuple[int, str]]:
+#: A function of a text to the spans of its sentences.
+Splitter = Callable[[str], list[tuple[int, int]]]
+
+
+def chunks(text: str, size: int, overlap: int, lossless: bool = False, split: Splitter = sentence_spans) -> list[tuple[int, str]]:
     """(offset, chunk) of a text; a text that fits, or any where size is below 1, is one chunk at 0."""
     if not text:
         return []
     if size < 1 or len(text) <= size:
         return [(0, text)]
-    spans = sentence_spans(text)
+    spans = split(text)
     if not spans:
         return [(0, text)]
     return [(spans[a][0], text[spans[a][0] : spans[b - 1][1]]) for a, b in pack(spans, size, overlap, lossless)]
 
 
-def chunk_documents(docs: DataFrame, size: int = 512, overlap: int = 128, lossless: bool = False, text_col: str = "text") -> DataFrame:
+def chunk_documents(docs: DataFrame, size: int = 512, overlap: int = 128, lossless: bool = False, text_col: str = "text", split: Splitter = sentence_spans) -> DataFrame:
     """docs with a row per chunk: all columns but the text, and offset (int) and text. size and overlap may be columns'
-    names, for limits by tenant. Null and empty texts have no chunk."""
+    names, for limits by tenant. Null and empty texts have no chunk. split finds the sentences: end marks alone, or a model
+    of boundaries.learned."""
     keep = [c for c in docs.columns if c != text_col]
     limits = [F.col(x).cast("int") if isinstance(x, str) else F.lit(x) for x in (size, overlap)]
     rows = docs.select(*keep, F.col(text_col).alias("_text"), limits[0].alias("_size"), limits[1].alias("_overlap"))
@@ -84,7 +89,7 @@ def chunk_documents(docs: DataFrame, size: int = 512, overlap: int = 128, lossle
         for b in batches:
             at, offsets, texts = [], [], []
             for i, (t, s, o) in enumerate(zip(*(b.column(c).to_pylist() for c in ("_text", "_size", "_overlap")), strict=True)):
-                for offset, chunk in chunks(t or "", s, o, lossless):
+                for offset, chunk in chunks(t or "", s, o, lossless, split):
                     at.append(i)
                     offsets.append(offset)
                     texts.append(chunk)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siftlake.functions import codecs, text
-from siftlake.operators import chunking, embedding, lists, store
+from siftlake.operators import boundaries, chunking, embedding, lists, store
 from siftlake.plans.inputs import table
 from siftlake.plans.registry import query
 from siftlake.plans.scalars import murmur3_sql
@@ -211,3 +211,17 @@ def hashing_embedding(spark, sf_dir):
     """Whole texts' vectors by the stand-in model: their elements that aren't 0."""
     rows = embedding.embed(table(spark, sf_dir, "documents", "doc_id", "text"), "mpnet", "store").select("doc_id", F.posexplode("dense").alias("position", "x"))
     return rows.filter("x <> 0").select("doc_id", "position", (F.round(F.col("x").cast("double"), 5) + 0.0).alias("value"))
+
+
+#: The counts behind sentence boundaries, and the ratio by which a word's period is its own.
+RUNS_SQL = rf"""every AS (SELECT unnest(regexp_extract_all(text, '{boundaries.RUN}')) AS run FROM documents),
+bare AS (SELECT regexp_replace(run, '{boundaries.AROUND}', '', 'g') AS bare FROM every),
+types AS (SELECT regexp_replace(lower(bare), '\.$', '') AS type, count(*) AS n, sum((bare LIKE '%.')::INT)::BIGINT AS ended, sum((NOT regexp_matches(bare, '^\p{{Lu}}'))::INT)::BIGINT AS lower FROM bare GROUP BY 1),
+lettered AS (SELECT * FROM types WHERE regexp_matches(type, '\p{{L}}')), total AS (SELECT sum(ended) / sum(n)::DOUBLE AS share FROM lettered)"""
+
+
+@query(rf"""WITH {RUNS_SQL} SELECT type, n, ended, lower, round(2 * (ended * ln(0.99::DOUBLE) + (n - ended) * ln(1 - 0.99::DOUBLE) - ended * ln(share) - (n - ended) * ln(1 - share)), 3) AS ratio FROM lettered, total""")
+def period_ratios(spark, sf_dir):
+    """How much more likely each word's periods are its own than ends of sentences."""
+    found = boundaries.scored(boundaries.type_counts(table(spark, sf_dir, "documents", "text")))
+    return found.select("type", "n", "ended", "lower", F.round("ratio", 3).alias("ratio"))
