@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from siftlake.operators import metrics
 from siftlake.plans.inputs import table
 from siftlake.plans.registry import query
+from siftlake.sources import exposition as scraped
+from siftlake.sources import logs
 
 
 def bounds_sql(buckets) -> str:
@@ -70,3 +72,28 @@ def widest(spark, sf_dir):
 @query("SELECT label, max(len(embedding)) AS dimension FROM embeddings GROUP BY 1")
 def vector_dimension(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").groupBy("label").agg(F.max(F.size("embedding")).cast("long").alias("dimension"))
+
+
+LIMIT = 20_000
+
+
+@query(f"""WITH lines AS (SELECT event_id, ts, (user_id % 4)::VARCHAR AS pod, strftime(ts, '%Y-%m-%d') AS date, strlen(event_type || ' ' || props) + 1 AS size FROM events),
+placed AS (SELECT *, (sum(size) OVER (PARTITION BY pod, date ORDER BY ts, event_id) - size) // ({LIMIT} - (SELECT max(size) FROM lines) + 1) AS file FROM lines)
+SELECT pod, date, file::BIGINT AS file, count(*) AS lines, sum(size)::BIGINT AS bytes FROM placed GROUP BY ALL""")
+def log_rotation(spark, sf_dir):
+    """Events as log lines of four pods, a day's lines in files of at most LIMIT bytes."""
+    lines = table(spark, sf_dir, "events").select("event_id", "ts", (F.col("user_id") % 4).cast("string").alias("pod"), F.date_format("ts", "yyyy-MM-dd").alias("date"), F.concat_ws(" ", "event_type", F.coalesce("props", F.lit(""))).alias("line"))
+    placed = logs.rotated(lines, ["pod", "date"], ["ts", "event_id"], LIMIT)
+    return placed.groupBy("pod", "date", "file").agg(F.count("*").alias("lines"), F.sum("size").alias("bytes"))
+
+
+@query("""WITH n AS (SELECT user_id, event_type, count(*) AS n, max(event_id) AS last FROM events GROUP BY 1, 2)
+SELECT user_id, 'events_' || event_type AS metric, CASE WHEN event_type LIKE '%e%' THEN 'counter' ELSE 'untyped' END AS type, 'a"b' || chr(92) || event_type AS path, n::DOUBLE AS value, last AS at_ms FROM n WHERE event_type <> 'click'""")
+def exposition(spark, sf_dir):
+    """Each user's counts as a service exposes them, read back and relabelled."""
+    counts = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"), F.max("event_id").alias("last"))
+    head = F.when(F.col("event_type").contains("e"), F.concat(F.lit("# TYPE events_"), "event_type", F.lit(" counter\n"))).otherwise(F.lit("# HELP x nothing\n\n"))
+    line = F.concat(head, F.lit("events_"), "event_type", F.lit('{meta_path="a\\"b\\\\'), "event_type", F.lit('",tmp="}"} '), "n", F.lit(" "), "last", F.lit("\nnot a sample{\n"))
+    scrapes = counts.withColumn("line", line).groupBy("user_id").agg(F.array_join(F.sort_array(F.collect_list("line")), "").alias("text"))
+    found = metrics.relabelled(scraped.samples(scrapes, ["user_id"]), "^events_(?!click)", "^tmp", ("^meta_", ""))
+    return found.select("user_id", "metric", "type", F.col("labels")["path"].alias("path"), "value", "at_ms")
