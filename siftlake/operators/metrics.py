@@ -63,3 +63,43 @@ def relabelled(metrics: DataFrame, keep: str, drop_labels: str, rename: tuple[st
     """Metrics whose name matches, without labels that match, others renamed by a pattern."""
     labels = F.map_filter("labels", lambda k, v: ~k.rlike(drop_labels))
     return metrics.filter(F.col("metric").rlike(keep)).withColumn("labels", F.transform_keys(labels, lambda k, v: F.regexp_replace(k, *rename)))
+
+
+def rates_at(samples: DataFrame, key: list[str], value: str, ts: str, tie: str, step: int, span: int) -> DataFrame:
+    """key, moment (microseconds), n, rate, irate: of a counter's samples, at each multiple of `step` seconds that has two or more in
+    the `span` seconds up to it.
+
+    A fall is a reset: the counter began anew at 0. The increase between the first and the last sample is stretched to the
+    span's edges where samples come close to them, else by half the mean distance of samples, and not beyond the time at
+    which the counter would have been 0. irate is the slope between the last two samples. Each sample goes to span / step
+    steps at most; null times and values are left out, samples at one time are ordered by `tie`. Increases are decimals.
+    """
+    micros, width = 1_000_000, span * 1_000_000
+    rows = samples.select(*key, F.unix_micros(F.col(ts).cast("timestamp")).alias("_t"), F.col(value).cast("decimal(18,6)").alias("_v"), F.col(tie).alias("_tie")).dropna(subset=["_t", "_v"])
+    order = Window.partitionBy(*key).orderBy("_t", "_tie")
+    rows = rows.withColumns({"_before": F.lag("_t").over(order), "_was": F.lag("_v").over(order)})
+    rows = rows.withColumn("_up", F.when(F.col("_v") >= F.col("_was"), F.col("_v") - F.col("_was")).otherwise(F.col("_v")))
+    first = F.ceil(F.col("_t") / (step * micros)) * step * micros
+    last = F.floor((F.col("_t") + width - 1) / (step * micros)) * step * micros
+    rows = rows.filter(first <= last).withColumn("moment", F.explode(F.sequence(first, last, F.lit(step * micros))))
+    both = F.col("_before") > F.col("moment") - width
+    slope = both & (F.col("_t") > F.col("_before"))
+    at = rows.groupBy(*key, "moment").agg(
+        F.count("*").alias("n"), F.min("_t").alias("_a"), F.max("_t").alias("_b"), F.min_by("_v", F.struct("_t", "_tie")).alias("_first"), F.sum(F.when(both, F.col("_up"))).alias("_up"),
+        F.max_by(F.when(slope, F.col("_up").cast("double") * micros / (F.col("_t") - F.col("_before"))), F.when(slope, F.struct("_t", "_tie"))).alias("irate"),
+    )
+    at = at.filter("n > 1 and _b > _a")
+    long, up = (F.col("_b") - F.col("_a")).cast("double"), F.col("_up").cast("double")
+    mean = long / (F.col("n") - 1)
+    head, tail = (F.col("_a") - F.col("moment") + width).cast("double"), (F.col("moment") - F.col("_b")).cast("double")
+    zero = F.when(up > 0, long * F.col("_first").cast("double") / up)
+    head = F.least(head, F.coalesce(zero, head))
+    near = lambda x: F.when(x < mean * 1.1, x).otherwise(mean / 2)
+    return at.select(*key, "moment", "n", (up * (long + near(head) + near(tail)) / long / span).alias("rate"), "irate")
+
+
+def by_label(rates: DataFrame, labels: list[str], value: str, how: str = "sum", digits: int = 9) -> DataFrame:
+    """labels, moment, value: sums or means of rates over all series with equal labels, as decimals."""
+    exact = F.col(value).cast(f"decimal(28,{digits})")
+    total = F.sum(exact).cast("double")
+    return rates.filter(F.col(value).isNotNull()).groupBy(*labels, "moment").agg((total if how == "sum" else total / F.count("*")).alias(value))

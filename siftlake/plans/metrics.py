@@ -97,3 +97,29 @@ def exposition(spark, sf_dir):
     scrapes = counts.withColumn("line", line).groupBy("user_id").agg(F.array_join(F.sort_array(F.collect_list("line")), "").alias("text"))
     found = metrics.relabelled(scraped.samples(scrapes, ["user_id"]), "^events_(?!click)", "^tmp", ("^meta_", ""))
     return found.select("user_id", "metric", "type", F.col("labels")["path"].alias("path"), "value", "at_ms")
+
+
+STEP, SPAN = 21_600, 86_400
+RATES_SQL = f"""s AS (SELECT user_id, event_type, event_id, epoch_us(ts) AS t, value::DECIMAL(18, 6) AS v, lag(epoch_us(ts)) OVER w AS b, lag(value::DECIMAL(18, 6)) OVER w AS was FROM events WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts, event_id)),
+u AS (SELECT *, CASE WHEN v >= was THEN v - was ELSE v END AS up FROM s),
+e AS (SELECT *, unnest(range(((t + {STEP}000000 - 1) // {STEP}000000 * {STEP}000000)::BIGINT, (t + {SPAN}000000)::BIGINT, {STEP}000000)) AS moment FROM u),
+g AS (SELECT user_id, event_type, moment, count(*) AS n, min(t) AS a, max(t) AS z, arg_min(v, (t, event_id))::DOUBLE AS v0, coalesce(sum(CASE WHEN b > moment - {SPAN}000000 THEN up END), 0)::DOUBLE AS up,
+  arg_max(CASE WHEN b > moment - {SPAN}000000 AND t > b THEN up::DOUBLE * 1000000 / (t - b) END, (t, event_id)) AS irate FROM e GROUP BY ALL HAVING n > 1 AND z > a),
+x AS (SELECT *, (z - a)::DOUBLE AS l, (z - a)::DOUBLE / (n - 1) AS m, (moment - z)::DOUBLE AS tail, least((a - moment + {SPAN}000000)::DOUBLE, CASE WHEN up > 0 THEN (z - a)::DOUBLE * v0 / up ELSE (a - moment + {SPAN}000000)::DOUBLE END) AS head FROM g),
+rates AS (SELECT user_id, event_type, moment, n, irate, up * (l + CASE WHEN head < m * 1.1::DOUBLE THEN head ELSE m / 2 END + CASE WHEN tail < m * 1.1::DOUBLE THEN tail ELSE m / 2 END) / l / {SPAN} AS rate FROM x)"""
+
+
+def event_rates(spark, sf_dir):
+    return metrics.rates_at(table(spark, sf_dir, "events"), ["user_id", "event_type"], "value", "ts", "event_id", STEP, SPAN)
+
+
+@query(f"WITH {RATES_SQL} SELECT event_type, moment, round(sum(rate::DECIMAL(28, 9))::DOUBLE, 6) AS rate FROM rates GROUP BY ALL")
+def dashboard_rate(spark, sf_dir):
+    """sum by (event_type) (rate(value[1d])), every six hours."""
+    return metrics.by_label(event_rates(spark, sf_dir), ["event_type"], "rate").withColumn("rate", F.round("rate", 6))
+
+
+@query(f"WITH {RATES_SQL} SELECT user_id, moment, round(sum(irate::DECIMAL(28, 9))::DOUBLE / count(*), 6) AS irate FROM rates WHERE irate IS NOT NULL GROUP BY ALL")
+def dashboard_irate(spark, sf_dir):
+    """avg by (user_id) (irate(value[1d])), every six hours."""
+    return metrics.by_label(event_rates(spark, sf_dir), ["user_id"], "irate", "avg").withColumn("irate", F.round("irate", 6))

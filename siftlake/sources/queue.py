@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,6 +37,13 @@ def publish(messages: DataFrame, path: str, stream: bool = False, checkpoint: st
     return out.write.mode("append").text(path)
 
 
+def subscribe(spark: SparkSession, path: str, most_files: int | None = None) -> DataFrame:
+    """The raw messages (value) of a queue's folder as a stream; each file is read once, also over restarts from a checkpoint.
+    At most so many files a batch, else all that are new."""
+    reader = spark.readStream.format("text").schema("value string")
+    return (reader.option("maxFilesPerTrigger", most_files) if most_files else reader).load(path)
+
+
 def _varint(n: int) -> bytes:
     n &= (1 << 64) - 1
     out = bytearray()
