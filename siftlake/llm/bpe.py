@@ -175,7 +175,7 @@ def encode_decode(docs: DataFrame, coder: Coder, with_ids: bool = True, id_col:
     """One row per row of docs: doc_id, n_tokens, ids_sha256, decoded_sha256, and the ids and the decoded text where asked for.
 
     Null and empty texts have no ids; rows that repeat are encoded alike. The vocabulary, whose size is that of its file,
-    is broadcast once.
+    is broadcast once. An empty table gives no rows; other columns of docs, whatever their names, are never read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(coder)
 
@@ -195,4 +195,5 @@ def encode_decode(docs: DataFrame, coder: Coder, with_ids: bool = True, id_col:
 
 
 def op4_bpe_encode_decode(spark, sf_dir: str) -> DataFrame:
+    """encode_decode over all documents; odd rows as told there."""
     return encode_decode(documents(spark, sf_dir), load(spark), with_ids=False)

@@ -83,6 +83,7 @@ def keep_first(docs: DataFrame) -> DataFrame:
 
 
 def op6_exact_dedup(spark, sf_dir: str) -> DataFrame:
+    """exact_dedup over all documents; odd rows as told there."""
     out = exact_dedup(documents(spark, sf_dir), digest_all=True)
     return out.select("doc_id", "keep_id", "group_size", "kept", F.col("sha256").alias("text_sha256"))
 

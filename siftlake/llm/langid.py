@@ -119,7 +119,11 @@ def learned(docs: DataFrame, id_col: str = "doc_id") -> Model:
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, held_out, lang_pred, score for every row; text alone decides. Null texts and texts without a letter: und, 0."""
+    """doc_id, held_out, lang_pred, score for every row; text alone decides. Null texts and texts without a letter: und, 0.
+
+    Rows that repeat are judged alike; of equally likely languages the first by name counts. An empty table gives no rows;
+    other columns, whatever their names, are never read.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,5 +151,6 @@ def keep_known(docs: DataFrame, model: Model | None = None, least: float = LEAST
 
 
 def op3_language_id(spark, sf_dir: str) -> DataFrame:
+    """predict over all documents; odd rows as told there."""
     docs = documents(spark, sf_dir, "doc_id", "text", "lang")
     return predict(docs, learned(docs))

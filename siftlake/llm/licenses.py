@@ -246,6 +246,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     all of them can be met with permissive licences (null without one).
 
     Null and empty texts have no words, empty labels and score 0; rows that repeat are scanned alike.
+    An empty table gives no rows; other columns of docs, whatever their names, are never read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,4 +260,5 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def op2_license_scan(spark, sf_dir: str) -> DataFrame:
+    """license_scan over all documents; odd rows as told there."""
     return license_scan(documents(spark, sf_dir))

@@ -380,6 +380,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     base_score is that of smoothed unigram counts, score the model's log10 probability of the whole text with its end. Null
     and empty texts have the end alone. Counts and the model come from the rows outside the held-out fold; repeated rows
     count as often as they stand. Without such rows all words are unknown and the classes' noise weights remain.
+    Words of equal counts are ordered by their bytes. An empty table gives no rows; other columns are never read.
     """
     docs = two_columns(docs, id_col, text_col)
     learned = docs.filter(remainder(FOLDS) != HELD_OUT)
@@ -389,4 +390,5 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
 
 def op1_lm_scoring(spark, sf_dir: str) -> DataFrame:
+    """lm_scores over all documents; odd rows as told there."""
     return lm_scores(documents(spark, sf_dir))

@@ -178,9 +178,15 @@ def pack(pieces: DataFrame, limit: int = LIMIT) -> DataFrame:
 
 
 def best_fit_packing(docs: DataFrame, path: str | None = None, limit: int = LIMIT, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
-    """Pieces of all docs with their sequence and place there; with_ids adds the ids themselves."""
+    """Pieces of all docs with their sequence and place there; with_ids adds the ids themselves.
+
+    A null or empty text is its end id alone; rows that repeat have pieces of their own; pieces of one length are
+    interchangeable, so which of them shares a sequence with which is free. An empty table gives no rows; other columns of
+    docs, whatever their names, are never read.
+    """
     return pack(written(token_pieces(docs, path, limit, end_id, with_ids), "pack-pieces"), limit)
 
 
 def op7_best_fit_packing(spark, sf_dir: str) -> DataFrame:
+    """best_fit_packing over all documents; odd rows as told there."""
     return best_fit_packing(documents(spark, sf_dir))

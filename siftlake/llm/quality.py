@@ -145,6 +145,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """One row per row of docs: doc_id, the counts, base_failed, kept, n_covered and longest_repeat.
 
     Null and empty texts have no words, so they fail. Each text is judged by itself; rows that repeat are judged alike.
+    An empty table gives no rows; other columns of docs, whatever their names, are never read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,4 +166,5 @@ def keep_good(docs: DataFrame, **limits) -> DataFrame:
 
 
 def op9_quality_rules(spark, sf_dir: str) -> DataFrame:
+    """quality_rules over all documents; odd rows as told there."""
     return quality_rules(documents(spark, sf_dir))

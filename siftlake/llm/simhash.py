@@ -305,7 +305,12 @@ def labelled(prints: DataFrame, distinct: DataFrame, roots: DataFrame) -> DataFr
 
 
 def simhash_dedup(docs: DataFrame, shingle: int = SHINGLE, radius: int = BITS, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fingerprint (16 hex digits) and component_id of every row; null and empty texts have fingerprint zero."""
+    """doc_id, fingerprint (16 hex digits) and component_id of every row; null and empty texts have fingerprint zero.
+
+    A bit that half of the hashes set is 0. Rows that repeat share a component, as do rows without an id by their texts;
+    the smallest id that is there names it. An empty table gives no rows; other columns of docs, whatever their names, are
+    never read.
+    """
     found = near_duplicates(written(fingerprint_table(docs, shingle, seed, id_col, text_col), "prints"), radius)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
@@ -617,4 +622,5 @@ def keep_one(docs: DataFrame, **how) -> DataFrame:
 
 
 def op10_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
+    """simhash_dedup over all documents; odd rows as told there."""
     return simhash_dedup(documents(spark, sf_dir))

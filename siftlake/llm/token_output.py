@@ -248,6 +248,7 @@ def read_tokens(spark, path: str, with_ids: bool = True) -> DataFrame:
 
 
 def op8_token_output(spark, sf_dir: str) -> DataFrame:
+    """write_tokens and read_tokens over all documents; odd rows as told there."""
     docs = documents(spark, sf_dir)
     path = f"{scratch_folder(spark)}/tokens-{uuid.uuid4().hex[:12]}"
     write_tokens(docs, path)

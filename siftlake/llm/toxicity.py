@@ -234,4 +234,5 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def op5_toxicity(spark, sf_dir: str) -> DataFrame:
+    """toxicity over all documents; odd rows as told there."""
     return toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
