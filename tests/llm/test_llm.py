@@ -836,5 +836,5 @@ def test_slices_lose_nothing():
 
 def test_registered():
     names = set(queries.queries())
-    assert {n.split("_")[0] for n in names if n != "pipeline"} == {f"op{i}" for i in range(1, 11)} and "pipeline" in names
+    assert {n.split("_")[0] for n in names if n != "pipeline"} == {f"op{i}" for i in range(1, 14)} and "pipeline" in names
 
