@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +19,8 @@ K1, B, FEATURES, LEAST_LENGTH = 1.2, 0.75, 128, 2
 #: Postings of a group of documents, about; groups that a search scores before it knows what can still be among the best;
 #: shelves, each for documents whose heaviest weight is half as heavy as the shelf's before.
 GROUP, FIRST, SHELVES = 1 << 15, 2, 40
+#: Documents that a task scores with a tenant's queries, about.
+BLOCK = 8192
 #: Sums in another order differ by less; a group within this of the k-th score is read.
 SLACK = 1e-8
 
@@ -26,7 +31,7 @@ def term_counts(docs: DataFrame, keys: list[str], text: str = "text") -> DataFra
     Texts are dealt by their keys before they are cut: counts and sums of a text then need no shuffle of its terms."""
     found = F.split(F.lower(F.col(text)), r"[^\p{L}\p{M}]+")
     # Filtered after the explode: that stays in generated code, a lambda over the array would not.
-    rows = dealt(docs.select(*keys, text), *keys).select(*keys, F.explode(found).alias("term")).filter((F.col("term") != "") & ~F.col("term").isin(STOPWORDS))
+    rows = dealt(docs.select(*keys, text), *keys, text=text).select(*keys, F.explode(found).alias("term")).filter((F.col("term") != "") & ~F.col("term").isin(STOPWORDS))
     return rows.groupBy(*keys, "term").agg(F.count("*").alias("tf"))
 
 
@@ -65,6 +70,70 @@ def sparse_topk(queries: DataFrame, postings: DataFrame, n_docs: DataFrame, k: i
     return scored.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
+def packed_weights(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, terms, weights: count_weights as one row for each text, with parallel arrays."""
+    rows = counts.groupBy(*keys).agg(F.collect_list(F.struct("term", "tf")).alias("_held"), F.sum("tf").alias("_all"))
+    return rows.select(*keys, F.col("_held.term").alias("terms"), F.transform("_held.tf", lambda x: x / F.col("_all")).alias("weights"))
+
+
+def blocked_topk(queries: DataFrame, docs: DataFrame, n_docs: DataFrame, k: int, tenant: str = "site_id", doc: str = "doc_id", digits: int = 9, block: int = BLOCK) -> DataFrame:
+    """The rows of sparse_topk, for many queries with many terms, whose sums for all pairs are too many rows to be sent.
+
+    queries: query_id, tenant, terms, weights. docs: tenant, doc, terms, weights, a written table; both parallel arrays.
+    A tenant's documents are dealt to blocks of about `block` rows, and its queries go to each of them: a task scores all
+    queries against a block, and a block sends k rows for a query. So what is sent grows with the documents, and with
+    the queries times a tenant's blocks.
+    """
+    asked = queries.select("query_id", tenant, F.explode(F.arrays_zip("terms", "weights")).alias("_t")).select("query_id", tenant, F.col("_t.terms").alias("term"), F.col("_t.weights").alias("qw"))
+    spread = docs.select(tenant, F.explode("terms").alias("term")).groupBy(tenant, "term").agg(F.count("*").alias("_df"))
+    asked = asked.join(spread, [tenant, "term"]).join(n_docs.select(tenant, "n"), tenant).select("query_id", tenant, "term", (F.col("qw") * idf(F.col("n"), F.col("_df"))).alias("w"))
+    asked = written(asked.groupBy("query_id", tenant).agg(F.collect_list(F.struct("term", "w")).alias("_held")), "asked")
+    blocks = written(docs.groupBy(tenant).agg((F.floor(F.count("*") / block) + 1).cast("int").alias("_blocks")), "blocks")
+    left = asked.join(blocks, tenant).select(tenant, F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_block"), "query_id", F.col("_held.term").alias("terms"), F.col("_held.w").alias("weights"))
+    # Tenants without a query are left out; the other side has no more rows than there are tenants.
+    right = docs.join(blocks.join(asked.select(tenant).distinct(), tenant, "left_semi"), tenant).select(tenant, F.pmod(F.xxhash64(doc), F.col("_blocks")).cast("int").alias("_block"), doc, "terms", "weights")
+
+    def within(key: tuple, q: pa.Table, v: pa.Table) -> pa.Table:
+        found = ([], [], [])
+        if q.num_rows and v.num_rows:
+            ids, names = v.column(doc).to_numpy(), q.column("query_id").to_numpy()
+            wanted, ends = _flat(q, "terms")
+            known = wanted.unique()
+            code, factors = pc.index_in(wanted, known).to_numpy(), _flat(q, "weights")[0].to_numpy()
+            held, sizes = _flat(v, "terms")
+            own = pc.index_in(held, known).fill_null(-1).to_numpy()
+            order = np.argsort(own, kind="stable")[np.count_nonzero(own < 0) :]
+            row = np.repeat(np.arange(len(ids)), np.diff(sizes))[order]
+            dw = _flat(v, "weights")[0].to_numpy()[order]
+            first = np.searchsorted(own[order], np.arange(len(known) + 1))
+            for name, a, b in zip(names, ends, ends[1:], strict=False):
+                begin, size = first[code[a:b]], first[code[a:b] + 1] - first[code[a:b]]
+                at = np.arange(size.sum()) + np.repeat(begin - (size.cumsum() - size), size)
+                score = np.bincount(row[at], dw[at] * np.repeat(factors[a:b], size), len(ids))
+                hit = np.zeros(len(ids), bool)
+                hit[row[at]] = True
+                some = np.flatnonzero(hit)
+                if len(some):
+                    shown = np.round(score[some], digits)
+                    near = shown >= np.partition(shown, len(some) - k)[len(some) - k] if len(some) > k else np.ones(len(some), bool)
+                    best = some[near][np.lexsort((ids[some[near]], -shown[near]))[:k]]
+                    found[0].append(np.full(len(best), name))
+                    found[1].append(ids[best])
+                    found[2].append(score[best])
+        columns = [np.concatenate(c) if c else np.empty(0, t) for c, t in zip(found, (np.int64, np.int64, np.float64), strict=True)]
+        return pa.table([pa.array([key[0].as_py()] * len(columns[0]), q.schema.field(tenant).type), *map(pa.array, columns)], names=[tenant, "query_id", doc, "score"])
+
+    scored = left.groupBy(tenant, "_block").cogroup(right.groupBy(tenant, "_block")).applyInArrow(within, f"`{tenant}` {dict(docs.dtypes)[tenant]}, query_id long, `{doc}` long, score double")
+    rank = F.row_number().over(Window.partitionBy("query_id", tenant).orderBy(F.desc(F.round("score", digits)), doc))
+    return scored.withColumn("rank", rank).filter(F.col("rank") <= k)
+
+
+def _flat(rows: pa.Table, column: str) -> tuple[pa.Array, np.ndarray]:
+    """The elements of a column of arrays, and where each row's begin; the last number is their end."""
+    lists = rows.column(column).combine_chunks()
+    return pc.list_flatten(lists), np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())])
+
+
 @dataclass
 class SparseIndex:
     """What a sparse search reads: postings (shelf, tenant, doc, term, dw), a folder for each shelf; tops (tenant, term, shelf,

@@ -113,13 +113,15 @@ ranked AS (SELECT query_id, doc_id, round(score, 6) AS score, row_number() OVER
 
 
 def hybrid_rows(spark, sf_dir, prefetch=10, limit=20):
-    index = index_of(spark, sf_dir)
+    docs = by_tenant(spark, sf_dir, "text")
+    packed = written(sparse.packed_weights(sparse.term_counts(docs, ["site_id", "doc_id"]), ["site_id", "doc_id"]), "packed")
     vectors = by_tenant(spark, sf_dir).join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id")
     vectors = written(vectors, "vectors")
     asked = vectors.filter(F.col("doc_id") % EVERY == 0)
     by_vector = dense.dense_topk(asked.withColumnRenamed("doc_id", "query_id"), vectors, prefetch, vec_id="doc_id")
-    terms = index.postings.join(asked.select("site_id", "doc_id"), ["site_id", "doc_id"]).select(F.col("doc_id").alias("query_id"), "site_id", "term", F.col("dw").alias("qw"))
-    return fusion.hybrid(by_vector, sparse.indexed_search(terms, index, prefetch).found, "doc_id", prefetch, limit)
+    terms = packed.filter(F.col("doc_id") % EVERY == 0).join(asked.select("site_id", "doc_id"), ["site_id", "doc_id"]).withColumnRenamed("doc_id", "query_id")
+    by_terms = sparse.blocked_topk(terms, packed, docs.groupBy("site_id").agg(F.count("*").alias("n")), prefetch)
+    return fusion.hybrid(by_vector, by_terms, "doc_id", prefetch, limit)
 
 
 @query(f"WITH {HYBRID_SQL} SELECT query_id, doc_id, score, rank FROM ranked WHERE rank <= 20")

@@ -1,7 +1,13 @@
 """What must not grow with the number of tenants, queries or documents."""
 
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
+from siftlake.operators import sparse
+from siftlake.plans import search
+from siftlake.scratch import written
 from siftlake.sources import jsonl
 
 
@@ -17,3 +23,25 @@ def test_an_export_has_few_folders(spark, tmp_path):
     assert sorted(r.doc_id for r in one.collect()) == [7, 1507] and len(one.inputFiles()) >= 1
     plan = one._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(bucket" in plan
+
+
+@pytest.mark.parametrize(("k", "block"), [(1, 40), (10, 40), (2000, 5000)])
+def test_blocks_give_the_rows_of_the_join(spark, k, block):
+    """Queries of many terms against blocks of documents; equal scores, unknown terms and tenants, documents without terms."""
+    rng = random.Random(k)
+    rows = [("s0" if i % 3 else "s1", i % 400 if i % 7 else i, f"t{min(int(rng.expovariate(0.05)), 90)}", 1 + i % 3) for i in range(6000)]
+    counts = written(spark.createDataFrame(rows, "site_id string, doc_id long, term string, tf long").groupBy("site_id", "doc_id", "term").agg(F.sum("tf").alias("tf")), "counts")
+    keys = ["site_id", "doc_id"]
+    postings, packed = sparse.count_weights(counts, keys).withColumnRenamed("weight", "dw"), written(sparse.packed_weights(counts, keys), "packed")
+    sizes = counts.groupBy("site_id").agg((F.countDistinct("doc_id") + 5).alias("n"))
+    asked = spark.createDataFrame([(q, f"s{q % 3}", f"t{t}", rng.random()) for q in range(30) for t in rng.sample(range(95), 20)], "query_id long, site_id string, term string, qw double")
+    queries = asked.groupBy("query_id", "site_id").agg(F.collect_list("term").alias("terms"), F.collect_list("qw").alias("weights"))
+    some = lambda df: sorted((r.query_id, r.site_id, r["rank"], r.doc_id, round(r.score, 9)) for r in df.collect())
+    found = sparse.blocked_topk(queries, packed, sizes, k, block=block)
+    assert some(found) == some(sparse.sparse_topk(asked, postings, sizes, k)) != []
+
+
+def test_fused_lists_make_no_row_for_a_pair_of_texts(spark, sf):
+    """Scores are summed within blocks: Spark gets k rows for a query and a block, and joins no postings with queries."""
+    plan = search.hybrid_rows(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "dw#" not in plan
