@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +22,8 @@ TERM = regex.compile(r"[\p{L}\p{M}]+")
 
 #: Texts that a model takes at once, calls for a batch, and the numbers of a hashing embedder's vector.
 BATCH, ATTEMPTS, WIDTH = 16, 3, 64
+#: Texts that the hashing embedder is given at once, and the characters whose words are hashed together, about.
+MANY, TOGETHER = 512, 1 << 20
 
 
 @dataclass(frozen=True)
@@ -31,22 +34,33 @@ class Model:
     load: Callable[[], Callable[[list[str]], np.ndarray]]
     sparse: bool = True
     tokens: int | None = None
+    batch: int = BATCH
 
 
 class RecoverableError(Exception):
     """A call that may succeed when made again."""
 
 
+def together(texts: list[str | None]) -> Iterator[tuple[int, list[str | None]]]:
+    """(place of the first, texts) of parts with about TOGETHER characters."""
+    part = np.cumsum([len(t or "") for t in texts]) // TOGETHER
+    ends = [*(np.flatnonzero(np.diff(part)) + 1).tolist(), len(texts)]
+    yield from ((a, texts[a:b]) for a, b in zip([0, *ends], ends, strict=False) if a < b)
+
+
 def hashing(width: int = WIDTH) -> Callable[[list[str]], np.ndarray]:
     """Counts of hashed lower-case words, signed, of length 1: the same for a text anywhere; stands in for a real model."""
 
     def embed(texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), width), np.float32)
-        for row, text in zip(out, texts, strict=True):
-            words = text.lower().split()
-            if words:
-                h = murmur3([w.encode() for w in words]).view(np.uint32).astype(np.int64)
-                np.add.at(row, h % width, np.where(h >> 31 & 1, -1.0, 1.0))
+        for at, some in together(texts):
+            found = [text.lower().split() for text in some]
+            words = pa.array([w for row in found for w in row], pa.string()).dictionary_encode()
+            h = murmur3([w.encode() for w in words.dictionary.to_pylist()]).view(np.uint32).astype(np.int64)
+            row = np.repeat(np.arange(len(some)), [len(x) for x in found])
+            code = words.indices.to_numpy(zero_copy_only=False)
+            cells = np.bincount(row * width + (h % width)[code], np.where(h >> 31 & 1, -1.0, 1.0)[code], len(some) * width)
+            out[at : at + len(some)] = cells.reshape(-1, width)
         size = np.linalg.norm(out, axis=1, keepdims=True)
         return np.divide(out, size, out=out, where=size > 0)
 
@@ -64,7 +78,7 @@ def letters() -> Callable[[list[str]], np.ndarray]:
     return embed
 
 
-MODELS = {m.name: m for m in (Model("arctic", hashing, True, 8192), Model("e5", hashing, True, 512), Model("jina", hashing, True, 32768), Model("mpnet", hashing, False), Model("letters", letters))}
+MODELS = {m.name: m for m in (Model("arctic", hashing, True, 8192, MANY), Model("e5", hashing, True, 512, MANY), Model("jina", hashing, True, 32768, MANY), Model("mpnet", hashing, False, batch=MANY), Model("letters", letters))}
 _LOADED: dict[str, Callable[[list[str]], np.ndarray]] = {}
 
 
@@ -94,7 +108,7 @@ def embedder(model: str):
         embed = _LOADED[chosen.name]
         for texts in parts:
             known = texts.dropna()
-            found = iter([v for at in range(0, len(known), BATCH) for v in call(embed, known.iloc[at : at + BATCH].tolist())])
+            found = iter([v for at in range(0, len(known), chosen.batch) for v in call(embed, known.iloc[at : at + chosen.batch].tolist())])
             yield pd.Series([next(found) if ok else None for ok in texts.notna()], dtype=object)
 
     return run
@@ -119,7 +133,7 @@ def embedder_or_error(model: str):
 
         for texts in parts:
             known = texts.dropna()
-            found = iter([x for at in range(0, len(known), BATCH) for x in tried(known.iloc[at : at + BATCH].tolist())])
+            found = iter([x for at in range(0, len(known), chosen.batch) for x in tried(known.iloc[at : at + chosen.batch].tolist())])
             yield pd.DataFrame([next(found) if ok else (None, None) for ok in texts.notna()], columns=["vector", "error"], dtype=object)
 
     return run
@@ -132,20 +146,33 @@ def embed_or_fail(rows: DataFrame, model: str, mode: str, text: str = "text", la
     return made.withColumns({"dense": F.col("_made.vector"), "error": F.col("_made.error")}).drop("_made")
 
 
-@F.pandas_udf(T.MapType(T.LongType(), T.FloatType()))
-def sparse_vector(texts: pd.Series) -> pd.Series:
+@F.arrow_udf(T.MapType(T.LongType(), T.FloatType()))
+def sparse_vector(texts: pa.Array) -> pa.Array:
     """Term ids and weights of texts by the rule of sparse.term_counts: counts that add up to 1. Of terms that share an id the
     last in order stays."""
-
-    def one(text: str | None) -> dict[int, float] | None:
-        if text is None:
-            return None
-        counts = Counter(w for w in TERM.findall(text.lower()) if w not in STOPWORDS)
-        names, total = sorted(counts), sum(counts.values())
-        ids = np.abs(murmur3([w.encode() for w in names]).astype(np.int64)).tolist() if names else []
-        return {i: counts[w] / total for i, w in zip(ids, names, strict=True)}
-
-    return texts.map(one, na_action=None)
+    ids, weights, sizes = [], [], []
+    for _, some in together(texts.to_pylist()):
+        found = [TERM.findall(t.lower()) if t else [] for t in some]
+        words = pa.array([w for row in found for w in row], pa.string()).dictionary_encode()
+        names, row = words.dictionary, np.repeat(np.arange(len(some)), [len(x) for x in found])
+        place = np.empty(len(names), np.int64)
+        place[pc.array_sort_indices(names).to_numpy()] = np.arange(len(names))
+        wanted = ~pc.is_in(names, pa.array(STOPWORDS)).to_numpy(zero_copy_only=False)
+        code = words.indices.to_numpy(zero_copy_only=False)
+        kept = wanted[code]
+        cells, counts = np.unique(row[kept] * len(names) + place[code[kept]], return_counts=True)
+        term = np.empty(len(names), np.int64)
+        term[place] = np.abs(murmur3([w.encode() for w in names.to_pylist()]).astype(np.int64))
+        row, own = cells // max(len(names), 1), term[cells % max(len(names), 1)]
+        share = counts / np.bincount(row, counts, len(some))[row]
+        _, last = np.unique((row << 32 | own)[::-1], return_index=True)
+        last = np.sort(len(row) - 1 - last)
+        ids.append(own[last])
+        weights.append(share[last].astype(np.float32))
+        sizes.append(np.bincount(row[last], minlength=len(some)))
+    ends = np.concatenate([[0], *sizes]).cumsum()
+    offsets = pa.array(ends, pa.int32(), mask=np.append(texts.is_null().to_numpy(zero_copy_only=False), False))
+    return pa.MapArray.from_arrays(offsets, np.concatenate([np.empty(0, np.int64), *ids]), np.concatenate([np.empty(0, np.float32), *weights]))
 
 
 def embed(rows: DataFrame, model: str, mode: str, text: str = "text", language: Column | None = None) -> DataFrame:
