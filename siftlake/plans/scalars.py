@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from siftlake.functions import codecs, text, values
 from siftlake.plans.inputs import table
 from siftlake.plans.registry import query
+from siftlake.scratch import dealt
 
 #: Sizes as text, the way configuration has them.
 SIZE = "case p_partkey % 6 when 0 then concat(cast(p_size as varchar(9)), 'K') when 1 then concat(' ', cast(p_size as varchar(9)), '.5m ') when 2 then concat(cast(p_size as varchar(9)), 'G') when 3 then cast(p_size as varchar(9)) when 4 then 'ABC' else '' end"
@@ -128,7 +129,9 @@ def locale_code(spark, sf_dir):
 @query(rf"""WITH t AS (SELECT doc_id, unnest(regexp_split_to_array(text, '{text.SPACES}')) AS w FROM documents), x AS (SELECT doc_id, regexp_replace(regexp_replace(lower(w), '^[\pM\pP\pS\pZ\pC]+', ''), '[\pM\pP\pS\pZ\pC]+$', '') AS l FROM t WHERE w <> '')
 SELECT doc_id, count(*) AS tokens, count(DISTINCT CASE WHEN l = '' THEN '<unk>' ELSE l END) AS lemmas, count(*) FILTER (l = '') AS unknown FROM x GROUP BY 1""")
 def unknown_tokens(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", F.explode(text.tokens(F.col("text"))).alias("w"))
+    # Texts are dealt before they are cut: neither tokens nor lemmas are shuffled.
+    docs = dealt(table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", text="text")
+    rows = docs.select("doc_id", F.explode(text.tokens(F.col("text"))).alias("w"))
     # Equal tokens of a document are trimmed once.
     lemmas = rows.groupBy("doc_id", "w").agg(F.count("*").alias("n")).withColumn("l", text.lemma(F.col("w")))
     return lemmas.groupBy("doc_id").agg(F.sum("n").alias("tokens"), F.count_distinct("l").alias("lemmas"), F.sum(F.when(F.col("l") == "<unk>", F.col("n")).otherwise(0)).alias("unknown"))
