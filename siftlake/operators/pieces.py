@@ -244,9 +244,10 @@ def sparse_vectors(rows: DataFrame, keys: list[str], model: str, vocabulary: Dat
     held = sorted((r.piece, r.score) for r in vocabulary.collect())
     scores = dict(held)
     found = piece_lists(Unigram([p for p, _ in held], [s for _, s in held], unknown), variant.mark)
-    # Dealt by their keys before they are cut: windows and sums of a text then need no shuffle of its pieces.
+    # Dealt by their keys between the model and the rows: behind it Spark forgets how rows are dealt and would shuffle the
+    # pieces, joined to few tasks; windows and sums of a text need no shuffle then.
     whole = [F.array(*letter_counts(F.col(text))).alias("whole")] if variant.whole else []
-    texts = dealt(rows.select(*keys, text), *keys).select(*keys, *whole, found(F.col(text)).alias("found"))
+    texts = dealt(rows.select(*keys, text, *whole, found(F.col(text)).alias("found")), *keys, text=text)
     cut = texts.select(*keys, *(["whole"] if whole else []), F.posexplode("found").alias("pos", "piece"))
     return lexical_vectors(words_of_pieces(variant.weights(cut, scores, unknown), keys, variant.mark, variant.root), keys)
 

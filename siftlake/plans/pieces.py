@@ -9,7 +9,7 @@ from siftlake.plans.inputs import table
 from siftlake.plans.registry import query
 from siftlake.plans.scalars import murmur3_sql
 from siftlake.plans.search import STOP
-from siftlake.scratch import written
+from siftlake.scratch import dealt, written
 
 #: The stand-in for a model's vocabulary, which SQL has to know too: the most frequent sequences of up to four letters of the
 #: table's words, each with its log share. A real model brings its own table.
@@ -22,7 +22,8 @@ RUNS = r"[\p{L}\p{M}]+|[^\p{L}\p{M}\x09-\x0D\x20]"
 def vocabulary(turns):
     """piece, score: log shares in thousandths."""
     words = turns.select(F.explode(F.regexp_extract_all("text", F.lit(f"({LETTERS})"))).alias("word")).groupBy("word").count()
-    at = words.select("word", "count", F.explode(F.sequence(F.lit(1), F.length("word"))).alias("i"), F.length("word").alias("size"))
+    # Few bytes of words become many grams: they are dealt by a given number before they are cut.
+    at = dealt(written(words, "words"), "word", text="word").select("word", "count", F.explode(F.sequence(F.lit(1), F.length("word"))).alias("i"), F.length("word").alias("size"))
     found = at.select("count", F.explode(F.array(*[F.when(F.col("i") + k - 1 <= F.col("size"), F.expr(f"substr(word, i, {k})")) for k in range(1, LONGEST + 1)])).alias("piece"))
     counts = written(found.filter("piece is not null").groupBy("piece").agg(F.sum("count").alias("n")), "grams")
     total = counts.agg(F.sum("n").alias("total"))
