@@ -1,12 +1,15 @@
 """What must not grow with the number of tenants, queries or documents."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from siftlake.operators import sparse
-from siftlake.plans import search
+from siftlake import scratch
+from siftlake.functions import text
+from siftlake.operators import embedding, sparse
+from siftlake.plans import registry, search
 from siftlake.scratch import written
 from siftlake.sources import jsonl
 
@@ -45,3 +48,57 @@ def test_fused_lists_make_no_row_for_a_pair_of_texts(spark, sf):
     """Scores are summed within blocks: Spark gets k rows for a query and a block, and joins no postings with queries."""
     plan = search.hybrid_rows(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert "FlatMapCoGroupsInArrow" in plan and "dw#" not in plan
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_detection_works_once_on_a_texts_head(spark):
+    """What detection sees is the same from a text's head; words are cut once for all languages, not for each mention."""
+    rng = random.Random(1)
+    rows = [("".join(rng.choice(["a", "É", "İ", "Σ", " ", "  ", "\n\t", "\u00a0", "𝒳", "der ", "the "]) for _ in range(rng.choice([0, 3, 60, 150, 2000]))),) for _ in range(300)] + [(None,), (" " * 5000 + "the end " * 90,)]
+    docs = spark.createDataFrame(rows, "text string")
+    t = F.col("text")
+    assert docs.filter(~text.detection_text(text.head(t)).eqNullSafe(text.detection_text(t))).count() == 0
+    plan = plan_of(docs.select(text.detected(t).alias("d")).select("d.language", "d.score"))
+    assert plan.count("split(") == 1
+
+
+def test_the_hashing_model_takes_many_texts_and_adds_up_alike(spark):
+    """One call hashes many texts; a text's vector doesn't depend on its neighbours, nor on where parts end."""
+    texts = ["b a a", "", "  ", "é " * 40, *(f"w{i} w{i % 7} x" for i in range(400)), "word " * 300_000, "a b a"]
+    model = embedding.hashing()
+    whole = model(texts)
+    assert (whole[0] == whole[-1]).all() and not whole[1:3].any()
+    assert all((model([t])[0] == v).all() for t, v in zip(texts, whole, strict=True))
+    assert embedding.MODELS["mpnet"].batch > embedding.BATCH
+    assert [len(x) for _, x in embedding.together(["a" * embedding.TOGETHER] * 3)] == [1, 1, 1] and not list(embedding.together([]))
+
+
+def test_sparse_vectors_of_odd_texts(spark):
+    rows = spark.createDataFrame([(1, "b c c the"), (2, None), (3, ""), (4, "the 12"), (5, "ΣΑΣ")], "k int, text string")
+    got = {r.k: r.v for r in rows.select("k", embedding.sparse_vector("text").alias("v")).collect()}
+    assert sorted(got[1].values()) == pytest.approx([1 / 3, 2 / 3]) and got[2] is None and got[3] == got[4] == {} and list(got[5].values()) == [1.0]
+
+
+def test_texts_are_dealt_by_their_size(spark, monkeypatch):
+    """Tasks grow with the texts where they become many rows, and not below the number of shuffles."""
+    docs = spark.range(100).select("id", F.repeat(F.lit("x"), 1000).alias("text"))
+    parts = lambda: scratch.dealt(docs, "id", text="text").rdd.getNumPartitions()
+    assert parts() == 4
+    monkeypatch.setattr(scratch, "PART", 5000)
+    assert parts() == 20 and scratch.dealt(docs.limit(0), "id", text="text").count() == 0
+
+
+def test_tokens_and_grams_are_dealt_before_they_are_cut(spark, sf):
+    queries = registry.queries()
+    for name in ("unknown_tokens", "sparse_e5"):
+        plan = plan_of(queries[name](spark, sf))
+        assert "RepartitionByExpression" in plan
+
+
+def test_pieces_are_cut_once_and_not_shuffled(spark, sf):
+    plan = registry.queries()["sparse_arctic"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan
+    assert not re.search(r"hashpartitioning\(conv_id#\d+L?, turn#\d+L?, \d+\), ENSURE_REQUIREMENTS", plan)
