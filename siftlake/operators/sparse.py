@@ -19,6 +19,8 @@ K1, B, FEATURES, LEAST_LENGTH = 1.2, 0.75, 128, 2
 #: Postings of a group of documents, about; groups that a search scores before it knows what can still be among the best;
 #: shelves, each for documents whose heaviest weight is half as heavy as the shelf's before.
 GROUP, FIRST, SHELVES = 1 << 15, 2, 40
+#: Postings of a task that finds blocks' largest weights, about.
+TASK = 1 << 19
 #: Documents that a task scores with a tenant's queries, about.
 BLOCK = 8192
 #: Sums in another order differ by less; a group within this of the k-th score is read.
@@ -157,14 +159,18 @@ def sparse_index(postings: DataFrame, sizes: DataFrame, tenant: str = "site_id",
 
     Documents are ordered by impact: a shelf has those whose heaviest weight lies between two powers of two, dealt to groups of
     about `group` postings. A term's postings in a group are a block, known by its largest weight. A shelf is numbered
-    within all tenants, so the tables of shelves and parts grow with tenants alone.
+    within all tenants, so the tables of shelves and parts grow with tenants alone. Groups are dealt to tasks of about TASK
+    postings before their blocks are summed up: few postings of a file share a block, so a task that did that for a file
+    would hold nearly all of them.
     """
     heaviest = F.max("dw").over(Window.partitionBy(tenant, doc))
     shelf = F.least(F.greatest(F.floor(-F.log2(heaviest)), F.lit(0)), F.lit(SHELVES - 1)).cast("int")
     rows = Scratch(postings.select(tenant, doc, "term", "dw", shelf.alias("shelf")), "postings", "shelf").df
     parts = written(rows.groupBy(tenant, "shelf").agg(F.ceil(F.count("*") / group).alias("parts")), "parts")
     index = SparseIndex(rows, rows, parts, written(sizes.select(tenant, "n"), "sizes"), tenant, doc)
-    index.tops = written(index.placed().groupBy(tenant, "term", "shelf", "part").agg(F.max("dw").alias("top"), F.count("*").alias("n")), "tops")
+    tasks = (parts.agg(F.sum("parts")).first()[0] or 0) * group // TASK
+    placed = dealt(index.placed().select(tenant, "term", "shelf", "part", "dw"), tenant, "shelf", "part", least=tasks)
+    index.tops = written(placed.groupBy(tenant, "term", "shelf", "part").agg(F.max("dw").alias("top"), F.count("*").alias("n")), "tops")
     return index
 
 
@@ -194,7 +200,8 @@ def indexed_search(queries: DataFrame, index: SparseIndex, k: int, digits: int =
     df = F.sum("n").over(Window.partitionBy(*key, "term"))
     hits = hits.withColumn("df", df).join(index.sizes.withColumnRenamed("n", "_n"), tenant)
     hits = written(hits.select("query_id", *group, "term", "top", (F.col("qw") * idf(F.col("_n"), F.col("df"))).alias("w")), "hits")
-    weighted = hits.select(*key, "term", "w").distinct()
+    # Written, since its size, which doesn't grow with the groups, lets it be broadcast to the postings.
+    weighted = written(hits.select(*key, "term", "w").distinct(), "weighted")
     bounds = hits.groupBy("query_id", *group).agg(F.sum(F.col("w") * F.col("top")).alias("bound"))
     order = F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("bound"), "shelf", "part"))
     bounds = written(bounds.withColumn("place", order), "bounds")

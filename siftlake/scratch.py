@@ -51,11 +51,11 @@ class Scratch:
         _remove(self.spark, self.path)
 
 
-def dealt(df: DataFrame, *by: str, text: str | None = None) -> DataFrame:
-    """df dealt by columns to as many tasks as shuffles have; with `text`, a column of texts that become many rows behind the
+def dealt(df: DataFrame, *by: str, text: str | None = None, least: int = 0) -> DataFrame:
+    """df dealt by columns to as many tasks as shuffles have, to `least` at least; with `text`, a column of texts that become many rows behind the
     shuffle, to so many that a task has about PART bytes of them. A given number keeps adaptive execution from joining
     partitions whose rows are few but become many behind the shuffle."""
-    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     if text is not None:
         tasks = max(tasks, (df.agg(F.sum(F.octet_length(text))).first()[0] or 0) // PART)
     return df.repartition(tasks, *by)

@@ -102,3 +102,17 @@ def test_pieces_are_cut_once_and_not_shuffled(spark, sf):
     plan = registry.queries()["sparse_arctic"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "REPARTITION_BY_NUM" in plan
     assert not re.search(r"hashpartitioning\(conv_id#\d+L?, turn#\d+L?, \d+\), ENSURE_REQUIREMENTS", plan)
+
+
+def test_blocks_are_summed_up_in_tasks_of_their_groups(spark, monkeypatch):
+    """Postings are dealt by group, to tasks that grow with them, before a block's largest weight is found; nothing is summed up
+    for a whole file of postings."""
+    postings = spark.range(30_000).select(F.lit("s").alias("site_id"), (F.col("id") % 500).alias("doc_id"), F.concat(F.lit("t"), F.col("id")).alias("term"), (1 / (2 + F.col("id") % 9)).alias("dw"))
+    made = {}
+    monkeypatch.setattr(sparse, "TASK", 3000)
+    monkeypatch.setattr(sparse, "written", lambda df, name: made.setdefault(name, df) is None or written(df, name))
+    index = sparse.sparse_index(postings, spark.createDataFrame([("s", 500)], "site_id string, n long"), group=300)
+    assert index.tops.agg(F.sum("n")).first()[0] == 30_000
+    plan = made["tops"]._jdf.queryExecution().executedPlan().toString()
+    assert int(re.search(r"hashpartitioning\(site_id#\d+, shelf#\d+, part#\d+L?, (\d+)\), REPARTITION_BY_NUM", plan)[1]) >= 10
+    assert not re.search(r"hashpartitioning\([^)]*term#[^)]*\)", plan)
