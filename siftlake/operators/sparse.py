@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from decimal import ROUND_HALF_UP, Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftlake.scratch import Scratch, dealt, written
+from siftlake.scratch import PART, Scratch, dealt, written
 
 #: Words that carry no meaning of their own.
 STOPWORDS = "a an and are as at be by for from has he in is it its of on or that the this to was with you".split()
@@ -27,11 +28,16 @@ BLOCK = 8192
 SLACK = 1e-8
 
 
+def cut(text: Column) -> Column:
+    """Runs of letters and their marks, in lower case, empty ones and stop words among them."""
+    return F.split(F.lower(text), r"[^\p{L}\p{M}]+")
+
+
 def term_counts(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """keys, term and tf: how often each term, a run of letters and their marks in any script, stop words apart, stands in the row's text.
 
     Texts are dealt by their keys before they are cut: counts and sums of a text then need no shuffle of its terms."""
-    found = F.split(F.lower(F.col(text)), r"[^\p{L}\p{M}]+")
+    found = cut(F.col(text))
     # Filtered after the explode: that stays in generated code, a lambda over the array would not.
     rows = dealt(docs.select(*keys, text), *keys, text=text).select(*keys, F.explode(found).alias("term")).filter((F.col("term") != "") & ~F.col("term").isin(STOPWORDS))
     return rows.groupBy(*keys, "term").agg(F.count("*").alias("tf"))
@@ -240,6 +246,83 @@ def bm25_weights(counts: DataFrame, tenant: str, doc: str, most: int = FEATURES)
     return kept.select(tenant, doc, "term", (F.col("w").cast("double") / F.sum("w").over(text).cast("double")).alias("weight"))
 
 
+def blocked_bm25(docs: DataFrame, tenant: str = "site_id", doc: str = "doc_id", text: str = "text", most: int = FEATURES, block: int = PART) -> DataFrame:
+    """bm25_weights of the term_counts of docs, as one row for each document that has terms: tenant, doc, terms, weights, heaviest
+    first.
+
+    A tenant's texts are dealt to blocks of about `block` bytes. A block has a list of its terms, and its documents hold places in that
+    list: only texts, lists and places are sent, and a term goes to its tenant's count and back once for a block, not once
+    for a document.
+    """
+    blocks = written(docs.groupBy(tenant).agg((F.floor(F.coalesce(F.sum(F.octet_length(text)), F.lit(0)) / block) + 1).cast("int").alias("_blocks")), "blocks")
+    tasks = blocks.agg(F.sum("_blocks")).first()[0] or 0
+    rows = docs.filter(F.col(text).isNotNull()).join(blocks, tenant).select(tenant, F.pmod(F.xxhash64(doc), F.col("_blocks")).cast("int").alias("_block"), doc, text)
+    rows = dealt(rows, tenant, "_block", least=tasks).select(tenant, "_block", doc, cut(F.col(text)).alias("_words"))
+    kinds = dict(docs.dtypes)
+
+    def encoded(key: tuple, rows: pa.Table) -> pa.Table:
+        """A row with the block's terms, in order, and the number of documents that have each; a row for each document."""
+        names = rows.column(doc).combine_chunks().dictionary_encode("encode")
+        words, ends = _flat(rows, "_words")
+        words = words.dictionary_encode()
+        listed = words.dictionary.take(pc.array_sort_indices(words.dictionary))
+        terms = listed.filter(pc.and_(pc.greater_equal(pc.utf8_length(listed), LEAST_LENGTH), pc.invert(pc.is_in(listed, pa.array(STOPWORDS)))))
+        code = pc.index_in(words.dictionary, terms).fill_null(-1).to_numpy()[words.indices.to_numpy()]
+        row = np.repeat(names.indices.to_numpy(), np.diff(ends))
+        cells, tf = np.unique(row[code >= 0] * np.int64(max(len(terms), 1)) + code[code >= 0], return_counts=True)
+        row, code = np.divmod(cells, max(len(terms), 1))
+        some, first = np.unique(row, return_index=True)
+        ends = np.append(first, len(row))
+        size = pa.array(np.append(0, np.bincount(row, tf)[some].astype(np.int64) if len(some) else []), pa.int64())
+        lists = lambda values, ends: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int32()))
+        held = pa.nulls(1, rows.schema.field(doc).type)
+        return pa.table({
+            "list": pa.array([True] + [False] * len(some)), tenant: pa.array([key[0].as_py()] * (1 + len(some)), rows.schema.field(tenant).type), "_block": pa.array([key[1].as_py()] * (1 + len(some)), pa.int32()),
+            doc: pa.chunked_array([held, names.dictionary.take(pa.array(some))]), "size": size,
+            "terms": pa.ListArray.from_arrays(pa.array([0] + [len(terms)] * (1 + len(some)), pa.int32()), terms),
+            "codes": lists(code, np.append(0, ends)), "counts": lists(np.append(np.bincount(code, minlength=len(terms)), tf), np.append(0, ends + len(terms))),
+        })
+
+    schema = f"list boolean, `{tenant}` {kinds[tenant]}, _block int, `{doc}` {kinds[doc]}, size long, terms array<string>, codes array<int>, counts array<int>"
+    held = Scratch(rows.groupBy(tenant, "_block").applyInArrow(encoded, schema), "encoded", "list").df
+    texts = held.filter(~F.col("list")).select(tenant, "_block", doc, "size", "codes", "counts")
+    words = held.filter("list").select(tenant, "_block", F.explode(F.arrays_zip("terms", "counts")).alias("_w")).select(tenant, "_block", F.col("_w.terms").alias("term"), F.col("_w.counts").alias("df"))
+    mean = written(texts.groupBy(tenant).agg((F.sum("size") / F.count("*")).alias("avg_len"), F.count("*").alias("n")), "mean")
+    words = words.withColumn("df", F.sum("df").over(Window.partitionBy(tenant, "term"))).join(mean, tenant).select(tenant, "_block", "term", idf(F.col("n"), F.col("df")).alias("idf"))
+    texts = texts.join(mean, tenant).select(*[F.col(c).alias(c) for c in (tenant, "_block", doc, "size", "avg_len", "codes", "counts")])  # the two sides come from one table
+
+    def weighed(key: tuple, t: pa.Table, w: pa.Table) -> pa.Table:
+        listed = w.column("term").combine_chunks()
+        order = pc.array_sort_indices(listed)
+        terms, by_code = listed.take(order), w.column("idf").to_numpy()[order.to_numpy()]
+        codes, ends = _flat(t, "codes")
+        codes, tf = codes.to_numpy(), _flat(t, "counts")[0].to_numpy().astype(np.float64)
+        row = np.repeat(np.arange(t.num_rows), np.diff(ends))
+        size, mean = t.column("size").to_numpy()[row], t.column("avg_len").to_numpy()[row]
+        nines = _nines(by_code[codes] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / mean)))
+        order = np.lexsort((codes, -nines, row))
+        order = order[np.arange(len(row)) - ends[row] < most]
+        row, nines = row[order], nines[order]
+        total = np.zeros(t.num_rows, np.int64)
+        np.add.at(total, row, nines)
+        ends = pa.array(np.append(0, np.bincount(row, minlength=t.num_rows).cumsum()), pa.int32())
+        weights = (nines / 1e9) / (total / 1e9)[row]
+        lists = [pa.ListArray.from_arrays(ends, x) for x in (terms.take(pa.array(codes[order])), pa.array(weights))]
+        return pa.table([t.column(tenant), t.column(doc), *lists], names=[tenant, doc, "terms", "weights"])
+
+    both = texts.groupBy(tenant, "_block").cogroup(words.groupBy(tenant, "_block"))
+    return both.applyInArrow(weighed, f"`{tenant}` {kinds[tenant]}, `{doc}` {kinds[doc]}, terms array<string>, weights array<double>")
+
+
+def _nines(x: np.ndarray) -> np.ndarray:
+    """Billionths, rounded as Spark does: by a number's shortest decimals, halves up."""
+    scaled = x * 1e9
+    out = np.floor(scaled + 0.5).astype(np.int64)
+    near = np.flatnonzero(np.abs(scaled - np.floor(scaled) - 0.5) < 1e-4)
+    out[near] = [int(Decimal(repr(v)).scaleb(9).quantize(Decimal(1), ROUND_HALF_UP)) for v in x[near].tolist()]
+    return out
+
+
 def sorted_vector(weights: Column) -> Column:
     """A map of term ids to weights as parallel arrays, ids ascending."""
     entries = F.array_sort(F.map_entries(weights))

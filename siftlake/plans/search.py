@@ -94,9 +94,8 @@ w AS (SELECT doc_id, term, round(ln((m - df + 0.5) / (df + 0.5) + 1) * tf * 2.2:
 kept AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY w DESC, term) AS r FROM w QUALIFY r <= 128)
 SELECT doc_id, count(*) AS terms, round(max(w::DOUBLE / total::DOUBLE), 6) AS heaviest FROM (SELECT *, sum(w) OVER (PARTITION BY doc_id) AS total FROM kept) GROUP BY doc_id""")
 def sparse_bm25(spark, sf_dir):
-    counts = sparse.term_counts(by_tenant(spark, sf_dir, "text"), ["site_id", "doc_id"])
-    kept = sparse.bm25_weights(counts, "site_id", "doc_id")
-    return kept.groupBy("doc_id").agg(F.count("*").alias("terms"), F.round(F.max("weight"), 6).alias("heaviest"))
+    kept = sparse.blocked_bm25(by_tenant(spark, sf_dir, "text"))
+    return kept.groupBy("doc_id").agg(F.sum(F.size("terms")).alias("terms"), F.round(F.max(F.array_max("weights")), 6).alias("heaviest"))
 
 
 #: The two lists of the fused queries: by the vectors of documents that have one, and by all documents' terms, both of the

@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -116,3 +117,29 @@ def test_blocks_are_summed_up_in_tasks_of_their_groups(spark, monkeypatch):
     plan = made["tops"]._jdf.queryExecution().executedPlan().toString()
     assert int(re.search(r"hashpartitioning\(site_id#\d+, shelf#\d+, part#\d+L?, (\d+)\), REPARTITION_BY_NUM", plan)[1]) >= 10
     assert not re.search(r"hashpartitioning\([^)]*term#[^)]*\)", plan)
+
+
+@pytest.mark.parametrize(("most", "block"), [(5, 300), (128, 1 << 20)])
+def test_blocks_give_the_weights_of_counted_terms(spark, most, block):
+    """The same terms and weights as by a row for each term; repeated and missing ids, texts without terms, equal weights, many blocks."""
+    rng = random.Random(most)
+    texts = [" ".join(rng.choice(["the", "x", "É", "été", "漢字", "𝒳𝒳", "b1b", *(f"w{'abcdefghij'[min(int(rng.expovariate(0.4)), 9)]}" for _ in range(9))]) for _ in range(rng.choice([0, 1, 30]))) for _ in range(200)]
+    rows = [(f"s{i % 3}" if i % 50 else None, i % 170 if i % 60 else None, t if i % 40 else None) for i, t in enumerate(texts)] + [("lone", 1, "the a x")]
+    docs = spark.createDataFrame(rows, "site_id string, doc_id long, text string").repartition(3)
+    found = sparse.blocked_bm25(docs, most=most, block=block)
+    got = [(r.site_id, r.doc_id, t, w) for r in found.collect() for t, w in zip(r.terms, r.weights, strict=True)]
+    want = list(map(tuple, sparse.bm25_weights(sparse.term_counts(docs, ["site_id", "doc_id"]), "site_id", "doc_id", most).collect()))
+    assert sorted(got, key=repr) == sorted(want, key=repr) != []
+    assert sparse.blocked_bm25(docs.limit(0)).count() == 0
+
+
+def test_terms_of_documents_are_not_joined(spark, sf):
+    """Spark sends a term once for a block and each document as one row."""
+    plan = registry.queries()["sparse_bm25"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "tf#" not in plan
+
+
+def test_halves_are_rounded_as_spark_does(spark):
+    x = [1.2345678905, 0.0000000005, 2.5e-9, 3.0000000015, 1 / 3, 7.1234567895, 0.1 + 0.2]
+    want = [int(r.d * 10**9) for r in spark.createDataFrame([(v,) for v in x], "x double").select(F.round("x", 9).cast("decimal(18,9)").alias("d")).collect()]
+    assert sparse._nines(np.array(x)).tolist() == want
