@@ -116,25 +116,25 @@ def embedder(model: str):
 
 def embedder_or_error(model: str):
     """As embedder, but a column of (vector, error): a batch on which the model fails for good is tried text by text, and the
-    texts that it fails on have its message."""
+    texts that it fails on have its message. Of one kind with sparse_vector, so that one Python worker makes both."""
     chosen = MODELS[model]
 
-    @F.pandas_udf(T.StructType([T.StructField("vector", T.ArrayType(T.FloatType())), T.StructField("error", T.StringType())]))
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf(T.StructType([T.StructField("vector", T.ArrayType(T.FloatType())), T.StructField("error", T.StringType())]))
+    def run(texts: pa.Array) -> pa.Array:
         if chosen.name not in _LOADED:
             _LOADED[chosen.name] = chosen.load()
         embed = _LOADED[chosen.name]
 
         def tried(texts: list[str]) -> list[tuple]:
             try:
-                return [(v, None) for v in call(embed, texts)]
+                return [(np.asarray(v, np.float32), None) for v in call(embed, texts)]
             except Exception as e:
                 return [(None, f"{type(e).__name__}: {e}")] if len(texts) == 1 else [x for t in texts for x in tried([t])]
 
-        for texts in parts:
-            known = texts.dropna()
-            found = iter([x for at in range(0, len(known), chosen.batch) for x in tried(known.iloc[at : at + chosen.batch].tolist())])
-            yield pd.DataFrame([next(found) if ok else (None, None) for ok in texts.notna()], columns=["vector", "error"], dtype=object)
+        known = texts.drop_null()
+        found = iter([x for at in range(0, len(known), chosen.batch) for x in tried(known.slice(at, chosen.batch).to_pylist())])
+        made = [next(found) if ok else (None, None) for ok in texts.is_valid().to_pylist()]
+        return pa.StructArray.from_arrays([pa.array([v for v, _ in made], pa.list_(pa.float32())), pa.array([e for _, e in made], pa.string())], names=["vector", "error"])
 
     return run
 

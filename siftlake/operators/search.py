@@ -16,9 +16,9 @@ SIZE, OVERLAP = 512, 128
 def with_vectors(chunks: DataFrame, model: str = "arctic", mode: str = "store", language: Column | None = None) -> DataFrame:
     """chunks (text and more) with dense, sparse and error: a chunk that the model fails on has an error and no vectors; a
     model without sparse vectors leaves them null. A null text has neither vectors nor an error."""
-    made = embedding.embed_or_fail(chunks, model, mode, language=language)
     terms = embedding.sparse_vector("text") if embedding.MODELS[model].sparse else F.lit(None).cast("map<bigint,float>")
-    return made.withColumn("sparse", F.when(F.col("error").isNull(), terms))
+    made = embedding.embed_or_fail(chunks.withColumn("_terms", terms), model, mode, language=language)
+    return made.withColumn("sparse", F.when(F.col("error").isNull(), F.col("_terms"))).drop("_terms")
 
 
 def stored(chunks: DataFrame) -> DataFrame:

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from siftlake import scratch
 from siftlake.functions import text
 from siftlake.operators import embedding, sparse
-from siftlake.plans import registry, search
+from siftlake.operators import search as search_texts
+from siftlake.plans import flows, registry, search
 from siftlake.scratch import written
 from siftlake.sources import jsonl
 
@@ -143,3 +144,12 @@ def test_halves_are_rounded_as_spark_does(spark):
     x = [1.2345678905, 0.0000000005, 2.5e-9, 3.0000000015, 1 / 3, 7.1234567895, 0.1 + 0.2]
     want = [int(r.d * 10**9) for r in spark.createDataFrame([(v,) for v in x], "x double").select(F.round("x", 9).cast("decimal(18,9)").alias("d")).collect()]
     assert sparse._nines(np.array(x)).tolist() == want
+
+
+def test_one_worker_makes_both_vectors(spark, sf):
+    """Dense and sparse vectors of a text come from one Python worker, so that a task has one and not two."""
+    made = flows.whole_chunks(spark, sf)
+    assert made._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    odd = spark.createDataFrame([("b c",), (None,), ("",)], "text string")
+    got = search_texts.with_vectors(odd, "letters").collect()
+    assert [r.error for r in got] == [None] * 3 and got[1].dense is None and got[1].sparse is None and got[2].sparse == {} and len(got[0].dense) == 26
