@@ -55,3 +55,14 @@ def test_entry(spark):
     rows = entry.entry(spark)
     assert rows.columns == ["query_id", "doc_id", "score", "rank"] and rows.count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("name", ["search_end_to_end"])
+def test_every_benchmark_item_is_asked(spark, tmp_path, name):
+    """Items of any number, not of some: each finds the document with its number, which has its text."""
+    texts = [(1, "red fox"), (7, "blue bird"), (50, "green frog"), (99, "old gray wolf")]
+    spark.createDataFrame([(i, f"s{i % 2}", t) for i, t in texts], "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(texts, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    found = registry.queries()[name](spark, str(tmp_path)).filter("rank = 1").toPandas()
+    doc = found["doc_id"] if "doc_id" in found else found["point_id"] // 2**32
+    assert sorted(zip(found["query_id"], doc, strict=True)) == [(i, i) for i, _ in texts]
