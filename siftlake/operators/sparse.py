@@ -87,14 +87,16 @@ def packed_weights(counts: DataFrame, keys: list[str]) -> DataFrame:
 def blocked_topk(queries: DataFrame, docs: DataFrame, n_docs: DataFrame, k: int, tenant: str = "site_id", doc: str = "doc_id", digits: int = 9, block: int = BLOCK) -> DataFrame:
     """The rows of sparse_topk, for many queries with many terms, whose sums for all pairs are too many rows to be sent.
 
-    queries: query_id, tenant, terms, weights. docs: tenant, doc, terms, weights, a written table; both parallel arrays.
+    queries: query_id, tenant, terms, weights; without a tenant they are asked of each tenant that has a term of theirs. docs: tenant,
+    doc, terms, weights, a written table; both parallel arrays.
     A tenant's documents are dealt to blocks of about `block` rows, and its queries go to each of them: a task scores all
     queries against a block, and a block sends k rows for a query. So what is sent grows with the documents, and with
     the queries times a tenant's blocks.
     """
-    asked = queries.select("query_id", tenant, F.explode(F.arrays_zip("terms", "weights")).alias("_t")).select("query_id", tenant, F.col("_t.terms").alias("term"), F.col("_t.weights").alias("qw"))
+    own = [tenant] if tenant in queries.columns else []
+    asked = queries.select("query_id", *own, F.explode(F.arrays_zip("terms", "weights")).alias("_t")).select("query_id", *own, F.col("_t.terms").alias("term"), F.col("_t.weights").alias("qw"))
     spread = docs.select(tenant, F.explode("terms").alias("term")).groupBy(tenant, "term").agg(F.count("*").alias("_df"))
-    asked = asked.join(spread, [tenant, "term"]).join(n_docs.select(tenant, "n"), tenant).select("query_id", tenant, "term", (F.col("qw") * idf(F.col("n"), F.col("_df"))).alias("w"))
+    asked = asked.join(spread, [*own, "term"]).join(n_docs.select(tenant, "n"), tenant).select("query_id", tenant, "term", (F.col("qw") * idf(F.col("n"), F.col("_df"))).alias("w"))
     asked = written(asked.groupBy("query_id", tenant).agg(F.collect_list(F.struct("term", "w")).alias("_held")), "asked")
     blocks = written(docs.groupBy(tenant).agg((F.floor(F.count("*") / block) + 1).cast("int").alias("_blocks")), "blocks")
     left = asked.join(blocks, tenant).select(tenant, F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_block"), "query_id", F.col("_held.term").alias("terms"), F.col("_held.w").alias("weights"))
@@ -104,7 +106,7 @@ def blocked_topk(queries: DataFrame, docs: DataFrame, n_docs: DataFrame, k: int,
     def within(key: tuple, q: pa.Table, v: pa.Table) -> pa.Table:
         found = ([], [], [])
         if q.num_rows and v.num_rows:
-            ids, names = v.column(doc).to_numpy(), q.column("query_id").to_numpy()
+            ids = v.column(doc).fill_null(np.iinfo(np.int64).max).to_numpy()  # a document without a number is the last of equals
             wanted, ends = _flat(q, "terms")
             known = wanted.unique()
             code, factors = pc.index_in(wanted, known).to_numpy(), _flat(q, "weights")[0].to_numpy()
@@ -114,7 +116,7 @@ def blocked_topk(queries: DataFrame, docs: DataFrame, n_docs: DataFrame, k: int,
             row = np.repeat(np.arange(len(ids)), np.diff(sizes))[order]
             dw = _flat(v, "weights")[0].to_numpy()[order]
             first = np.searchsorted(own[order], np.arange(len(known) + 1))
-            for name, a, b in zip(names, ends, ends[1:], strict=False):
+            for number, (a, b) in enumerate(zip(ends, ends[1:], strict=False)):
                 begin, size = first[code[a:b]], first[code[a:b] + 1] - first[code[a:b]]
                 at = np.arange(size.sum()) + np.repeat(begin - (size.cumsum() - size), size)
                 score = np.bincount(row[at], dw[at] * np.repeat(factors[a:b], size), len(ids))
@@ -125,14 +127,15 @@ def blocked_topk(queries: DataFrame, docs: DataFrame, n_docs: DataFrame, k: int,
                     shown = np.round(score[some], digits)
                     near = shown >= np.partition(shown, len(some) - k)[len(some) - k] if len(some) > k else np.ones(len(some), bool)
                     best = some[near][np.lexsort((ids[some[near]], -shown[near]))[:k]]
-                    found[0].append(np.full(len(best), name))
-                    found[1].append(ids[best])
+                    found[0].append(np.full(len(best), number))
+                    found[1].append(best)
                     found[2].append(score[best])
         columns = [np.concatenate(c) if c else np.empty(0, t) for c, t in zip(found, (np.int64, np.int64, np.float64), strict=True)]
-        return pa.table([pa.array([key[0].as_py()] * len(columns[0]), q.schema.field(tenant).type), *map(pa.array, columns)], names=[tenant, "query_id", doc, "score"])
+        site = pa.array([key[0].as_py()] * len(columns[0]), q.schema.field(tenant).type)
+        return pa.table([site, q.column("query_id").take(pa.array(columns[0])), v.column(doc).take(pa.array(columns[1])), pa.array(columns[2])], names=[tenant, "query_id", doc, "score"])
 
     scored = left.groupBy(tenant, "_block").cogroup(right.groupBy(tenant, "_block")).applyInArrow(within, f"`{tenant}` {dict(docs.dtypes)[tenant]}, query_id long, `{doc}` long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id", tenant).orderBy(F.desc(F.round("score", digits)), doc))
+    rank = F.row_number().over(Window.partitionBy("query_id", tenant).orderBy(F.desc(F.round("score", digits)), F.asc_nulls_last(doc)))
     return scored.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 

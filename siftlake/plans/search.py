@@ -11,7 +11,7 @@ from siftlake.plans.inputs import table
 from siftlake.plans.registry import query
 from siftlake.scratch import written
 
-#: A query set: every row whose id is divisible by this, against all rows.
+#: The query set of vectors and documents: every row whose id is divisible by this, against all rows.
 EVERY = 50
 STOP = "(" + ", ".join(f"'{w}'" for w in sparse.STOPWORDS) + ")"
 DENSE_SQL = f"""dense AS (
@@ -30,7 +30,7 @@ SCORED_SQL = """scored AS (SELECT query_id, dw.site_id, dw.doc_id, sum(qw.w * ln
 sparse AS (SELECT *, row_number() OVER (PARTITION BY query_id, site_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM scored QUALIFY rank <= 10)"""
 #: Every benchmark item asked, asked of each tenant.
 SPARSE_SQL = f"""{TERMS_SQL},
-qt AS (SELECT item_id, term, count(*) AS tf FROM (SELECT item_id, {TERMS} FROM benchmark WHERE item_id % {EVERY} = 0) WHERE term NOT IN {STOP} GROUP BY item_id, term),
+qt AS (SELECT item_id, term, count(*) AS tf FROM (SELECT item_id, {TERMS} FROM benchmark) WHERE term NOT IN {STOP} GROUP BY item_id, term),
 qw AS (SELECT item_id AS query_id, site_id, term, tf * 1.0 / sum(tf) OVER (PARTITION BY item_id, site_id) AS w FROM qt, n),
 {SCORED_SQL}"""
 
@@ -50,17 +50,17 @@ def weighted(rows, *keys):
     return sparse.count_weights(sparse.term_counts(rows, list(keys)), list(keys))
 
 
-def index_of(spark, sf_dir, group=sparse.GROUP):
-    """The index of all documents' terms, written once and searched many times."""
-    postings = weighted(by_tenant(spark, sf_dir, "text"), "site_id", "doc_id").withColumnRenamed("weight", "dw")
-    return sparse.sparse_index(postings, by_tenant(spark, sf_dir).groupBy("site_id").agg(F.count("*").alias("n")), group=group)
+def packed_of(docs):
+    """All documents' terms, written once and read many times."""
+    return written(sparse.packed_weights(sparse.term_counts(docs, ["site_id", "doc_id"]), ["site_id", "doc_id"]), "packed")
 
 
 def sparse_rows(spark, sf_dir, k=10):
-    """Every benchmark item of the query set, asked of each tenant."""
-    index = index_of(spark, sf_dir)
-    asked = table(spark, sf_dir, "benchmark").filter(F.col("item_id") % EVERY == 0).select(F.col("item_id").alias("query_id"), "text")
-    return sparse.indexed_search(weighted(asked, "query_id").withColumnRenamed("weight", "qw"), index, k).found
+    """Every benchmark item, asked of each tenant: so many queries reach all documents, so there is no index."""
+    docs = by_tenant(spark, sf_dir, "text")
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    asked = sparse.packed_weights(sparse.term_counts(asked, ["query_id"]), ["query_id"])
+    return sparse.blocked_topk(asked, packed_of(docs), docs.groupBy("site_id").agg(F.count("*").alias("n")), k)
 
 
 @query(f"WITH {DENSE_SQL} SELECT query_id, site_id, vec_id, score, rank FROM dense")
@@ -113,7 +113,7 @@ ranked AS (SELECT query_id, doc_id, round(score, 6) AS score, row_number() OVER
 
 def hybrid_rows(spark, sf_dir, prefetch=10, limit=20):
     docs = by_tenant(spark, sf_dir, "text")
-    packed = written(sparse.packed_weights(sparse.term_counts(docs, ["site_id", "doc_id"]), ["site_id", "doc_id"]), "packed")
+    packed = packed_of(docs)
     vectors = by_tenant(spark, sf_dir).join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id")
     vectors = written(vectors, "vectors")
     asked = vectors.filter(F.col("doc_id") % EVERY == 0)

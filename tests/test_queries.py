@@ -57,7 +57,7 @@ def test_entry(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", ["search_end_to_end"])
+@pytest.mark.parametrize("name", ["search_end_to_end", "sparse_idf_topk"])
 def test_every_benchmark_item_is_asked(spark, tmp_path, name):
     """Items of any number, not of some: each finds the document with its number, which has its text."""
     texts = [(1, "red fox"), (7, "blue bird"), (50, "green frog"), (99, "old gray wolf")]

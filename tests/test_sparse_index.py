@@ -57,6 +57,16 @@ def test_questions_of_all_tenants(spark, corpus):
     assert rows_of(sparse.indexed_search(asked, index, 5).found) == rows_of(sparse.sparse_topk(each, postings, sizes, 5))
 
 
+def test_blocks_give_all_rows_to_questions_of_all_tenants(spark):
+    """Also where a question or a document has no number."""
+    docs = [("a", 1, {"red": 0.5, "fox": 0.5}), ("a", None, {"red": 0.5, "fox": 0.5}), ("a", 3, {"blue": 1.0}), ("b", 2, {"fox": 1.0}), ("b", 4, {"green": 1.0})]
+    packed = spark.createDataFrame([(s, d, list(t), list(t.values())) for s, d, t in docs], "site_id string, doc_id long, terms array<string>, weights array<double>")
+    asked = spark.createDataFrame([(1, ["fox", "nowhere"], [0.5, 0.5]), (None, ["blue", "fox"], [0.9, 0.1])], "query_id long, terms array<string>, weights array<double>")
+    found = sparse.blocked_topk(asked, packed, packed.groupBy("site_id").agg(F.count("*").alias("n")), 2, block=2)
+    got = {(r.query_id, r.site_id, r["rank"], r.doc_id) for r in found.collect()}
+    assert got == {(1, "a", 1, 1), (1, "a", 2, None), (1, "b", 1, 2), (None, "a", 1, 3), (None, "a", 2, 1), (None, "b", 1, 2)}
+
+
 def test_bm25_does_not_depend_on_partitions(spark):
     rows = [("s", d, f"w{i}", 1 + (d * i) % 3) for d in range(4) for i in range(128 if d else 64)]
     one = spark.createDataFrame(rows, "site_id string, doc_id long, term string, tf long")
